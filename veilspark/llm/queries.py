@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, sharding, token_counts
+from . import exact_dedup, language_id, mixing, quality, sharding, token_counts
 
 BYTE_LIMIT = 4 << 20
 
@@ -16,6 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", language_id.fold(F.col("doc_id"), 3) == 1)
+    model = language_id.fit(docs.where("not held_out"))
+    return language_id.detect(docs, model, keep=("held_out",))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
@@ -29,12 +35,19 @@ def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"), BYTE_LIMIT)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", language_id.fold(F.col("doc_id"), 4) == 2)
+    labels = table(spark, sf_dir, "labels")
+    weights = quality.fit(docs, labels.where(language_id.fold(F.col("doc_id"), 4) != 2))
+    return quality.score(docs, weights, keep=("held_out",)).withColumn("predicted", F.when(F.col("score") >= 0.7, 1).otherwise(0).cast("int"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), "kept", "text_sha256")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op5_token_counts, op6_mix_sources, op8_shards, op10_exact_dedup]
+    found = [op4_language_id, op5_token_counts, op6_mix_sources, op8_shards, op9_quality, op10_exact_dedup]
     return {f.__name__: f for f in found}
 
 
