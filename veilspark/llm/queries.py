@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, mixing, quality, sharding, token_counts
+from . import exact_dedup, language_id, minhash, mixing, quality, sharding, token_counts
 
 BYTE_LIMIT = 4 << 20
 
@@ -16,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    like = minhash.Similarity(words=3, num=85, den=100)
+    return minhash.near_groups(table(spark, sf_dir, "documents"), like)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", language_id.fold(F.col("doc_id"), 3) == 1)
     model = language_id.fit(docs.where("not held_out"))
@@ -47,7 +52,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op4_language_id, op5_token_counts, op6_mix_sources, op8_shards, op9_quality, op10_exact_dedup]
+    found = [op1_minhash_dedup, op4_language_id, op5_token_counts, op6_mix_sources, op8_shards, op9_quality, op10_exact_dedup]
     return {f.__name__: f for f in found}
 
 
