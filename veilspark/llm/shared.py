@@ -25,9 +25,15 @@ def staged(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame
     if partitions:
         df = df.coalesce(partitions)
     df.write.mode("errorifexists").parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of finished jobs now; it acts when the driver collects its garbage."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def clear_shared(spark: SparkSession) -> None:
     """Delete what this application has staged."""
     jvm = spark.sparkContext._jvm
