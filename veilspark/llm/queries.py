@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, minhash, mixing, quality, repeats, sharding, token_counts
+from . import decontamination, exact_dedup, language_id, minhash, mixing, quality, repeats, sharding, token_counts
 
 BYTE_LIMIT = 4 << 20
 
@@ -25,6 +25,10 @@ def op2_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.without_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", language_id.fold(F.col("doc_id"), 3) == 1)
     model = language_id.fit(docs.where("not held_out"))
@@ -56,7 +60,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_minhash_dedup, op2_repeated_strings, op4_language_id, op5_token_counts, op6_mix_sources, op8_shards, op9_quality, op10_exact_dedup]
+    found = [op1_minhash_dedup, op2_repeated_strings, op3_decontamination, op4_language_id, op5_token_counts, op6_mix_sources, op8_shards, op9_quality, op10_exact_dedup]
     return {f.__name__: f for f in found}
 
 
