@@ -38,7 +38,7 @@ RANK, OVERSAMPLE = 64, 16
 PASSAGE = 48
 BLOCK, SPAN = 16, 4  # a window is SPAN blocks of BLOCK words
 COSINE = 0.45
-SHARE, SHARE_WITH_ANSWER, ANSWER_SHARE = 0.7, 0.5, 0.8
+SHARE, SHARE_WITH_ANSWER, ANSWER_SHARE, ANSWER_WORDS = 0.75, 0.6, 0.8, 5
 ROWS_AT_ONCE = 1 << 19
 
 _WORD = np.zeros(256, dtype=bool)
@@ -46,7 +46,7 @@ _WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80,
 
 
 def token_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lower-cased runs of letters and digits of the rows, and the row offsets into them."""
+    """Hashes of the lower-cased (ASCII and Latin-1) runs of letters and digits of the rows, and the row offsets into them."""
     n = len(data)
     if not n:
         return np.zeros(0, U), np.zeros(len(offsets), np.int64)
@@ -57,7 +57,10 @@ def token_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     a[1:] &= ~full[:-1] | edge[1:n]
     b[:-1] &= ~full[1:] | edge[1:n]
     start, end = np.flatnonzero(a), np.flatnonzero(b) + 1
-    return span_hash(prefix_hash(LOWER[data]), start, end), np.searchsorted(start, offsets)
+    low = LOWER[data]
+    capital = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
+    low[capital] += 0x20  # the accented capitals of Latin-1 in UTF-8
+    return span_hash(prefix_hash(low), start, end), np.searchsorted(start, offsets)
 
 
 class Vocabulary:
@@ -348,11 +351,12 @@ def _judged(ids: np.ndarray, hits: list[tuple[int, int, float]], parts: list[Pas
         known = np.intersect1d(p.ids, ids[lo:hi])
         if len(known) * 4 < len(np.unique(p.ids)):
             continue
-        n = max(lcs(p.ids, ids[x : x + 3 * BLOCK * SPAN]) for x in range(lo, max(lo + 1, hi - BLOCK * SPAN), BLOCK * SPAN))
+        near = 2 * p.words  # the words looked at together: twice the passage, moved by half of it
+        n = max(lcs(p.ids, ids[x : x + near]) for x in range(lo, min(hi, len(ids)), max(1, p.words // 2)))
         if n > best.get(q, (0, 0.0))[0]:
             best[q] = (n, cos)
         a = replies[p.item]
-        if len(a) and n * 3 >= p.words and not answered.get(p.item):
+        if len(a) >= ANSWER_WORDS and n * 2 >= p.words and not answered.get(p.item):
             answered[p.item] = lcs(a, ids[lo : hi + PASSAGE]) >= ANSWER_SHARE * len(a)
     items: dict[int, list[float]] = {}
     for q, (n, cos) in best.items():
