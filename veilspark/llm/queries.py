@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, language_id, minhash, mixing, quality, repeats, sharding, token_counts
+from . import decontamination, exact_dedup, language_id, licenses, minhash, mixing, quality, repeats, sharding, token_counts
 
 BYTE_LIMIT = 4 << 20
 
@@ -44,6 +44,14 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queue.select("doc_id", "size", "source_size", "target", "taken", "source", "copies", "finish")
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus has no paths: its sources are taken as top directories, languages and id ranges as lower ones."""
+    place = F.when(F.col("doc_id") % 64 == 0, F.lit("")).when(F.col("doc_id") % 8 == 0, F.concat(F.lit("/"), "lang"))
+    place = F.coalesce(place, F.concat(F.lit("/"), F.col("lang"), F.lit("/"), F.expr("doc_id div 64")))
+    docs = table(spark, sf_dir, "documents").withColumn("path", F.concat("source", place, F.lit("/"), "doc_id"))
+    return licenses.scan(docs, "path").withColumn("cosine", F.round("cosine", 6))
+
+
 def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"), BYTE_LIMIT)
 
@@ -60,12 +68,39 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_minhash_dedup, op2_repeated_strings, op3_decontamination, op4_language_id, op5_token_counts, op6_mix_sources, op8_shards, op9_quality, op10_exact_dedup]
+    found = [op1_minhash_dedup, op2_repeated_strings, op3_decontamination, op4_language_id, op5_token_counts, op6_mix_sources, op7_license_scan, op8_shards, op9_quality, op10_exact_dedup]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": OP10_SQL}
+    return {"op7_license_scan": op7_sql(), "op10_exact_dedup": OP10_SQL}
+
+
+def op7_sql() -> str:
+    names = ", ".join(f"('{n}', '{t.lower()}')" for n, t in licenses.TEMPLATES)
+    return rf"""
+WITH tpl(license, s) AS (VALUES {names}),
+tt AS (SELECT license, t, count(*) AS n FROM (SELECT license, unnest(regexp_extract_all(s, '{licenses.TERM}')) AS t FROM tpl) GROUP BY ALL),
+d AS (SELECT doc_id, text, CASE WHEN doc_id % 64 = 0 THEN source WHEN doc_id % 8 = 0 THEN source || '/' || lang
+      ELSE source || '/' || lang || '/' || (doc_id // 64) END AS dir FROM documents),
+total AS (SELECT count(*) AS n FROM d),
+df AS (SELECT t, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '{licenses.TERM}')) AS t FROM d) WHERE t IN (SELECT t FROM tt) GROUP BY t),
+idf AS (SELECT t, ln((1 + (SELECT n FROM total)) / (1 + coalesce(df.n, 0))) AS w FROM (SELECT DISTINCT t FROM tt) LEFT JOIN df USING (t)),
+tw AS (SELECT license, t, n * w / sqrt(sum(n * w * n * w) OVER (PARTITION BY license)) AS x FROM tt JOIN idf USING (t)),
+seg AS (SELECT doc_id, generate_subscripts(p, 1) - 1 AS pos, unnest(p) AS s FROM (SELECT doc_id, string_split_regex(text, '{licenses.SEGMENT_END}') AS p FROM d WHERE regexp_matches(text, '(?i)licen|public|domain|free|terms|govern|releas|cc|mit|isc|bsd|gnu|apache|mozilla|[0-9]'))),
+st AS (SELECT doc_id, pos, t, count(*) AS n FROM (SELECT doc_id, pos, unnest(regexp_extract_all(lower(s), '{licenses.TERM}')) AS t FROM seg) GROUP BY ALL),
+sv AS (SELECT doc_id, pos, t, n * coalesce(w, (SELECT ln(1 + n) FROM total)) AS v FROM st LEFT JOIN idf USING (t)),
+sn AS (SELECT doc_id, pos, sqrt(sum(v * v)) AS len FROM sv GROUP BY ALL),
+c AS (SELECT doc_id, pos, license, sum(v * x) / any_value(len) AS cosine FROM sv JOIN tw USING (t) JOIN sn USING (doc_id, pos) GROUP BY ALL HAVING sum(v * x) / any_value(len) >= {licenses.COSINE}),
+own AS (SELECT doc_id, first(license ORDER BY cosine DESC, license) AS own, max(cosine) AS cosine, min(pos) AS f FROM c GROUP BY ALL),
+r AS (SELECT d.doc_id, d.dir, own, cosine, f FROM d LEFT JOIN own USING (doc_id)),
+votes AS (SELECT dir, own, count(*) AS n FROM r WHERE f = 0 GROUP BY ALL),
+gov AS (SELECT dir AS up, first(own ORDER BY n DESC, own) AS license FROM votes GROUP BY ALL),
+inh AS (SELECT doc_id, first(up ORDER BY length(up) DESC) AS license_dir, first(license ORDER BY length(up) DESC) AS license FROM r JOIN gov ON dir = up OR starts_with(dir, up || '/') WHERE own IS NULL GROUP BY ALL)
+SELECT doc_id, dir || '/' || doc_id AS path, coalesce(own, inh.license) AS license, round(cosine, 6) AS cosine,
+       CASE WHEN own IS NOT NULL THEN 'own' WHEN inh.license IS NOT NULL THEN 'inherited' ELSE 'none' END AS basis, license_dir
+FROM r LEFT JOIN inh USING (doc_id)
+"""
 
 
 OP10_SQL = r"""
