@@ -9,8 +9,9 @@ Copies are folded first: one representative per distinct shingle set. A bucket n
 bucket has one centre, each other member is compared with the centre, and verified links are contracted. Which
 member is the centre differs by table, so a dense group falls into one component in the first rounds. What is left
 are pairs in one bucket but different components: of these, only pairs whose overlap can still reach the threshold
-are compared, a member's overlap being at most its number of shingles that occur in another set of its candidates. So no
-candidate link is lost, and a bucket of thousands of mutual near copies costs rows in proportion to its members.
+become rows: a member's overlap is at most its number of shingles that occur in another set of its candidates, and two
+sets differ at least in as many elements as their parity bits differ. Both bounds are exact, so no candidate link is
+lost, and few pairs besides the linked ones are joined with their sets.
 
 Defined results: text without words (or null) has no shingles and is linked with nothing; a text shorter than the shingle
 is one shingle; a representative's group is named by the smallest key of all rows reachable; rows that repeat a key each
@@ -35,6 +36,7 @@ from .textops import U, buffers, distinct_sorted, list_column, mix, segments, sh
 WIDTH = 2
 MISS = 1e-4
 ROUNDS = 2
+PARITY_BITS = 1024
 
 
 @dataclass(frozen=True)
@@ -85,6 +87,15 @@ def sub_keys(values: np.ndarray, offsets: np.ndarray, side: int) -> np.ndarray:
     return out
 
 
+def parities(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Words of PARITY_BITS bits of each row: whether a cell has an odd number of the row's shingles. Where two rows'
+    bits differ, their sets differ in an element at least."""
+    n = len(offsets) - 1
+    cell = np.repeat(np.arange(n), np.diff(offsets)) * PARITY_BITS + (values & U(PARITY_BITS - 1)).astype(np.int64)
+    odd = (np.bincount(cell, minlength=n * PARITY_BITS) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(U).reshape(n, PARITY_BITS // 64)
+
+
 def signatures(docs: DataFrame, like: Similarity, text: str, key: str) -> DataFrame:
     """(k, n, set_a, set_b, sub): number of shingles, 128 bits that name the shingle set, and the small hashes."""
     side = like.side()
@@ -107,17 +118,17 @@ def signatures(docs: DataFrame, like: Similarity, text: str, key: str) -> DataFr
 
 
 def shingle_sets(docs: DataFrame, like: Similarity, text: str, key: str) -> DataFrame:
-    """(id, s): sorted distinct shingles of each row."""
+    """(id, s, p): sorted distinct shingles of each row, and the parity of their number in each of PARITY_BITS cells."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = buffers(batch.column(1))
             for a, b in segments(offsets):
                 values, at = shingle_rows(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], like.words)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), list_column(values, at)], names=["id", "s"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), list_column(values, at), list_column(parities(values, at).reshape(-1), np.arange(b - a + 1) * (PARITY_BITS // 64))], names=["id", "s", "p"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(cut, f"id {kind}, s array<long>")
+    return docs.select(key, text).mapInArrow(cut, f"id {kind}, s array<long>, p array<long>")
 
 
 def near_groups(docs: DataFrame, like: Similarity = Similarity(), text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -201,10 +212,14 @@ def _crossing_pairs(crossing: DataFrame, sets: DataFrame, like: Similarity) -> D
     often = tokens.groupBy("t").agg(F.count("*").alias("df")).where("df > 1").select("t")
     most = staged(tokens.join(often, "t").groupBy("id").agg(F.count("*").alias("u")), "overlaps")
     small = F.ceil(F.col("n") * like.num / like.den)
+    most = most.join(sets.select("id", "p"), "id")
     live = crossing.join(most, "id").where(like.reachable(F.col("u"), F.col("n"), small))
     split = live.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
     live = staged(live.join(split, "bucket"), "live")
-    left = live.select("bucket", *(F.col(c).alias(f"{c}_a") for c in ("id", "n", "u", "component")))
-    right = live.select("bucket", *(F.col(c).alias(f"{c}_b") for c in ("id", "n", "u", "component")))
+    fields = ("id", "n", "u", "p", "component")
+    left = live.select("bucket", *(F.col(c).alias(f"{c}_a") for c in fields))
+    right = live.select("bucket", *(F.col(c).alias(f"{c}_b") for c in fields))
     may = like.reachable(F.least("u_a", "u_b"), F.col("n_a"), F.col("n_b")) & (F.col("component_a") != F.col("component_b")) & (F.col("id_a") < F.col("id_b"))
+    apart = sum((F.bit_count(F.col("p_a")[i].bitwiseXOR(F.col("p_b")[i])) for i in range(PARITY_BITS // 64)), F.lit(0))
+    may &= like.reachable(F.floor((F.col("n_a") + F.col("n_b") - apart) / 2), F.col("n_a"), F.col("n_b"))
     return left.join(right, "bucket").where(may).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
