@@ -6,9 +6,10 @@ with the least hash is the window's anchor, so equal windows have equal anchors
 
 1. Anchors that occur once in the corpus end here: none of their windows occurs again.
 2. Stretches that are equal as a whole cover each other.
-3. Of the anchors whose stretches differ, one stretch of each content is compared window by window.
+3. Of the anchors whose stretches differ, one stretch of each content is compared with the others: first the cores that
+   all windows of a part of the stretch have in common, then, where a core occurs twice, window by window.
 
-A text moves twice (steps 3 and the result); what else moves is one short row per anchor. Groups are counted with partial
+A text moves twice (to cut stretches for step 3, and for the result); what else moves is a short row per anchor. Groups are counted with partial
 sums and joined, never gathered, so a passage that all documents share is no hot task.
 
 Defined results: null text is empty; a text under LENGTH bytes loses nothing; matches never cross rows; rows that repeat a
@@ -26,20 +27,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import staged
+from .shared import drop_staged, staged
 from .textops import U, buffers, mix, prefix_hash, segments, span_hash
 
 LENGTH = 200
 GRAM = 100
+PARTS = 10
 _LOW = U(0xFFFFFFFF)
 
 
 def stretches(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(anchor hash, content hash, first window, last window) of all stretches of the rows; windows as byte places."""
+    """(anchor hash, content hash, first window, last window, anchor) of all stretches of the rows, as byte places."""
     none = np.zeros(0, np.int64)
     n = len(data)
     if n < length:
-        return none.view(U), none.view(U), none, none
+        return none.view(U), none.view(U), none, none, none
     prefix = prefix_hash(data)
     at = np.arange(n - gram + 1)
     h = span_hash(prefix, at, at + gram)
@@ -59,7 +61,7 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) ->
     np.add.at(fits, ends[ok] - length + 1, -1)
     window = np.flatnonzero(np.cumsum(fits)[: len(least)] > 0)
     if not len(window):
-        return none.view(U), none.view(U), none, none
+        return none.view(U), none.view(U), none, none, none
     anchor = (least[window] & _LOW).astype(np.int64)
     new = np.ones(len(window), dtype=bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (window[1:] != window[:-1] + 1)
@@ -67,7 +69,7 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) ->
     p0, p1 = window[first], window[np.append(first[1:], len(window)) - 1]
     a = anchor[first]
     content = mix(span_hash(prefix, p0, p1 + length) ^ ((a - p0).astype(U) * U(0x9E3779B97F4A7C15)))
-    return h[a], content, p0, p1
+    return h[a], content, p0, p1, a
 
 
 def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,7 +85,7 @@ def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def anchor_rows(rows: DataFrame, length: int, gram: int) -> DataFrame:
-    """(fp, sh, k, th, p0, p1, c) for each stretch; with fp null, a range of bytes that is known to repeat. Stretches that
+    """(fp, sh, k, th, p0, p1, c, a) for each stretch, a being its anchor from p0; with fp null, a range of bytes that is known to repeat. Stretches that
     repeat inside one segment are folded: their bytes are ranges, one of them stays, with its count."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +93,7 @@ def anchor_rows(rows: DataFrame, length: int, gram: int) -> DataFrame:
             data, offsets = buffers(batch.column(2))
             for a, b in segments(offsets):
                 part = offsets[a : b + 1] - offsets[a]
-                fp, sh, p0, p1 = stretches(data[offsets[a] : offsets[b]], part, length, gram)
+                fp, sh, p0, p1, anchor = stretches(data[offsets[a] : offsets[b]], part, length, gram)
                 pair = np.stack([fp, sh], axis=1) if len(fp) else np.zeros((0, 2), U)
                 _, first, back, count = np.unique(pair.view([("a", U), ("b", U)]).reshape(-1), return_index=True, return_inverse=True, return_counts=True)
                 row = np.searchsorted(part, p0, side="right") - 1
@@ -103,7 +105,7 @@ def anchor_rows(rows: DataFrame, length: int, gram: int) -> DataFrame:
                 ids = a + np.concatenate([row[first], owner])
                 where = pa.array(ids)
                 nulls = np.concatenate([np.zeros(len(first), bool), np.ones(len(s), bool)])
-                long = lambda x, y: pa.array(np.concatenate([x, y]).astype(np.int64))
+                long = lambda x, y: pa.array(np.concatenate([x, y]).astype(np.int32))
                 zeros = np.zeros(len(s), np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -114,59 +116,128 @@ def anchor_rows(rows: DataFrame, length: int, gram: int) -> DataFrame:
                         long(p0[first] - part[row[first]], s),
                         long(p1[first] - part[row[first]] + length, e),
                         long(count, zeros),
+                        long((anchor - p0)[first], zeros),
                     ],
-                    names=["fp", "sh", "k", "th", "p0", "p1", "c"],
+                    names=["fp", "sh", "k", "th", "p0", "p1", "c", "a"],
                 )
 
     kind = rows.schema["k"].dataType.simpleString()
-    return rows.mapInArrow(cut, f"fp long, sh long, k {kind}, th long, p0 long, p1 long, c long")
+    return rows.mapInArrow(cut, f"fp long, sh long, k {kind}, th long, p0 int, p1 int, c int, a int")
 
 
-def window_rows(rows: DataFrame, length: int) -> DataFrame:
-    """(fp, wh, k, th, p, single) for each window of the stretches listed with a row (``at``: fp, p0, p1, c)."""
+def stretch_rows(rows: DataFrame) -> DataFrame:
+    """(fp, sh, k, th, p0, a, single, s): the bytes of the stretches listed with a row (``at``: fp, sh, p0, p1, c, a)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = buffers(batch.column(2))
             lists = batch.column(3)
             at, inner = lists.offsets.to_numpy(), lists.values
-            fp, p0, p1, c = (inner.field(i).to_numpy() for i in range(4))
-            for i in range(batch.num_rows):
-                lo, hi = at[i], at[i + 1]
-                prefix = prefix_hash(data[offsets[i] : offsets[i + 1]])
-                n = p1[lo:hi] - length - p0[lo:hi] + 1
-                which = np.repeat(np.arange(lo, hi), n)
-                p = p0[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-                h = span_hash(prefix, p, p + length)
-                for x in range(0, len(p), 1 << 16):
-                    y = min(len(p), x + (1 << 16))
-                    own = pa.array(np.full(y - x, i))
-                    yield pa.RecordBatch.from_arrays([pa.array(fp[which[x:y]]), pa.array(h[x:y].view(np.int64)), batch.column(0).take(own), batch.column(1).take(own), pa.array(p[x:y]), pa.array(c[which[x:y]] == 1)], names=["fp", "wh", "k", "th", "p", "single"])
+            p0, p1 = inner.field(2).to_numpy(), inner.field(3).to_numpy()
+            row = np.repeat(np.arange(batch.num_rows), np.diff(at))
+            for x in range(at[0], at[-1], 1 << 14):
+                own = np.arange(x, min(at[-1], x + (1 << 14)))
+                base = offsets[row[own - at[0]]]
+                size = (p1[own] - p0[own]).astype(np.int64)
+                ends = np.cumsum(size)
+                take = np.repeat(base + p0[own] - (ends - size), size) + np.arange(ends[-1])
+                s = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32).tobytes()), pa.py_buffer(data[take].tobytes())])
+                f = lambda i: inner.field(i).take(pa.array(own))
+                who = pa.array(row[own - at[0]])
+                yield pa.RecordBatch.from_arrays([f(0), f(1), batch.column(0).take(who), batch.column(1).take(who), f(2), f(5), pa.array(inner.field(4).to_numpy()[own] == 1), s], names=["fp", "sh", "k", "th", "p0", "a", "single", "s"])
 
     kind = rows.schema["k"].dataType.simpleString()
-    return rows.mapInArrow(cut, f"fp long, wh long, k {kind}, th long, p long, single boolean")
+    return rows.mapInArrow(cut, f"fp long, sh long, k {kind}, th long, p0 int, a int, single boolean, s binary")
+
+
+def _windows(size: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(stretch, first byte) of every window of stretches of the given sizes."""
+    n = size - length + 1
+    which = np.repeat(np.arange(len(n)), n)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def core_rows(stretched: DataFrame, length: int, step: int) -> DataFrame:
+    """(fp, sh, part, core, single): windows whose anchor stands step * part to step * (part + 1) - 1 bytes inside share a
+    core, of which this is the hash."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = buffers(batch.column(4))
+            anchor = batch.column(2).to_numpy()
+            for x, y in segments(offsets):
+                prefix = prefix_hash(data[offsets[x] : offsets[y]])
+                base = offsets[x:y] - offsets[x]
+                which, t = _windows(np.diff(offsets[x : y + 1]), length)
+                part = (anchor[x:y][which] - t) // step
+                first = np.flatnonzero(np.concatenate([[True], (which[1:] != which[:-1]) | (part[1:] != part[:-1])]))
+                which, part = which[first], part[first]
+                start = base[which] + np.maximum(0, anchor[x:y][which] - step * part)
+                end = base[which] + anchor[x:y][which] + length - step * (part + 1)
+                h = span_hash(prefix, start, end)
+                own = pa.array(which + x)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array(part.astype(np.int32)), pa.array(h.view(np.int64)), batch.column(3).take(own)], names=["fp", "sh", "part", "core", "single"])
+
+    return stretched.select("fp", "sh", "a", "single", "s").mapInArrow(cut, "fp long, sh long, part int, core long, single boolean")
+
+
+def window_rows(stretched: DataFrame, length: int, step: int) -> DataFrame:
+    """(fp, wh, k, th, p, single) for the windows of the listed ``parts`` of stretches."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = buffers(batch.column(6))
+            anchor, p0 = batch.column(4).to_numpy(), batch.column(3).to_numpy()
+            lists = batch.column(7)
+            wide = 1 + (int(anchor.max(initial=0)) // step)
+            wanted = np.zeros((batch.num_rows, wide + 1), dtype=bool)
+            at = lists.offsets.to_numpy()
+            wanted[np.repeat(np.arange(batch.num_rows), np.diff(at)), lists.values.to_numpy()[at[0] : at[-1]]] = True
+            for x, y in segments(offsets, 1 << 18):
+                prefix = prefix_hash(data[offsets[x] : offsets[y]])
+                which, t = _windows(np.diff(offsets[x : y + 1]), length)
+                part = (anchor[x:y][which] - t) // step
+                keep = wanted[which + x, part]
+                which, t = which[keep], t[keep]
+                start = offsets[x:y][which] - offsets[x] + t
+                h = span_hash(prefix, start, start + length)
+                own = pa.array(which + x)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(own), pa.array(h.view(np.int64)), batch.column(1).take(own), batch.column(2).take(own), pa.array((p0[x:y][which] + t).astype(np.int32)), batch.column(5).take(own)], names=["fp", "wh", "k", "th", "p", "single"])
+
+    kind = stretched.schema["k"].dataType.simpleString()
+    return stretched.select("fp", "k", "th", "p0", "a", "single", "s", "parts").mapInArrow(cut, f"fp long, wh long, k {kind}, th long, p int, single boolean")
 
 
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(k, th, ranges) of the rows that hold repeated strings; th is the text's hash, ranges array<struct<p0, p1>> of bytes."""
     rows = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("th"), F.col(text).alias("text")).where(F.octet_length("text") >= length)
+    step = max(1, (length - gram) // PARTS)
     found = staged(anchor_rows(rows, length, gram), "anchors")
     runs = found.where("fp is not null")
     often = staged(runs.groupBy("fp").agg(F.sum("c").alias("n")).where("n > 1").select("fp"), "often")
     runs = staged(runs.join(often, "fp"), "repeated")
-    loc = F.min(F.struct("k", "th", "p0", "p1")).alias("at")
-    groups = staged(runs.groupBy("fp", "sh").agg(F.sum("c").alias("c"), loc), "groups")
+    loc = F.min(F.struct("k", "th", "p0", "p1", "a")).alias("at")
+    groups = staged(runs.groupBy("fp", "sh").agg(F.sum("c").cast("int").alias("c"), loc), "groups")
     whole = runs.join(groups.where("c > 1").select("fp", "sh"), ["fp", "sh"]).select("k", "th", "p0", "p1")
+    known = found.where("fp is null").select("k", "th", "p0", "p1")
+    known = staged(known.unionByName(whole), "known")
+    drop_staged(found, often, runs)
     mixed = groups.groupBy("fp").agg(F.count("*").alias("d"), F.min("c").alias("least")).where("d > 1 and least = 1").select("fp")
-    open_ = groups.join(mixed, "fp").groupBy("at.k", "at.th").agg(F.collect_list(F.struct("fp", "at.p0", "at.p1", "c")).alias("at"))
+    open_ = groups.join(mixed, "fp").groupBy("at.k", "at.th").agg(F.collect_list(F.struct("fp", "sh", "at.p0", "at.p1", "c", "at.a")).alias("at"))
     listed = staged(open_, "open")
     part = rows.join(listed, [rows["k"].eqNullSafe(listed["k"]), rows["th"] == listed["th"]]).select(rows["k"], rows["th"], "text", "at")
-    windows = staged(window_rows(part, length).dropDuplicates(["fp", "wh", "k", "th", "p"]), "windows")
+    stretched = staged(stretch_rows(part), "stretches")
+    drop_staged(groups, listed)
+    cores = staged(core_rows(stretched, length, step), "cores")
+    alive = cores.groupBy("fp", "part", "core").agg(F.count("*").alias("n"), F.bool_or("single").alias("any")).where("n > 1 and any").select("fp", "part", "core")
+    parts = cores.join(alive, ["fp", "part", "core"]).groupBy("fp", "sh").agg(F.collect_set("part").alias("parts"))
+    windows = staged(window_rows(stretched.join(parts, ["fp", "sh"]), length, step), "windows")
+    drop_staged(stretched, cores)
     twice = windows.groupBy("fp", "wh").agg(F.count("*").alias("n")).where("n > 1").select("fp", "wh")
-    single = windows.where("single").join(twice, ["fp", "wh"]).select("k", "th", F.col("p").alias("p0"), (F.col("p") + length).alias("p1"))
-    known = found.where("fp is null").select("k", "th", "p0", "p1")
-    every = whole.unionByName(single).unionByName(known)
-    return staged(every.groupBy("k", "th").agg(F.collect_set(F.struct("p0", "p1")).alias("ranges")), "ranges")
+    single = windows.where("single").join(twice, ["fp", "wh"]).select("k", "th", F.col("p").alias("p0"), (F.col("p") + length).cast("int").alias("p1"))
+    found = staged(single, "found")
+    drop_staged(windows)
+    return staged(known.unionByName(found).groupBy("k", "th").agg(F.collect_set(F.struct("p0", "p1")).alias("ranges")), "ranges")
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -181,7 +252,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, tex
             data, offsets = buffers(batch.column(1))
             lists = batch.column(2)
             at, inner = lists.offsets.to_numpy(), lists.values
-            p0, p1 = inner.field(0).to_numpy(), inner.field(1).to_numpy()
+            p0, p1 = inner.field(0).to_numpy().astype(np.int64), inner.field(1).to_numpy().astype(np.int64)
             removed, sha, spans, kept = [], [], [], []
             for i in range(batch.num_rows):
                 own = data[offsets[i] : offsets[i + 1]]
