@@ -188,7 +188,9 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, text: str = "text", key:
 
 
 def detect(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(key, *keep, lang_pred, score) of each row, in one pass without a shuffle. The model is sent once to each executor."""
+    """(key, *keep, lang_pred, score) of each row, in one pass without a shuffle. The model is sent once to each executor.
+    If ``keep`` has the text, it comes after the other columns."""
+    out = [key, *(c for c in keep if c != text), *([text] if text in keep else [])]
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.keys, model.logs))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,10 +198,10 @@ def detect(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id
         names = pa.array([*own.languages, UNDETERMINED])
         for batch in batches:
             best, score = own.scores(*buffers(batch.column(batch.num_columns - 1)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], names.take(pa.array(np.where(best < 0, len(own.languages), best))), pa.array(score)], names=[key, *keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(out)], names.take(pa.array(np.where(best < 0, len(own.languages), best))), pa.array(score)], names=[*out, "lang_pred", "score"])
 
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (key, *keep))
-    return docs.select(key, *keep, text).mapInArrow(predict, f"{fields}, lang_pred string, score double")
+    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in out)
+    return docs.select(*(out if text in keep else [*out, text])).mapInArrow(predict, f"{fields}, lang_pred string, score double")
 
 
 def fold(key: Column, parts: int) -> Column:
