@@ -14,13 +14,14 @@ def components(links: DataFrame, left: str, right: str) -> DataFrame:
     that agree are merged before they move. The number of steps grows with the logarithm of the longest chain."""
     edges = links.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).where("u <> v").distinct()
     edges = staged(edges, "edges")
-    while True:
+    before = _sums(edges)
+    while before[0]:
         large = _star(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), larger=True)
-        large = staged(large, "edges")
-        small = staged(_star(large, larger=False), "edges")
-        if _same(edges, small):
+        edges = staged(_star(large, larger=False), "edges")
+        after = _sums(edges)
+        if after == before:
             break
-        edges = small
+        before = after
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
@@ -36,10 +37,7 @@ def _star(edges: DataFrame, larger: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
-def _same(a: DataFrame, b: DataFrame) -> bool:
-    """Whether two sets of links agree, by their sizes and two sums of hashes."""
-
-    def sums(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
-
-    return sums(a) == sums(b)
+def _sums(edges: DataFrame) -> tuple:
+    """The number of links and two sums of hashes: equal for equal sets of links."""
+    both = (F.xxhash64(*c).cast("decimal(38,0)") for c in (("u", "v"), ("v", "u")))
+    return tuple(edges.agg(F.count("*"), *map(F.sum, both)).first())

@@ -144,16 +144,19 @@ def near_groups(docs: DataFrame, like: Similarity = Similarity(), text: str = "t
     names = staged(member.select("id").distinct(), "candidates")
     texts = docs.select(F.col(key).alias("_id"), text).join(names, F.col("_id") == F.col("id"), "left_semi").groupBy("_id").agg(F.max(text).alias(text))
     sets = staged(shingle_sets(texts, like, text, "_id"), "sets")
-    links = None
     comp = None
     for turn in range(ROUNDS):
-        found = staged(_verified(_stars(member, comp, turn), sets, like), f"stars{turn}")
-        links = found if links is None else links.unionByName(found)
+        links = staged(_verified(_stars(member, comp, turn), sets, like), f"stars{turn}")
+        if comp is not None:
+            if links.isEmpty():
+                break
+            links = links.unionByName(comp.select(F.col("node").alias("a"), F.col("component").alias("b")))
         comp = staged(components(links, "a", "b"), f"components{turn}")
-    crossing = _split_buckets(member, comp)
-    rest = staged(_verified(_crossing_pairs(crossing, sets, like), sets, like), "crossing")
-    links = links.unionByName(rest)
-    comp = staged(components(links, "a", "b"), "components")
+    crossing = staged(_split_buckets(member, comp), "crossing-members")
+    if not crossing.isEmpty():
+        rest = staged(_verified(_crossing_pairs(crossing, sets, like), sets, like), "crossing")
+        if not rest.isEmpty():
+            comp = staged(components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest), "a", "b"), "components")
     named = classes.select("n", "set_a", "set_b", "id").join(comp.withColumnRenamed("node", "id"), "id", "left")
     named = named.select(F.col("n").alias("_n"), F.col("set_a").alias("_a"), F.col("set_b").alias("_b"), "id", F.coalesce("component", "id").alias("component"))
     # classes with many rows: their number is bounded, since each has at least a thousandth of all rows
@@ -206,7 +209,6 @@ def _crossing_pairs(crossing: DataFrame, sets: DataFrame, like: Similarity) -> D
 
     A set's overlap with any other candidate is at most ``u``, its shingles that some other candidate set has too. Members
     that cannot reach the threshold even with their smallest possible partner leave first."""
-    crossing = staged(crossing, "crossing-members")
     own = crossing.select("id").distinct()
     tokens = own.join(sets, "id").select("id", F.explode("s").alias("t"))
     often = tokens.groupBy("t").agg(F.count("*").alias("df")).where("df > 1").select("t")
