@@ -5,7 +5,7 @@
 3. A randomised SVD (range finder, then one power step) of the TF-IDF matrix of all passages, texts' and benchmark's with
    equal total weight, gives RANK latent directions. Each task adds up its part of A'(A X); the sums are small.
 4. Windows of all texts are compared with all benchmark passages by cosine in the latent space.
-5. Windows over COSINE are judged by the longest common subsequence of words with the item, and by that with its answer
+5. Windows over COSINE that hold RARE_SHARE of a passage's weighted words are judged by the longest common subsequence of words with the item, and by that with its answer
    (the last sentence, where the benchmark has no answer column). So reworded passages are found, and passages that only
    share topics are not.
 
@@ -37,7 +37,8 @@ LEAST_DF = 50
 RANK, OVERSAMPLE = 64, 16
 PASSAGE = 48
 BLOCK, SPAN = 16, 4  # a window is SPAN blocks of BLOCK words
-COSINE = 0.45
+COSINE = 0.6
+RARE_SHARE = 0.4
 SHARE, SHARE_WITH_ANSWER, ANSWER_SHARE, ANSWER_WORDS = 0.75, 0.6, 0.8, 5
 ROWS_AT_ONCE = 1 << 19
 
@@ -91,6 +92,7 @@ class Passage:
     item: int
     ids: np.ndarray
     words: int
+    rare: frozenset = frozenset()  # the weighted words
 
 
 def lcs(left: np.ndarray, right: np.ndarray) -> int:
@@ -290,6 +292,8 @@ def _block(docs: DataFrame, items: list[tuple], text: str, key: str, schema: str
         if (weight[np.unique(p.ids)] > 0).sum() < 5:
             rare = np.unique(p.ids)[np.argsort(-idf[np.unique(p.ids)], kind="stable")[:5]]
             weight[rare] = idf[rare]
+    for p in passages:
+        p.rare = frozenset(np.unique(p.ids[weight[p.ids] > 0]).tolist())
     basis = latent_basis(sequences, weight, passages, kind)
     latent = np.stack([(weight[p.ids, None] * basis[p.ids]).sum(axis=0) for p in passages])
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
@@ -348,8 +352,7 @@ def _judged(ids: np.ndarray, hits: list[tuple[int, int, float]], parts: list[Pas
             i += 1
         p = parts[q]
         lo, hi = max(0, start - PASSAGE), stop + BLOCK * SPAN + PASSAGE
-        known = np.intersect1d(p.ids, ids[lo:hi])
-        if len(known) * 4 < len(np.unique(p.ids)):
+        if len(p.rare.intersection(ids[lo:hi].tolist())) < RARE_SHARE * len(p.rare):
             continue
         near = 2 * p.words  # the words looked at together: twice the passage, moved by half of it
         n = max(lcs(p.ids, ids[x : x + near]) for x in range(lo, min(hi, len(ids)), max(1, p.words // 2)))
