@@ -37,7 +37,7 @@ LEAST_DF = 50
 RANK, OVERSAMPLE = 64, 16
 PASSAGE = 48
 BLOCK, SPAN = 16, 4  # a window is SPAN blocks of BLOCK words
-COSINE = 0.6
+COSINE = 0.5
 RARE_SHARE = 0.4
 SHARE, SHARE_WITH_ANSWER, ANSWER_SHARE, ANSWER_WORDS = 0.75, 0.6, 0.8, 5
 ROWS_AT_ONCE = 1 << 19

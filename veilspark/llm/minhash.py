@@ -90,10 +90,14 @@ def sub_keys(values: np.ndarray, offsets: np.ndarray, side: int) -> np.ndarray:
 def parities(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Words of PARITY_BITS bits of each row: whether a cell has an odd number of the row's shingles. Where two rows'
     bits differ, their sets differ in an element at least."""
-    n = len(offsets) - 1
-    cell = np.repeat(np.arange(n), np.diff(offsets)) * PARITY_BITS + (values & U(PARITY_BITS - 1)).astype(np.int64)
-    odd = (np.bincount(cell, minlength=n * PARITY_BITS) & 1).astype(np.uint8)
-    return np.packbits(odd, bitorder="little").view(U).reshape(n, PARITY_BITS // 64)
+    out = np.zeros((len(offsets) - 1, PARITY_BITS // 64), dtype=U)
+    for a in range(0, len(out), 1024):
+        own = offsets[a : a + 1025]
+        n = len(own) - 1
+        cell = np.repeat(np.arange(n), np.diff(own)) * PARITY_BITS + (values[own[0] : own[-1]] & U(PARITY_BITS - 1)).astype(np.int64)
+        odd = (np.bincount(cell, minlength=n * PARITY_BITS) & 1).astype(np.uint8)
+        out[a : a + n] = np.packbits(odd, bitorder="little").view(U).reshape(n, -1)
+    return out
 
 
 def signatures(docs: DataFrame, like: Similarity, text: str, key: str) -> DataFrame:
