@@ -6,8 +6,9 @@ sets share a key exactly if some left and some right hash agree, so a pair of si
 most 1 - (1 - (1 - s**WIDTH)**SIDE)**2; SIDE is chosen so that this is under MISS at the threshold.
 
 Copies are folded first: one representative per distinct shingle set. A bucket never emits all its pairs. In each round a
-bucket has one centre, each other member is compared with the centre, and verified links are contracted. Which
-member is the centre differs by table, so a dense group falls into one component in the first rounds. What is left
+bucket has one centre, each other member is compared with the centre, and verified links are contracted. The first
+centre is the member that meets most others over all its buckets, the next ones are any; members that share buckets
+share centres, so a dense group falls into one component in the first rounds with few comparisons. What is left
 are pairs in one bucket but different components: of these, only pairs whose overlap can still reach the threshold
 become rows: a member's overlap is at most its number of shingles that occur in another set of its candidates, and two
 sets differ at least in as many elements as their parity bits differ. Both bounds are exact, so no candidate link is
@@ -30,12 +31,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import staged
+from .shared import drop_staged, staged
 from .textops import U, buffers, distinct_sorted, list_column, mix, segments, shingles, word_hashes
 
 WIDTH = 2
 MISS = 1e-4
-ROUNDS = 2
+ROUNDS = 3
 PARITY_BITS = 1024
 
 
@@ -143,9 +144,11 @@ def near_groups(docs: DataFrame, like: Similarity = Similarity(), text: str = "t
     classes = staged(classes, "classes")
     pairs = [F.xxhash64(F.lit(i * side + j), F.col("sub")[i], F.col("sub")[side + j]) for i in range(side) for j in range(side)]
     keys = classes.select("id", "n", F.explode(F.array(*pairs)).alias("bucket"))
-    shared = keys.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket")
-    member = staged(keys.join(shared, "bucket"), "buckets")
-    names = staged(member.select("id").distinct(), "candidates")
+    shared = keys.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
+    placed = staged(keys.join(shared, "bucket"), "placed")
+    names = staged(placed.groupBy("id").agg(F.sum("m").alias("degree")), "candidates")
+    member = staged(placed.join(names, "id").drop("m"), "buckets")
+    drop_staged(placed)
     texts = docs.select(F.col(key).alias("_id"), text).join(names, F.col("_id") == F.col("id"), "left_semi").groupBy("_id").agg(F.max(text).alias(text))
     sets = staged(shingle_sets(texts, like, text, "_id"), "sets")
     comp = None
@@ -187,7 +190,8 @@ def _stars(member: DataFrame, comp: DataFrame | None, turn: int) -> DataFrame:
     own = member
     if comp is not None:
         own = _split_buckets(member, comp)
-    rank = F.struct(F.xxhash64("bucket", "id", F.lit(turn)).alias("r"), F.col("id").alias("c"))
+    order = -F.col("degree") if turn == 0 else F.xxhash64("id", F.lit(turn))
+    rank = F.struct(order.alias("r"), F.col("id").alias("c"))
     centre = own.groupBy("bucket").agg(F.min(rank).alias("m")).select("bucket", F.col("m.c").alias("c"))
     pairs = own.join(centre, "bucket").where("id <> c")
     return pairs.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
