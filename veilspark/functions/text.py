@@ -109,8 +109,8 @@ def check_digit(body: Str) -> Column:
     """Modulo-11 check digit of a string of digits, weights 2 to 7 repeating from the right; 10 is K, 11 is 0."""
     digits = F.split(F.reverse(col(body)), "")
     weighted = F.transform(F.filter(digits, lambda d: d != ""), lambda d, i: d.cast("int") * (F.lit(2) + i % 6))
-    rest = 11 - F.aggregate(weighted, F.lit(0), lambda a, x: a + x) % 11
-    return F.when(rest == 11, "0").when(rest == 10, "K").otherwise(rest.cast("string"))
+    rest = F.aggregate(weighted, F.lit(0), lambda a, x: a + x) % 11
+    return F.substring(F.lit("0K987654321"), rest + 1, F.lit(1))
 
 
 def rut_clean(c: Str) -> Column:
@@ -120,9 +120,8 @@ def rut_clean(c: Str) -> Column:
 
 def rut_is_valid(c: Str) -> Column:
     clean = rut_clean(c)
-    body = F.substring(clean, F.lit(1), F.length(clean) - 1)
-    shape = clean.rlike(r"^[0-9]+[0-9K]$")
-    return F.when(shape, check_digit(F.when(shape, body).otherwise("0")) == F.right(clean, F.lit(1))).otherwise(False)
+    body = F.regexp_extract(clean, r"^([0-9]+)[0-9K]$", 1)
+    return (body != "") & (check_digit(body) == F.right(clean, F.lit(1)))
 
 
 def rut_shape(c: Str) -> Column:
@@ -132,20 +131,16 @@ def rut_shape(c: Str) -> Column:
 
 
 def rut_key(c: Str) -> Column:
-    clean = rut_clean(c)
-    return F.when(clean.rlike(r"^[0-9]{6,9}[0-9K]$"), clean)
+    return F.nullif(F.regexp_extract(rut_clean(c), r"^([0-9]{6,9}[0-9K])$", 1), F.lit(""))
 
 
 def national_digits(c: Str) -> Column:
     """Digits without the country code and the old trunk prefix."""
-    d = rx(c, r"[^0-9]")
-    d = F.when(d.startswith("0056"), F.substring(d, F.lit(5), F.length(d))).when(d.startswith("56") & (F.length(d) >= 10), F.substring(d, F.lit(3), F.length(d))).otherwise(d)
-    return F.when((F.length(d) == 10) & d.startswith("0"), F.substring(d, F.lit(2), F.length(d))).otherwise(d)
+    return rx(rx(rx(c, r"[^0-9]"), r"^(?:0056|56(?=[0-9]{8}))"), r"^0(?=[0-9]{9}$)")
 
 
 def phone_key(c: Str) -> Column:
-    d = national_digits(c)
-    return F.when(F.length(d).between(8, 10), d)
+    return F.nullif(F.regexp_extract(national_digits(c), r"^([0-9]{8,10})$", 1), F.lit(""))
 
 
 def phone_number_ok(digits: Column, labelled: Column) -> Column:
