@@ -14,8 +14,8 @@ Str = Column | str
 
 #: The letters that character recognition takes for digits, and those digits.
 CONFUSED, MEANT = "OoDQlI|SBZ", "0000111582"
-#: The dashes that may stand before a check digit.
-DASHES = "-‐‑‒–—−"
+#: The dashes that may stand before a check digit, as part of a character class.
+DASHES = r"\-‐‑‒–—−"
 
 
 def _fold_tables() -> tuple[str, str]:
@@ -76,7 +76,7 @@ def strip_accents(c: Str) -> Column:
 
 def normalize_value(kind: Str, value: Str) -> Column:
     """Canonical form of a value by its type."""
-    digits = F.upper(rx(rx(value, rf"[\s.,·{DASHES}]"), r"^\+?56(?=\d{8,9}$)"))
+    digits = F.upper(rx(value, rf"[\s.,·{DASHES}]"))
     phone = rx(rx(value, r"[^0-9]"), r"^(00)?56(?=\d{8,9}$)")
     squeezed = F.lower(rx(value, r"(?U)\s+"))
     kind = col(kind)

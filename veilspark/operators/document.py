@@ -30,7 +30,7 @@ def found_values(spans: DataFrame, file: str = "file") -> DataFrame:
 def candidate_hits(pages: DataFrame, values: DataFrame, file: str = "file", text: str = "text") -> DataFrame:
     """Places where a found value stands again: on its pages, or in the whole file if it is strong."""
     both = pages.withColumn("_fold", T.fold(text)).join(values, file).where(F.col("whole") | F.array_contains("pages", F.col("page")))
-    both = both.where(F.col("_fold").rlike(F.col("pattern")))
+    both = both.where(F.regexp_like("_fold", F.col("pattern")))
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
@@ -80,7 +80,7 @@ def settle_optional(findings: DataFrame) -> DataFrame:
     """An optional link that holds the value of a name, address or signature of its file is no longer optional."""
     names = findings.where(F.col("type").isin("name", "address", "signature") & F.col("value").isNotNull()).select(F.col("file").alias("_f"), T.needle_pattern("value").alias("_p")).where("_p is not null").distinct()
     urls = findings.where("type = 'url' and optional").select("id", F.col("file").alias("_g"), F.translate(T.fold("value"), "-_", "  ").alias("_u"))
-    hit = urls.join(names, F.col("_f") == F.col("_g")).where(F.col("_u").rlike(F.col("_p"))).select(F.col("id").alias("_id")).distinct()
+    hit = urls.join(names, F.col("_f") == F.col("_g")).where(F.regexp_like("_u", F.col("_p"))).select(F.col("id").alias("_id")).distinct()
     out = findings.join(hit, F.col("id") == F.col("_id"), "left")
     settled = F.col("_id").isNotNull()
     return out.withColumns({"optional": F.col("optional") & ~settled, "optional_reason": F.when(~settled, F.col("optional_reason")), "status": F.when(settled & (F.col("status") == "suggested"), "proposed").otherwise(F.col("status"))}).drop("_id")

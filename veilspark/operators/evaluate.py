@@ -66,7 +66,7 @@ def search(needle_rows: DataFrame, hay: DataFrame, keys: list[str]) -> DataFrame
     """Needles found in the haystack of their file: (element, part, origin). An equi join on file and kind, then containment."""
     n = needle_rows.select(*keys, "element", "kind", F.col("form").alias("nf"), "part", "pattern", "literal")
     both = n.join(hay, [*keys, "kind"])
-    plain = F.col("form").contains(F.col("nf")) | F.coalesce(F.when(F.col("pattern").isNotNull(), F.col("form").rlike(F.coalesce("pattern", F.lit("$^")))), F.lit(False))
+    plain = F.col("form").contains(F.col("nf")) | F.coalesce(F.when(F.col("pattern").isNotNull(), F.regexp_like("form", F.coalesce("pattern", F.lit("$^")))), F.lit(False))
     hit = F.when(F.col("binary") & (F.col("kind") == "digits"), F.col("form").contains(F.col("literal"))).otherwise(plain)
     return both.where(hit).select(*keys, "element", "part", "origin").distinct()
 
@@ -146,11 +146,11 @@ def detected(kind: Column, coverage: Column, core: Column) -> Column:
 
 def element_checks(layer: Column, results: dict[str, Column]) -> Column:
     """map(check, passed): the checks that apply to the layer; null where a check could not be made."""
-    own = F.map_from_entries(F.array(*(F.struct(F.lit(k), v) for k, v in results.items())))
-    applies = F.lit(False)
-    out = F.map_filter(own, lambda k, v: sum((F.when(layer == name, k.isin(*wanted)).otherwise(False).cast("int") for name, wanted in CHECKS.items()), F.lit(0)) > 0)
-    del applies
-    return out
+    applies = F.lit(None).cast("array<string>")
+    for name, wanted in CHECKS.items():
+        applies = F.when(layer == name, F.array(*map(F.lit, wanted))).otherwise(applies)
+    own = F.map_from_arrays(F.array(*map(F.lit, results)), F.array(*results.values()))
+    return F.map_filter(own, lambda k, v: F.array_contains(applies, k))
 
 
 def failures(checks: Column) -> Column:

@@ -71,7 +71,7 @@ def box_components(boxes: DataFrame, page: list[str], ident: str = "id", grow: C
 
 def char_islands(chars: DataFrame, keys: list[str], gap_heights: float = 2.0, pad: float = 1.0) -> DataFrame:
     """One padded box per line fragment of a span: characters in order, split at gaps over two character heights."""
-    order = Window.partitionBy(*keys, "line").orderBy("pos")
+    order = Window.partitionBy(*keys, "line").orderBy("pos", "x0")
     wide = F.col("x0") - F.lag("x1").over(order) > gap_heights * (F.col("y1") - F.col("y0"))
     island = chars.withColumn("island", F.sum(F.coalesce(wide.cast("int"), F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return island.groupBy(*keys, "line", "island").agg((F.min("x0") - pad).alias("x0"), (F.min("y0") - pad).alias("y0"), (F.max("x1") + pad).alias("x1"), (F.max("y1") + pad).alias("y1"), F.count("*").alias("chars"))

@@ -47,7 +47,7 @@ def needles_in_output(output: DataFrame, findings: DataFrame, page: list[str], t
     """Active values that the output still shows on their page, after what was kept visible has been blanked."""
     own = findings.withColumn("_p", T.needle_pattern("value")).where("_p is not null")
     both = output.select(*page, T.fold(text).alias("_t")).join(own, page)
-    return both.where(F.col("_t").rlike(F.col("_p"))).select(*page, "id", "type", "value")
+    return both.where(F.regexp_like("_t", F.col("_p"))).select(*page, "id", "type", "value")
 
 
 def unmarked(output: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -63,7 +63,7 @@ def string_leaks(strings: DataFrame, findings: DataFrame) -> DataFrame:
     first = Window.partitionBy("file", "_p").orderBy("id")
     own = own.withColumn("_n", F.row_number().over(first)).where("_n = 1")
     both = strings.select("file", T.fold("text").alias("_t")).join(own, "file")
-    return both.where(F.col("_t").rlike(F.col("_p"))).groupBy("file", "id", "type").agg(F.count("*").alias("strings"))
+    return both.where(F.regexp_like("_t", F.col("_p"))).groupBy("file", "id", "type").agg(F.count("*").alias("strings"))
 
 
 def metadata_leaks(metadata: DataFrame) -> DataFrame:

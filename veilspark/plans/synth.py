@@ -57,7 +57,7 @@ SYN = {
         CASE WHEN o_custkey % 4 = 1 OR o_orderkey % 5 = 0 THEN CASE o_orderkey % 3 WHEN 0 THEN 'url' WHEN 1 THEN 'rut' ELSE 'exception' END END AS optional_reason FROM {orders}""",
     "syn_eval": """SELECT l_orderkey AS file, l_linenumber AS id, CASE l_suppkey % 4 WHEN 0 THEN 'rut' WHEN 1 THEN 'email' WHEN 2 THEN 'name' ELSE 'face' END AS type,
         CASE l_partkey % 3 WHEN 0 THEN 'base' WHEN 1 THEN 'stress' ELSE 'out_of_scope' END AS level, CASE l_linestatus WHEN 'O' THEN 'text' ELSE 'raster' END AS layer,
-        l_shipmode AS category, (l_partkey + l_suppkey) % 7 <> 0 AS detected, CASE WHEN l_orderkey % 11 = 0 THEN NULL ELSE (l_partkey * 3 + l_linenumber) % 13 = 0 END AS leak,
+        l_returnflag AS category, (l_partkey + l_suppkey) % 7 <> 0 AS detected, CASE WHEN l_orderkey % 11 = 0 THEN NULL ELSE (l_partkey * 3 + l_linenumber) % 13 = 0 END AS leak,
         CAST(l_partkey % 40 AS DOUBLE) AS height, CAST(l_suppkey % 101 AS DOUBLE) / 100 AS coverage, CASE WHEN l_partkey % 2 = 0 THEN CAST(l_partkey % 21 AS DOUBLE) / 20 END AS core,
         CAST(l_partkey % 97 AS DOUBLE) / 7 AS seconds FROM {lineitem}""",
     "syn_profile": """SELECT c_custkey AS file, CASE WHEN c_custkey % 3 = 0 THEN 'image' ELSE 'pdf' END AS kind, c_custkey % 30 AS pages, c_custkey % 7 AS scanned_pages, c_custkey % 11 AS raster_pages,
