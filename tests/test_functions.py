@@ -76,8 +76,8 @@ def test_fold_keeps_length_and_equals_the_definition(spark):
 
 
 def test_ocr_variant(spark):
-    df = spark.createDataFrame([("l2O BOLD 1S-B8 x",)], "t string")
-    assert df.select(T.ocr_variant("t")).first()[0] == "120 BOLD 15-88 x"
+    df = spark.createDataFrame([("12O BOLD 1S8 x",)], "t string")
+    assert df.select(T.ocr_variant("t")).first()[0] == "120 BOLD 158 x"
 
 
 @settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])

@@ -50,6 +50,10 @@ def decode(files: DataFrame, kind: str) -> DataFrame:
         raise MissingAdapter(kind)
     decoder, schema = _DECODERS[kind], CONTRACTS[kind]
     columns = [c.split()[0] for c in schema.split(", ")]
+    def shaped(out: pd.DataFrame) -> pd.DataFrame:
+        own = out.reindex(columns=columns).astype(object)
+        return own.where(own.notna(), None)
+
     keyed = files.withColumn("digest_", F.sha2("content", 256))
     one = keyed.groupBy("digest_").agg(F.min("file").alias("file"), F.first("content").alias("content"))
 
@@ -58,9 +62,9 @@ def decode(files: DataFrame, kind: str) -> DataFrame:
             for _, row in batch.iterrows():
                 frame = pd.DataFrame([row])
                 try:
-                    yield from (out.reindex(columns=columns) for out in decoder(iter([frame])))
+                    yield from (shaped(out) for out in decoder(iter([frame])))
                 except Exception as e:  # noqa: BLE001 - a broken file is a row, not a failed job
-                    yield pd.DataFrame([{"file": row["file"], "error": f"corrupt: {type(e).__name__}"}]).reindex(columns=columns)
+                    yield shaped(pd.DataFrame([{"file": row["file"], "error": f"corrupt: {type(e).__name__}"}]))
 
     found = one.select("file", "content").mapInPandas(run, schema)
     back = keyed.select(F.col("file").alias("own_"), "digest_").join(one.select(F.col("file").alias("rep_"), "digest_"), "digest_")

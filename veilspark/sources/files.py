@@ -63,7 +63,8 @@ def output_format(kind: Column) -> Column:
 
 
 def scan_folder(spark: SparkSession, path: str, most: int = MOST_FILES) -> tuple[DataFrame, DataFrame]:
-    """(files to take, skipped ones with a reason) of a folder and those below; contents are not read."""
+    """(files to take, skipped ones with a reason) of a folder and those below; contents are not read. Spark
+    itself does not list hidden and empty files."""
     meta = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")
     name = F.element_at(F.split("path", "/"), -1)
     suffix = F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]{1,6})$", 1))
