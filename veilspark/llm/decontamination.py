@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import staged
+from .shared import small_batches, staged
 from .textops import LOWER, U, buffers, prefix_hash, segments, span_hash
 
 BLOCK_ITEMS = 4096
@@ -245,6 +245,7 @@ def _passages(items: list[tuple], hashes: list[np.ndarray], vocabulary: Vocabula
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item: str = "item_id", answer: str | None = None) -> DataFrame:
     """(key, item, cosine, share, answer_found) for each text and each benchmark item that it holds. share is the part of
     the item's words that the text has in the item's order, near together."""
+    small_batches(docs.sparkSession)
     wanted = benchmark.select(F.col(item), F.col(text), F.col(answer) if answer else F.lit(None).cast("string")).where(F.col(text).isNotNull())
     schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, `{item}` {benchmark.schema[item].dataType.simpleString()}, cosine double, share double, answer_found boolean"
     found, block = None, []

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import small_batches
 from .textops import U, buffers, mix, prefix_hash, segments, span_hash
 
 FIT_ROWS = 6000
@@ -191,6 +192,7 @@ def detect(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id
     """(key, *keep, lang_pred, score) of each row, in one pass without a shuffle. The model is sent once to each executor.
     If ``keep`` has the text, it comes after the other columns."""
     out = [key, *(c for c in keep if c != text), *([text] if text in keep else [])]
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.keys, model.logs))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

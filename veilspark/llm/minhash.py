@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import drop_staged, staged
+from .shared import drop_staged, small_batches, staged
 from .textops import U, buffers, distinct_sorted, list_column, mix, segments, shingles, word_hashes
 
 WIDTH = 2
@@ -138,6 +138,7 @@ def shingle_sets(docs: DataFrame, like: Similarity, text: str, key: str) -> Data
 
 def near_groups(docs: DataFrame, like: Similarity = Similarity(), text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, n_shingles, component_id, kept, class_id) of each row. class_id is the smallest key with the same shingle set."""
+    small_batches(docs.sparkSession)
     side = like.side()
     signed = staged(signatures(docs, like, text, key), "signatures")
     classes = signed.where("n > 0").groupBy("n", "set_a", "set_b").agg(F.min("k").alias("id"), F.first("sub").alias("sub"), F.count("*").alias("rows"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import drop_staged, staged
+from .shared import drop_staged, small_batches, staged
 from .textops import U, buffers, mix, prefix_hash, segments, span_hash
 
 LENGTH = 200
@@ -210,6 +210,7 @@ def window_rows(stretched: DataFrame, length: int, step: int) -> DataFrame:
 
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(k, th, ranges) of the rows that hold repeated strings; th is the text's hash, ranges array<struct<p0, p1>> of bytes."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("th"), F.col(text).alias("text")).where(F.octet_length("text") >= length)
     step = max(1, (length - gram) // PARTS)
     found = staged(anchor_rows(rows, length, gram), "anchors")

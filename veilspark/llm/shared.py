@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,6 +19,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+ARROW_BYTES = 16 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hold batches sent to Python workers under ARROW_BYTES for this session, so that an executor's memory beside its heap
+    stays small; a smaller setting is kept."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(-?\d+)b?", str(spark.conf.get(name, "-1")))
+    if not now or not 0 < int(now[1]) <= ARROW_BYTES:
+        spark.conf.set(name, str(ARROW_BYTES))
+
+
 def staged(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
     """Write a table in the shared folder and read it back: later stages restart from its files, whatever executor is lost."""
     spark = df.sparkSession

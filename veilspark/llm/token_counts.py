@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .shared import small_batches
 from .textops import U, buffers, prefix_hash, segments, span_hash, word_bounds
 
 SLOTS = 1 << 20
@@ -92,5 +93,6 @@ def token_counts(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: i
             n = counter.rows(data, offsets)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(n), pa.array(n > limit)], names=[key, "n_bytes", "n_tokens", "over_limit"])
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInArrow(count, f"`{key}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
