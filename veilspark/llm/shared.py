@@ -26,7 +26,7 @@ def small_batches(spark: SparkSession) -> None:
     """Hold batches sent to Python workers under ARROW_BYTES for this session, so that an executor's memory beside its heap
     stays small; a smaller setting is kept."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = re.fullmatch(r"(-?\d+)b?", str(spark.conf.get(name, "-1")))
+    now = re.fullmatch(r"(-?\d+)b?", str(spark.conf.get(name, "64m")))
     if not now or not 0 < int(now[1]) <= ARROW_BYTES:
         spark.conf.set(name, str(ARROW_BYTES))
 
