@@ -6,6 +6,7 @@ Patterns are ported to Java's engine with explicit Unicode classes; lengths and
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -42,6 +43,11 @@ def rx(c: Str, pattern: str, to: str = "") -> Column:
     return F.regexp_replace(col(c), pattern, to)
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def fold(c: Str) -> Column:
     """Lower case without accents, character by character: the length stays, white space becomes spaces."""
     return F.lower(F.translate(rx(c, r"(?U)\s", " "), FOLD_FROM, FOLD_TO))
@@ -150,13 +156,16 @@ def phone_number_ok(digits: Column, labelled: Column) -> Column:
 
 def parse_exception(entry: Str) -> Column:
     """struct(rut, phone): the keys an entry of the exception list stands for; both null when it is neither."""
-    text = rx(rx(entry, r"(?U)^\s+"), r"(?U)\s+$")
+    return let(rx(rx(entry, r"(?U)^\s+"), r"(?U)\s+$"), _parsed)
+
+
+def _parsed(text: Column) -> Column:
     as_rut = F.lower(text).contains("k") | text.rlike(rf"[0-9]\s?[{DASHES}]\s?[0-9]$") | text.rlike(r"[0-9]\.[0-9]{3}(\.|[^0-9]|$)")
     rut_chars = text.rlike(rf"^[0-9kK.,\s{DASHES}]+$")
     phone_chars = text.rlike(rf"^[0-9+()\s.{DASHES}]+$")
     bare = text.rlike(r"^[0-9]+$")
     any_digit = text.rlike(r"[0-9]")
-    rut = F.when(any_digit & as_rut & rut_chars, rut_key(text)).when(any_digit & ~as_rut & bare, rut_key(text))
+    rut = F.when(any_digit & ((as_rut & rut_chars) | (~as_rut & bare)), rut_key(text))
     phone = F.when(any_digit & ~as_rut & phone_chars, phone_key(text))
     return F.struct(rut.alias("rut"), phone.alias("phone"))
 

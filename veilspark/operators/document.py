@@ -55,16 +55,21 @@ def propagate(pages: DataFrame, spans: DataFrame) -> DataFrame:
     cond = [hits["file"] == old["file"], hits["page"] == old["page"], hits["a"] < old["_b"], old["_a"] < hits["b"]]
     free = hits.join(old, cond, "left_anti")
 
-    def take(df: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple[int, int]] = []
-        rows = []
-        for row in df.sort_values(["fp", "fa", "value", "a", "b"], kind="stable").itertuples(index=False):
-            if all(row.a >= y or row.b <= x for x, y in kept):
-                kept.append((row.a, row.b))
-                rows.append(row)
-        return pd.DataFrame(rows, columns=df.columns)
-
-    kept = free.groupBy("file", "page").applyInPandas(take, free.schema)
+    order = ["file", "page", "fp", "fa", "value", "a", "b"]
+
+    def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        page, kept = None, []
+        for df in batches:  # pages follow each other, so one page's places are all that is remembered
+            keep = []
+            for i, row in enumerate(df.itertuples(index=False)):
+                if (row.file, row.page) != page:
+                    page, kept = (row.file, row.page), []
+                if all(row.a >= y or row.b <= x for x, y in kept):
+                    kept.append((row.a, row.b))
+                    keep.append(i)
+            yield df.iloc[keep]
+
+    kept = free.repartition("file", "page").sortWithinPartitions(*order).mapInPandas(take, free.schema)
     return kept.select("file", "page", "type", "a", "b", "detector", "value")
 
 

@@ -40,9 +40,9 @@ def span_gap_text(t: Tables) -> DataFrame:
     return g.groupBy("file", "page").agg(F.count("*").alias("spans"), F.sum(F.length("gap")).cast("decimal(38,0)").cast("long").alias("gap_chars"), F.max(F.length("gap")).alias("longest"))
 
 
-@query("SELECT id, CASE WHEN t <> 'rut' OR valid THEN t WHEN id % 2 = 0 THEN 'email' END AS type FROM (SELECT id, CASE id % 3 WHEN 0 THEN 'rut' WHEN 1 THEN 'name' ELSE 'address' END AS t, id % 5 <> 0 AS valid FROM {syn_rut} WHERE form = 1)")
+@query("SELECT id, CASE WHEN t <> 'rut' OR valid THEN t WHEN id % 2 = 0 THEN 'email' END AS type FROM (SELECT id, CASE id % 3 WHEN 0 THEN 'rut' WHEN 1 THEN 'name' ELSE 'address' END AS t, id % 5 <> 0 AS valid FROM {syn_rut})")
 def context_value_type(t: Tables) -> DataFrame:
-    own = t("syn_rut").where("form = 1")
+    own = t("syn_rut")
     kind = F.when(F.col("id") % 3 == 0, "rut").when(F.col("id") % 3 == 1, "name").otherwise("address")
     value = F.when(F.col("id") % 5 != 0, F.concat(F.col("body").cast("string"), F.lit("-"), "dv")).when(F.col("id") % 2 == 0, "ana@x.cl").otherwise("-")
     sub = F.when(F.col("id") % 2 == 0, F.array(F.lit("url"), F.lit("email"))).otherwise(F.array().cast("array<string>"))
@@ -52,20 +52,20 @@ def context_value_type(t: Tables) -> DataFrame:
 # ---- exceptions and lists -------------------------------------------------------------------------------------------
 
 
-@query("""WITH e AS (SELECT id, value, CAST(body AS VARCHAR) || dv AS k FROM {syn_rut} WHERE form IN (0, 1, 3) UNION ALL SELECT id + 1000000, ' ' || value || ' ', CAST(body AS VARCHAR) || dv FROM {syn_rut} WHERE form = 0),
+@query("""WITH e AS (SELECT id, value, CAST(body AS VARCHAR) || dv AS k FROM {syn_rut} UNION ALL SELECT id + 1000000, ' ' || value || ' ', CAST(body AS VARCHAR) || dv FROM {syn_rut}),
 r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY id) AS n FROM e) SELECT id, trim(value) AS value, k AS rut FROM r WHERE n = 1""")
 def exception_clean(t: Tables) -> DataFrame:
-    own = t("syn_rut").where("form in (0, 1, 3)").select(F.col("id").alias("pos"), F.col("value").alias("entry"))
-    again = t("syn_rut").where("form = 0").select((F.col("id") + 1000000).alias("pos"), F.concat(F.lit(" "), "value", F.lit(" ")).alias("entry"))
+    own = t("syn_rut").select(F.col("id").alias("pos"), F.col("value").alias("entry"))
+    again = t("syn_rut").select((F.col("id") + 1000000).alias("pos"), F.concat(F.lit(" "), "value", F.lit(" ")).alias("entry"))
     kept, _ = DOC.clean_exceptions(own.unionByName(again))
     return kept.select(F.col("pos").alias("id"), "value", "rut")
 
 
-@query("SELECT id, value FROM {syn_rut} WHERE form IN (0, 1, 3) AND id % 10 = 3")
+@query("SELECT id, value FROM {syn_rut} WHERE id % 10 = 3")
 def exception_semi_join(t: Tables) -> DataFrame:
     entries = t("syn_rut").where("id % 10 = 3").select(F.concat(F.col("body").cast("string"), F.lit("-"), "dv").alias("entry"))
     keys = DOC.exception_keys(entries)
-    return DOC.matches(t("syn_rut").where("form in (0, 1, 3)").withColumn("type", F.lit("rut")), keys).select("id", "value")
+    return DOC.matches(t("syn_rut").withColumn("type", F.lit("rut")), keys).select("id", "value")
 
 
 @query("SELECT id, gap, CASE id % 8 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true WHEN 3 THEN false WHEN 4 THEN true WHEN 5 THEN false WHEN 6 THEN true ELSE false END AS label FROM (SELECT c_custkey AS id, CASE c_custkey % 8 WHEN 0 THEN '  - ' WHEN 1 THEN 'rut ' WHEN 2 THEN 'rut: ' WHEN 3 THEN 'Juan ' WHEN 4 THEN ', Teléfono ' WHEN 5 THEN 'N. ' WHEN 6 THEN 'N° ' ELSE 'fono 2 ' END AS gap FROM customer)")
@@ -75,10 +75,10 @@ def exception_label_gap(t: Tables) -> DataFrame:
     return own.select("id", "gap", DOC.is_label_gap("gap").alias("label"))
 
 
-@query("SELECT id FROM {syn_rut} WHERE form = 0 AND id % 10 IN (3, 4) AND id % 2 = 0 OR form = 0 AND id % 10 = 3")
+@query("SELECT id FROM {syn_rut} WHERE id % 10 IN (3, 4)")
 def exception_covered(t: Tables) -> DataFrame:
     """Findings of which every datum is listed and the rest are labels; findings with another word are not."""
-    own = t("syn_rut").where("form = 0").withColumn("text", F.concat(F.lit("RUT: "), "value", F.lit(".")))
+    own = t("syn_rut").withColumn("text", F.concat(F.lit("RUT: "), "value", F.lit(".")))
     keys = DOC.exception_keys(own.where("id % 10 in (3, 4)").select(F.col("value").alias("entry")))
     found = D.dedup_spans(D.detect(own.select("id", "text"), ["id", "text"], "text"), ["id", "text"])
     findings = own.select("id", F.lit(False).alias("optional"), F.lit("rut").alias("type"))
@@ -119,9 +119,9 @@ def settle_optional_urls(t: Tables) -> DataFrame:
     return DOC.settle_optional(url.unionByName(name)).where("type = 'url'").select("id", "optional")
 
 
-@query("SELECT CAST(floor(c_custkey / 3) AS BIGINT) AS file, 20 AS a FROM customer WHERE c_custkey % 3 = 0")
+@query("SELECT c_custkey AS file, 20 AS a FROM customer")
 def data_in_urls(t: Tables) -> DataFrame:
-    c = t("customer").where("c_custkey % 3 = 0").select(F.floor(F.col("c_custkey") / 3).alias("file"), F.lit(0).alias("page"))
+    c = t("customer").select(F.col("c_custkey").alias("file"), F.lit(0).alias("page"))
     pages = c.withColumn("text", F.lit("ver https://x.cl/id=nora.vera@y.cl ahora"))
     mail = c.select("file", "page", F.lit("email").alias("type"), F.lit(100).alias("a"), F.lit(114).alias("b"), F.lit("regex").alias("detector"), F.lit("nora.vera@y.cl").alias("value"))
     url = c.select("file", "page", F.lit("url").alias("type"), F.lit(4).alias("a"), F.lit(34).alias("b"), F.lit("regex").alias("detector"), F.lit("https://x.cl/id=nora.vera@y.cl").alias("value"))
@@ -215,9 +215,9 @@ def pdf_leak_values(t: Tables) -> DataFrame:
     return R.needles_in_output(out, found, ["file"]).select("id")
 
 
-@query("SELECT id FROM {syn_rut} WHERE form <> 6 AND id % 3 = 1")
+@query("SELECT id FROM {syn_rut} WHERE id % 3 = 1")
 def squeezed_leaks(t: Tables) -> DataFrame:
-    own = t("syn_rut").where("form <> 6")
+    own = t("syn_rut")
     out = own.select(F.col("id").alias("file"), F.when(F.col("id") % 3 < 2, F.concat(F.lit("x "), "value")).otherwise("y").alias("text"))
     active = own.select(F.col("id").alias("file"), "value")
     return R.squeezed_leaks(out, active, active.where("file % 3 = 0"), ["file"]).select(F.col("file").alias("id"))

@@ -45,10 +45,10 @@ def element_detected(t: Tables) -> DataFrame:
     return t("syn_eval").select("file", "id", "type", E.detected(F.col("type"), F.col("coverage"), F.col("core")).alias("found"))
 
 
-@query("SELECT file, id, CASE WHEN NOT detected OR coalesce(leak, false) THEN 'leak' WHEN leak IS NULL THEN 'unknown' ELSE 'ok' END AS status, CASE WHEN NOT detected AND coalesce(leak, false) THEN 'coverage;text' WHEN NOT detected THEN 'coverage' WHEN coalesce(leak, false) THEN 'text' ELSE '' END AS failed FROM {syn_eval} WHERE layer = 'text'")
+@query("SELECT file, id, CASE WHEN layer = 'raster' OR NOT detected OR coalesce(leak, false) THEN 'leak' WHEN leak IS NULL THEN 'unknown' ELSE 'ok' END AS status, CASE WHEN layer = 'raster' THEN CASE WHEN detected THEN 'pixels' ELSE 'coverage;pixels' END WHEN NOT detected AND coalesce(leak, false) THEN 'coverage;text' WHEN NOT detected THEN 'coverage' WHEN coalesce(leak, false) THEN 'text' ELSE '' END AS failed FROM {syn_eval}")
 def element_checks(t: Tables) -> DataFrame:
     checks = E.element_checks(F.col("layer"), {"coverage": F.col("detected"), "text": ~F.col("leak"), "pixels": F.lit(False)})
-    own = t("syn_eval").where("layer = 'text'").withColumn("c", checks)
+    own = t("syn_eval").withColumn("c", checks)
     return own.select("file", "id", E.element_status(F.col("c")).alias("status"), F.array_join(E.failures(F.col("c")), ";").alias("failed"))
 
 

@@ -67,7 +67,7 @@ def over_redaction_anti(t: Tables) -> DataFrame:
     return E.over_redaction(b.where("type = 'rut'").drop("type"), b.where("type <> 'rut'").drop("type"), ["file", "page"])
 
 
-@query(f"""WITH RECURSIVE g AS (SELECT id, file, page, x0 - (y1 - y0) / 2 AS x0, y0 - (y1 - y0) / 2 AS y0, x1 + (y1 - y0) / 2 AS x1, y1 + (y1 - y0) / 2 AS y1 FROM {{syn_box}} WHERE file < 100),
+@query(f"""WITH RECURSIVE g AS (SELECT id, file, page, x0 - (y1 - y0) / 2 AS x0, y0 - (y1 - y0) / 2 AS y0, x1 + (y1 - y0) / 2 AS x1, y1 + (y1 - y0) / 2 AS y1 FROM {{syn_box}}),
 l AS (SELECT a.id AS a, b.id AS b FROM g a JOIN g b ON a.file = b.file AND a.page = b.page AND a.id <> b.id AND {_OVER}),
 c AS (SELECT id AS node, id AS root FROM g UNION SELECT l.b, c.root FROM c JOIN l ON l.a = c.node)
 SELECT node AS id, min(root) AS component FROM c GROUP BY node""")
@@ -75,7 +75,7 @@ def box_components(t: Tables) -> DataFrame:
     from ..plans.session import checkpoints
 
     checkpoints(t.spark)
-    return M.box_components(t("syn_box").where("file < 100").select("id", "file", "page", "x0", "y0", "x1", "y1"), ["file", "page"]).select("id", "component")
+    return M.box_components(t("syn_box").select("id", "file", "page", "x0", "y0", "x1", "y1"), ["file", "page"]).select("id", "component")
 
 
 @query("SELECT file, page, x0, y0, x1, y1, min(CASE type WHEN 'rut' THEN 1 WHEN 'phone' THEN 3 WHEN 'name' THEN 5 WHEN 'signature' THEN 6 ELSE 7 END) AS rank, max(score) AS score, bool_and(doubt) AS doubt, bool_and(optional) AS optional, count(*) AS merged FROM {syn_box} GROUP BY file, page, x0, y0, x1, y1")
@@ -98,12 +98,12 @@ def zone_merge_greedy(t: Tables) -> DataFrame:
 
 @query()
 def image_regions(t: Tables) -> DataFrame:
-    return M.join_regions(t("syn_box").where("file < 200"), ["file", "page"], margin=3.0, least=24.0)
+    return M.join_regions(t("syn_box"), ["file", "page"], margin=3.0, least=24.0)
 
 
 @query()
 def hull_pairs(t: Tables) -> DataFrame:
-    b = _polygon(t).where("file < 100").select("id", "file", "page", "x0", "y0", "x1", "y1", "polygon")
+    b = _polygon(t).select("id", "file", "page", "x0", "y0", "x1", "y1", "polygon")
     pairs = M.box_join(b, b, ["file", "page"]).where("id_a < id_b")
     return pairs.select("id_a", "id_b", F.round(M.hull_overlap("polygon_a", "polygon_b"), 4).alias("overlap"))
 

@@ -142,16 +142,16 @@ def rut_key(t: Tables) -> DataFrame:
     return t("syn_rut").select("id", T.rut_key("value").alias("key"))
 
 
-@query("SELECT id, NOT valid AS doubtful FROM {syn_rut} WHERE form IN (0, 1, 3)")
+@query("SELECT id, NOT valid AS doubtful FROM {syn_rut}")
 def rut_doubt_flags(t: Tables) -> DataFrame:
-    return t("syn_rut").where("form in (0, 1, 3)").select("id", F.coalesce(S.rut_doubt("text"), F.lit(False)).alias("doubtful"))
+    return t("syn_rut").select("id", F.coalesce(S.rut_doubt("text"), F.lit(False)).alias("doubtful"))
 
 
 @query("""SELECT id, form = 4 AND NOT valid AND NOT labelled AND regexp_matches(value, '^[0-9]{6,9}[0-9K]$') AND NOT regexp_matches(value, '^[2-9][0-9]{8}$') AND NOT regexp_matches(value, '^600[0-9]{7}$')
-      AND NOT regexp_matches(value, '^56[2-9][0-9]{8}$') AND NOT regexp_matches(value, '^0[2-9][0-9]{8}$') AS suggested FROM {syn_rut} WHERE form IN (1, 4)""")
+      AND NOT regexp_matches(value, '^56[2-9][0-9]{8}$') AND NOT regexp_matches(value, '^0[2-9][0-9]{8}$') AS suggested FROM {syn_rut}""")
 def rut_suggested(t: Tables) -> DataFrame:
     a = F.instr("text", F.col("value")) - 1
-    own = t("syn_rut").where("form in (1, 4)").withColumn("a", a).withColumn("b", F.col("a") + F.length("value"))
+    own = t("syn_rut").withColumn("a", a).withColumn("b", F.col("a") + F.length("value"))
     return own.select("id", S.rut_suggested("text", F.col("a"), F.col("b")).alias("suggested"))
 
 
@@ -190,9 +190,9 @@ def amount_guard(t: Tables) -> DataFrame:
 @query("""SELECT id, CASE WHEN lower(value) LIKE '%k%' OR form <> 4 THEN CASE WHEN length(k) BETWEEN 7 AND 10 THEN k END WHEN length(k) BETWEEN 7 AND 10 THEN k END AS rut,
       CASE WHEN lower(value) LIKE '%k%' OR form NOT IN (4) THEN NULL WHEN length(p) BETWEEN 8 AND 10 THEN p END AS phone FROM (
       SELECT *, CASE WHEN length(e) = 10 AND e LIKE '0%' THEN substr(e, 2) ELSE e END AS p FROM (SELECT id, form, value, CAST(body AS VARCHAR) || dv AS k,
-      CASE WHEN (CAST(body AS VARCHAR) || dv) LIKE '56%' AND length(CAST(body AS VARCHAR) || dv) >= 10 THEN substr(CAST(body AS VARCHAR) || dv, 3) ELSE CAST(body AS VARCHAR) || dv END AS e FROM {syn_rut} WHERE form IN (0, 1, 3, 4)))""")
+      CASE WHEN (CAST(body AS VARCHAR) || dv) LIKE '56%' AND length(CAST(body AS VARCHAR) || dv) >= 10 THEN substr(CAST(body AS VARCHAR) || dv, 3) ELSE CAST(body AS VARCHAR) || dv END AS e FROM {syn_rut}))""")
 def exception_parse(t: Tables) -> DataFrame:
-    own = t("syn_rut").where("form in (0, 1, 3, 4)").select("id", T.parse_exception("value").alias("p"))
+    own = t("syn_rut").select("id", T.parse_exception("value").alias("p"))
     return own.select("id", "p.rut", "p.phone")
 
 
@@ -233,13 +233,13 @@ def magic_sniff(t: Tables) -> DataFrame:
     return t("syn_magic").select("id", FS.sniff(content).alias("kind"), FS.sniff_kind(content).alias("short_kind"), FS.format_from_signature(content).alias("signature"))
 
 
-@query("SELECT doc_id, sha256(text) AS sha, 3 AS revisions, list_sum(list_transform(regexp_extract_all(text, '[ -~]{4,}'), lambda x: length(x))) AS printable FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, sha256(text) AS sha, 3 AS revisions, list_sum(list_transform(regexp_extract_all(text, '[ -~]{4,}'), lambda x: length(x))) AS printable FROM documents")
 def byte_columns(t: Tables) -> DataFrame:
     content = F.col("text").cast("binary")
     marked = F.concat(F.encode(F.lit("%%EOF a %%EOF b %%EOF"), "UTF-8"), F.lit(b""))
     runs = F.regexp_extract_all(F.decode(content, "ISO-8859-1"), F.lit(r"[\x20-\x7e]{4,}"), F.lit(0))
     total = F.aggregate(runs, F.lit(0), lambda a, x: a + F.length(x))
-    return t("documents").where("lang = 'en'").select("doc_id", F.sha2(content, 256).alias("sha"), FS.revisions(marked).alias("revisions"), F.when(F.size(runs) > 0, total).alias("printable"))
+    return t("documents").select("doc_id", F.sha2(content, 256).alias("sha"), FS.revisions(marked).alias("revisions"), F.when(F.size(runs) > 0, total).alias("printable"))
 
 
 @query()
@@ -249,22 +249,22 @@ def byte_texts(t: Tables) -> DataFrame:
 
 @query()
 def pdf_syntax_strings(t: Tables) -> DataFrame:
-    raw = F.encode(F.concat(F.lit("[("), F.regexp_replace(F.substring("text", 1, 40), r"[()\\\[\]<>]", " "), F.lit(")-20(x)] TJ (uno) Tj <646F73> Tj")), "ISO-8859-1")
+    raw = F.encode(F.concat(F.lit("[("), F.regexp_replace("text", r"[()\\\[\]<>]", " "), F.lit(")-20(x)] TJ (uno) Tj <646F73> Tj")), "ISO-8859-1")
     return t("benchmark").select("item_id", FS.pdf_strings(raw).alias("s")).select("item_id", F.size("s").alias("strings"), F.element_at("s", -1).alias("last"))
 
 
 # ---- masking --------------------------------------------------------------------------------------------------------
 
 
-@query(rf"SELECT doc_id, sha256(regexp_replace(text, '[0-9]', 'X', 'g')) AS masked FROM documents WHERE contains(text, '@')")
+@query(rf"SELECT doc_id, sha256(regexp_replace(text, '[0-9]', 'X', 'g')) AS masked FROM documents")
 def mask_text(t: Tables) -> DataFrame:
-    return t("documents").where(F.col("text").contains("@")).select("doc_id", F.sha2(R.mask_pattern("text", "[0-9]", "X"), 256).alias("masked"))
+    return t("documents").select("doc_id", F.sha2(R.mask_pattern("text", "[0-9]", "X"), 256).alias("masked"))
 
 
-@query("SELECT lang, count(*) AS docs, 0 AS left_after FROM documents WHERE contains(text, '@') GROUP BY lang")
+@query("SELECT lang, count(*) AS docs, 0 AS left_after FROM documents GROUP BY lang")
 def mask_then_rescan(t: Tables) -> DataFrame:
     """Masking the deduplicated spans leaves none of the patterns that must not leak."""
-    docs = t("documents").where(F.col("text").contains("@")).select("doc_id", "lang", "text")
+    docs = t("documents").select("doc_id", "lang", "text")
     found = D.dedup_spans(D.detect(docs, ["doc_id"], "text"), ["doc_id"])
     masked = R.masked_pages(docs, found, ["doc_id"])
     left = R.unmarked(masked.select("doc_id", F.col("masked").alias("text")), ["doc_id"]).groupBy("doc_id").agg(F.sum("n").alias("n"))
