@@ -45,7 +45,7 @@ SYN = {
     "syn_span": """SELECT l_orderkey % 1000 AS file, l_linenumber AS page, l_partkey % 200 AS a, l_partkey % 200 + l_suppkey % 40 AS b,
         CASE l_suppkey % 6 WHEN 0 THEN 'email' WHEN 1 THEN 'address' WHEN 2 THEN 'name' WHEN 3 THEN 'rut' WHEN 4 THEN 'phone' ELSE 'url' END AS type,
         CASE l_returnflag WHEN 'A' THEN 'regex' WHEN 'N' THEN 'name_list' ELSE 'context' END AS detector FROM {lineitem}""",
-    "syn_box": """SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, l_orderkey % 1000 AS file, l_linenumber AS page,
+    "syn_box": """SELECT l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) AS id, l_orderkey % 1000 AS file, l_linenumber AS page,
         CAST(l_partkey % 500 AS DOUBLE) AS x0, CAST((l_suppkey * 7) % 700 AS DOUBLE) AS y0,
         CAST(l_partkey % 500 + 5 + CAST(l_quantity AS BIGINT) AS DOUBLE) AS x1, CAST((l_suppkey * 7) % 700 + 5 + l_orderkey % 20 AS DOUBLE) AS y1,
         CAST(l_suppkey % 100 AS DOUBLE) / 100 AS score, l_partkey % 3 = 0 AS doubt, l_partkey % 4 = 0 AS optional,
