@@ -135,10 +135,10 @@ def neighbour_clip(t: Tables) -> DataFrame:
     return own.select("id", "z.y0", "z.y1")
 
 
-@query(f"SELECT a.id AS zone, count(*) AS glyphs FROM (SELECT * FROM {{syn_box}} WHERE type = 'rut') a JOIN (SELECT * FROM {{syn_box}} WHERE type = 'url') b ON a.file = b.file AND a.page = b.page AND {_OVER} AND ((b.x0 + b.x1) / 2 BETWEEN a.x0 AND a.x1 AND (b.y0 + b.y1) / 2 BETWEEN a.y0 AND a.y1 OR {_INTER} >= 0.5 * (b.x1 - b.x0) * (b.y1 - b.y0)) GROUP BY a.id")
+@query(f"SELECT a.id AS zone, count(*) AS glyphs FROM (SELECT * FROM {{syn_box}} WHERE optional) a JOIN (SELECT * FROM {{syn_box}} WHERE NOT optional) b ON a.file = b.file AND a.page = b.page AND {_OVER} AND ((b.x0 + b.x1) / 2 BETWEEN a.x0 AND a.x1 AND (b.y0 + b.y1) / 2 BETWEEN a.y0 AND a.y1 OR {_INTER} >= 0.5 * (b.x1 - b.x0) * (b.y1 - b.y0)) GROUP BY a.id")
 def glyphs_under(t: Tables) -> DataFrame:
-    b = t("syn_box").select("id", "file", "page", "x0", "y0", "x1", "y1", "type")
-    return M.glyphs_under(b.where("type = 'rut'"), b.where("type = 'url'"), ["file", "page"]).groupBy(F.col("id_a").alias("zone")).agg(F.count("*").alias("glyphs"))
+    b = t("syn_box").select("id", "file", "page", "x0", "y0", "x1", "y1", "optional")
+    return M.glyphs_under(b.where("optional"), b.where("not optional"), ["file", "page"]).groupBy(F.col("id_a").alias("zone")).agg(F.count("*").alias("glyphs"))
 
 
 @query("SELECT id, CASE WHEN optional THEN 'skip' ELSE 'remove' END AS action FROM {syn_finding} WHERE status NOT IN ('removed', 'suggested') AND x < 50 AND x + 10 > 20 AND y < 60 AND y + 10 > 20")
