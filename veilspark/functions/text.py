@@ -239,7 +239,7 @@ def format_rut(body: Str, dv: Str, form: Str) -> Column:
     )
 
 
-#: Written forms of phones: A is the area, n..m are places of the nine national digits.
+#: Written forms of phones; n-m are places of the nine national digits.
 PHONE_FORMS = {
     "mobile_international": "+56 9 {1-4} {5-8}", "mobile_compact": "+569{1-4}{5-8}", "mobile_national": "9 {1-4} {5-8}",
     "mobile_block": "9{1-4} {5-8}", "mobile_parentheses": "(+56) 9 {1-4} {5-8}", "mobile_hyphens": "+56-9-{1-4}-{5-8}",
