@@ -199,9 +199,9 @@ def verdict(elements: DataFrame, files: DataFrame, metadata: DataFrame) -> DataF
     crit = elements.agg(F.count_if((F.col("level") == "base") & F.col("type").isin("rut", "email", "phone") & F.col("leak")).alias("critical_leaks"), F.count_if((F.col("level") == "base") & F.col("leak").isNull()).alias("not_processed"))
     own = files.agg(F.count_if(F.col("status").isin("wrong_code", "not_rejected")).alias("rejections"), F.count_if((F.col("status") == "processed") & F.col("seconds").isNull()).alias("timings"))
     meta = metadata.agg(F.count_if("leak").alias("metadata_leaks"))
-    row = crit.crossJoin(own).crossJoin(meta)  # one row each
-    names = ["critical_leaks", "metadata_leaks", "rejections", "timings", "not_processed"]
-    return row.select(F.explode(F.array(*(F.struct(F.lit(n).alias("criterion"), F.col(n).alias("failures")) for n in names))).alias("c")).select("c.criterion", "c.failures", (F.col("c.failures") == 0).alias("passed"))
+    long = lambda df: df.select(F.explode(F.array(*(F.struct(F.lit(n).alias("criterion"), F.col(n).alias("failures")) for n in df.columns))).alias("c"))
+    rows = long(crit).unionByName(long(own)).unionByName(long(meta))
+    return rows.select("c.criterion", "c.failures", (F.col("c.failures") == 0).alias("passed"))
 
 
 def duplicate_values(elements: DataFrame) -> DataFrame:
