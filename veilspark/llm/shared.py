@@ -19,7 +19,7 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-ARROW_BYTES = 16 << 20
+ARROW_BYTES = 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
