@@ -134,6 +134,18 @@ def test_decontamination(spark, docs, empty):
     assert decontamination.contaminated(table, bench.where("false")).isEmpty()
 
 
+def test_decontamination_with_rare_words_replaced(spark):
+    """Three quarters of an item's words in order, though 11 of its 18 rare words are others."""
+    common, rare = [f"fun{i}" for i in range(15)], [f"rara{i}" for i in range(18)]
+    item = [w for i in range(6) for w in (*rare[3 * i : 3 * i + 3], *(common[(5 * i + j) % 15] for j in range(5)))]
+    kept = ["otra" if w in rare[:11] else w for w in item]
+    far = ["otra" if w in rare[:13] else w for w in item]
+    rows = [(i, " ".join(common) + " nada") for i in range(60)] + [(100, " ".join(kept)), (101, " ".join(far))] + [(200 + i, " ".join(item)) for i in range(3)]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    found = decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert {x.doc_id: x.share for x in found} == {100: 37 / 48, 200: 1.0, 201: 1.0, 202: 1.0}
+
+
 def test_lcs():
     r = random.Random(4)
     for _ in range(200):

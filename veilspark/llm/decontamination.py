@@ -5,9 +5,10 @@
 3. A randomised SVD (range finder, then one power step) of the TF-IDF matrix of all passages, texts' and benchmark's with
    equal total weight, gives RANK latent directions. Each task adds up its part of A'(A X); the sums are small.
 4. Windows of all texts are compared with all benchmark passages by cosine in the latent space.
-5. Windows over COSINE that hold RARE_SHARE of a passage's weighted words are judged by the longest common subsequence of words with the item, and by that with its answer
+5. Windows over COSINE are judged by the longest common subsequence of words with the item, and by that with its answer
    (the last sentence, where the benchmark has no answer column). So reworded passages are found, and passages that only
-   share topics are not.
+   share topics are not. Items of which the windows hold too few words, in any order, for the least share are not compared;
+   a subsequence is no longer than that count, so this drops nothing that could be found.
 
 The benchmark is read in blocks of at most BLOCK_ITEMS items, each with a vocabulary and matrices of bounded size; the texts
 are never gathered, and nothing is shuffled but the sums.
@@ -38,7 +39,6 @@ RANK, OVERSAMPLE = 64, 16
 PASSAGE = 48
 BLOCK, SPAN = 16, 4  # a window is SPAN blocks of BLOCK words
 COSINE = 0.5
-RARE_SHARE = 0.4
 SHARE, SHARE_WITH_ANSWER, ANSWER_SHARE, ANSWER_WORDS = 0.75, 0.6, 0.8, 5
 ROWS_AT_ONCE = 1 << 19
 
@@ -92,7 +92,6 @@ class Passage:
     item: int
     ids: np.ndarray
     words: int
-    rare: frozenset = frozenset()  # the weighted words
 
 
 def lcs(left: np.ndarray, right: np.ndarray) -> int:
@@ -293,8 +292,6 @@ def _block(docs: DataFrame, items: list[tuple], text: str, key: str, schema: str
         if (weight[np.unique(p.ids)] > 0).sum() < 5:
             rare = np.unique(p.ids)[np.argsort(-idf[np.unique(p.ids)], kind="stable")[:5]]
             weight[rare] = idf[rare]
-    for p in passages:
-        p.rare = frozenset(np.unique(p.ids[weight[p.ids] > 0]).tolist())
     basis = latent_basis(sequences, weight, passages, kind)
     latent = np.stack([(weight[p.ids, None] * basis[p.ids]).sum(axis=0) for p in passages])
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
@@ -302,11 +299,12 @@ def _block(docs: DataFrame, items: list[tuple], text: str, key: str, schema: str
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows_of, used, queries, parts, names, words, replies = shared.value
+        present = np.zeros(len(used) + 1, dtype=bool)
         for batch in batches:
             out = []
             for a, _b, ids, rows in _chunks(batch, 1, kind):
                 for doc, hits in _windows(ids, rows, rows_of, used, queries):
-                    out += [(a + doc, *x) for x in _judged(ids[rows[doc] : rows[doc + 1]], hits, parts, words, replies)]
+                    out += [(a + doc, *x) for x in _judged(ids[rows[doc] : rows[doc + 1]], hits, parts, words, replies, present)]
             where = pa.array([x[0] for x in out], pa.int64())
             kind_of_item = pa.array(names).type
             yield pa.RecordBatch.from_arrays([batch.column(0).take(where), pa.array([names[x[1]] for x in out], kind_of_item), *(pa.array([x[j] for x in out], t) for j, t in ((2, pa.float64()), (3, pa.float64()), (4, pa.bool_())))], names=[f.split()[0].strip("`") for f in schema.split(", ")])
@@ -339,10 +337,10 @@ def _windows(ids: np.ndarray, rows: np.ndarray, rows_of: np.ndarray, used: np.nd
     yield from sorted(found.items())
 
 
-def _judged(ids: np.ndarray, hits: list[tuple[int, int, float]], parts: list[Passage], words: list[int], replies: list[np.ndarray]) -> list[tuple[int, float, float, bool]]:
-    """(item, cosine, share, answer_found) of the items that a text holds."""
-    best: dict[int, tuple[int, float]] = {}
-    answered: dict[int, bool] = {}
+def _possible(ids: np.ndarray, hits: list[tuple[int, int, float]], parts: list[Passage], words: list[int], replies: list[np.ndarray], present: np.ndarray) -> list[tuple[int, int, int, float]]:
+    """(passage, first word, last word, cosine) of the regions of items that can reach the least share. The words of a passage
+    that are in a region, in any order, bound its longest common subsequence with each part of the region."""
+    regions, most = [], {}
     hits.sort()
     i = 0
     while i < len(hits):  # neighbouring windows are judged as one region
@@ -351,10 +349,26 @@ def _judged(ids: np.ndarray, hits: list[tuple[int, int, float]], parts: list[Pas
         while i < len(hits) and hits[i][0] == q and hits[i][1] <= stop + BLOCK * SPAN:
             stop, cos = hits[i][1], max(cos, hits[i][2])
             i += 1
-        p = parts[q]
         lo, hi = max(0, start - PASSAGE), stop + BLOCK * SPAN + PASSAGE
-        if len(p.rare.intersection(ids[lo:hi].tolist())) < RARE_SHARE * len(p.rare):
-            continue
+        regions.append((q, lo, hi, cos))
+        near = ids[lo : hi + 2 * parts[q].words]
+        present[near] = True
+        most[q] = max(most.get(q, 0), np.count_nonzero(present[parts[q].ids]))
+        present[near] = False
+    bound: dict[int, int] = {}
+    for q, n in most.items():
+        bound[parts[q].item] = bound.get(parts[q].item, 0) + n
+    least = {x: SHARE_WITH_ANSWER if len(replies[x]) >= ANSWER_WORDS else SHARE for x in bound}
+    return [x for x in regions if bound[parts[x[0]].item] / words[parts[x[0]].item] >= least[parts[x[0]].item]]
+
+
+def _judged(ids: np.ndarray, hits: list[tuple[int, int, float]], parts: list[Passage], words: list[int], replies: list[np.ndarray], present: np.ndarray) -> list[tuple[int, float, float, bool]]:
+    """(item, cosine, share, answer_found) of the items that a text holds. ``present`` has a false place per word, and one for
+    unknown words; it is left so."""
+    best: dict[int, tuple[int, float]] = {}
+    answered: dict[int, bool] = {}
+    for q, lo, hi, cos in _possible(ids, hits, parts, words, replies, present):
+        p = parts[q]
         near = 2 * p.words  # the words looked at together: twice the passage, moved by half of it
         n = max(lcs(p.ids, ids[x : x + near]) for x in range(lo, min(hi, len(ids)), max(1, p.words // 2)))
         if n > best.get(q, (0, 0.0))[0]:
