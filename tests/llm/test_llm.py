@@ -3,13 +3,14 @@
 import hashlib
 import random
 import re
+import textwrap
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from veilspark.llm import components, decontamination, exact_dedup, language_id, licenses, minhash, mixing, quality, repeats, sharding, token_counts
+from veilspark.llm import components, decontamination, exact_dedup, language_id, license_texts, licenses, minhash, mixing, quality, repeats, sharding, token_counts
 from veilspark.plans.packaging import ship
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id long, k long, size long"
@@ -270,3 +271,20 @@ def test_licenses(spark, empty):
     assert got[1] == ("Apache-2.0", "own", None) and got[2] == ("Apache-2.0", "inherited", "top") and got[3][:2] == ("MIT", "own")
     assert got[4] == got[5] == (None, "none", None) and got[6] == got[8] == ("MIT", "inherited", "top/x/y") and got[7][:2] == ("MIT", "own")
     assert licenses.scan(empty.withColumn("path", F.lit("a/b")), "path").isEmpty()
+
+
+def test_license_headers_and_files(spark):
+    """Whole headers, titles and license texts, each the only statement of its directory."""
+    texts = dict(license_texts.BLOCKS[::-1])  # the first of each license, which is its longest
+    filler = "\n\n" + "palabra otra cosa mas texto largo " * 30
+    wrap = lambda t, lead="": "\n".join(lead + x for x in textwrap.wrap(t, 60))
+    cases = [(f"Copyright (c) 2020 Ana Soto\n\n{wrap(t)}", name) for name, t in texts.items()]
+    cases += [("/*\n * Copyright 2020 Ana Soto\n *\n" + wrap(t, " * ") + "\n */" + filler, name) for name, t in texts.items()]
+    cases += [("MIT License\nCopyright 2020 Ana Soto" + filler, "MIT"), ("                GNU GENERAL PUBLIC LICENSE\n                   Version 3, 29 June 2007" + filler, "GPL-3.0"), ("# SPDX-License-Identifier: GPL-3.0-or-later" + filler, "GPL-3.0"), ("# SPDX-License-Identifier: Zlib" + filler, "Zlib")]
+    cases += [("This work is licensed under a Creative Commons\nAttribution 4.0 International License." + filler, "CC-BY-4.0")]
+    rows = [(2 * i, f"d{i}/LICENSE", t) for i, (t, _) in enumerate(cases)] + [(2 * i + 1, f"d{i}/x/code", filler) for i in range(len(cases))]
+    rows += [(10000 + i, f"plain/{i}", filler) for i in range(200)]
+    got = {r.doc_id: (r.license, r.basis) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string"), "path").collect()}
+    for i, (text, name) in enumerate(cases):
+        assert got[2 * i] == (name, "own") and got[2 * i + 1] == (name, "inherited"), text
+    assert all(got[10000 + i] == (None, "none") for i in range(200))

@@ -1,12 +1,14 @@
 """License scan: TF-IDF cosine of text segments to license templates, then inheritance from the nearest directory, with
 DataFrame functions only.
 
-A segment is a line, or a sentence of a line. Weights are term counts times ln((1 + texts) / (1 + texts with the term)); a
+A segment is a line, or a sentence of a line, or a sentence over wrapped lines. Apart from these, blocks are compared with
+whole headers, titles and short license texts: lines, paragraphs, the text's first 1, 2, .. HEADER_PARAGRAPHS paragraphs
+together, and the whole text. Lines with an SPDX identifier state it as it stands. Weights are term counts times ln((1 + texts) / (1 + texts with the term)); a
 term outside the templates' vocabulary weighs as one that no text has. For each template, the terms without which no
 segment can reach the cosine are known from the weights, so only segments with one of them are compared; that drops
 nothing that could match. A text's own license is that of its best segment.
 
-A text whose first segment states a license is a license file: it governs its directory and those below. A text without a
+A text whose first segment or block states a license is a license file: it governs its directory and those below. A text without a
 license of its own takes that of the nearest directory upwards that has one.
 
 Defined results: null and empty texts have no license of their own, but inherit; ties go to the license first by name,
@@ -17,15 +19,21 @@ key share a result; an empty table gives an empty result; other columns are igno
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .license_texts import BLOCKS
 from .shared import join_groups, staged
 
 COSINE = 0.75
 MOST_TEMPLATE_TERMS = 20_000
 TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
+HEADER_PARAGRAPHS = 12
+PARAGRAPH_END = r"\n(?:[^\p{L}\p{N}\n]*\n)+"
+SENTENCE_END = r"[.!?]\s+|" + PARAGRAPH_END
+SPDX = r"(?i)SPDX-License-Identifier:[ \t(]*([A-Za-z0-9.+-]*[A-Za-z0-9+])"
 SEGMENT_END = r"[.!?]?[ \t\r]*\n\s*|[.!?][ \t\r]+"
 
 #: Short statements of common licenses, in our own selection.
@@ -87,32 +95,67 @@ def anchors(vectors: dict[str, dict[str, float]], cosine: float) -> set[str]:
     return out
 
 
-def statements(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, cosine: float = COSINE, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(k, at, license, cosine): segments that state a license; ``at`` is the segment's number in the text."""
-    spark = docs.sparkSession
+def _numbered(parts: Column) -> Column:
+    return F.transform(parts, lambda s, i: F.struct(i.alias("at"), s.alias("segment")))
+
+
+def segments(text: Column) -> Column:
+    """(at, segment) of the lines and their sentences, then of the sentences that go over lines."""
+    over = F.filter(_numbered(F.split(text, SENTENCE_END)), lambda s: F.contains(s["segment"], F.lit("\n")))
+    return F.concat(_numbered(F.split(text, SEGMENT_END)), over)
+
+
+def blocks(text: Column) -> Column:
+    """(at, segment) of lines, paragraphs, beginnings and the whole text; ``at`` is 0 for what begins the text."""
+    body = F.regexp_replace(text, r"^[^\p{L}\p{N}]+", "")
+    parts = F.split(body, PARAGRAPH_END)
+    first = F.transform(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(HEADER_PARAGRAPHS))), lambda n: F.struct(F.lit(0).alias("at"), F.array_join(F.slice(parts, 1, n), "\n\n").alias("segment")))
+    whole = F.array(F.struct(F.lit(0).alias("at"), body.alias("segment")))
+    return F.array_distinct(F.concat(first, whole, _numbered(parts), _numbered(F.split(body, r"[ \t\r]*\n\s*"))))
+
+
+def _gate(need: list[str]) -> str:
+    """Pattern of any of the terms, which are grouped by their first letter."""
+    letters = sorted({t[0] for t in need})
+    return r"(?<![a-z0-9])(?:" + "|".join(c + "(?:" + "|".join(t[1:].replace(".", r"\.") for t in need if t[0] == c) + ")" for c in letters) + r")(?![a-z0-9])"
+
+
+def statements(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, cosine: float = COSINE, text: str = "text", key: str = "doc_id", whole: list[tuple[str, str]] = BLOCKS) -> DataFrame:
+    """(k, at, license, cosine): segments and blocks that state a license; ``at`` is 0 for what begins the text."""
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("_text"))
+    found = _stated(rows, templates, cosine, segments).unionByName(_stated(rows, [(f"{name}#{i}", x) for i, (name, x) in enumerate(whole)], cosine, blocks))
+    lines = rows.where(F.col("_text").rlike(SPDX)).select("k", F.posexplode(F.split(F.regexp_replace("_text", r"^[^\p{L}\p{N}]+", ""), r"\n")).alias("at", "segment"))
+    name = F.regexp_replace(F.regexp_extract("segment", SPDX, 1), r"(?i)(?:-only|-or-later|\+)$", "")
+    known = {n.lower(): n for n, _ in (*templates, *whole)}
+    name = F.coalesce(F.create_map(*(F.lit(x) for p in known.items() for x in p))[F.lower(name)], name) if known else name
+    spdx = lines.where(F.col("segment").rlike(SPDX)).select("k", "at", name.alias("license"), F.lit(1.0).alias("cosine"))
+    return found.unionByName(spdx).withColumn("license", F.substring_index("license", "#", 1))
+
+
+def _stated(rows: DataFrame, templates: list[tuple[str, str]], cosine: float, cut: Callable[[Column], Column]) -> DataFrame:
+    """(k, at, license, cosine) of the pieces that ``cut`` makes of the texts."""
+    spark = rows.sparkSession
     unknown, idf, vectors = _weights(rows, templates)
     need = sorted(anchors(vectors, cosine))
-    empty = spark.createDataFrame([], f"k {docs.schema[key].dataType.simpleString()}, at int, license string, cosine double")
     if not need:
-        return empty
-    gate = r"(?<![a-z0-9])(?:" + "|".join(t.replace(".", r"\.") for t in need) + r")(?![a-z0-9])"
+        return spark.createDataFrame([], f"k {rows.schema['k'].dataType.simpleString()}, at int, license string, cosine double")
+    gate = _gate(need)
     open_ = rows.where(F.lower("_text").rlike(gate))
-    parts = open_.select("k", F.posexplode(F.split("_text", SEGMENT_END)).alias("at", "segment")).where(F.lower("segment").rlike(gate))
-    counted = parts.select("k", "at", F.explode(terms(F.col("segment"))).alias("t")).groupBy("k", "at", "t").agg(F.count("*").alias("n"))
+    parts = open_.select("k", F.posexplode(cut(F.col("_text"))).alias("u", "p")).select("k", "u", "p.at", "p.segment").where(F.lower("segment").rlike(gate))
+    counted = parts.select("k", "u", "at", F.explode(terms(F.col("segment"))).alias("t")).groupBy("k", "u", "at", "t").agg(F.count("*").alias("n"))
     weights = F.broadcast(spark.createDataFrame([(t, w, [(name, own[t]) for name, own in sorted(vectors.items()) if t in own]) for t, w in idf.items()], "t string, w double, own array<struct<license: string, x: double>>"))
     counted = counted.join(weights, "t", "left").withColumn("v", F.col("n") * F.coalesce("w", F.lit(unknown)))
     # one record per segment: its length, and its products with the templates
     length = F.sqrt(F.sum(F.col("v") * F.col("v")).over(_segment())).alias("length")
-    product = counted.select("k", "at", "v", "own", length).select("k", "at", "length", "v", F.explode("own").alias("o"))
-    cosines = product.groupBy("k", "at", "o.license", "length").agg((F.sum(F.col("v") * F.col("o.x")) / F.col("length")).alias("cosine"))
+    product = counted.select("k", "u", "at", "v", "own", length).select("k", "u", "at", "length", "v", F.explode("own").alias("o"))
+    cosines = product.groupBy("k", "u", "at", "o.license", "length").agg((F.sum(F.col("v") * F.col("o.x")) / F.col("length")).alias("cosine"))
     return cosines.where(F.col("cosine") >= cosine).select("k", "at", "license", "cosine")
 
 
 def _segment():
     from pyspark.sql import Window
 
-    return Window.partitionBy("k", "at")
+    return Window.partitionBy("k", "u")
 
 
 def parent(path: Column) -> Column:
