@@ -147,6 +147,22 @@ def test_decontamination_with_rare_words_replaced(spark):
     assert {x.doc_id: x.share for x in found} == {100: 37 / 48, 200: 1.0, 201: 1.0, 202: 1.0}
 
 
+def test_decontamination_of_hot_items(spark):
+    """Verbatim copies of an item that stands in most texts, amid words of other items."""
+    r = random.Random(5)
+    hot = " ".join(f"caliente{i}" for i in range(40))
+    other = [" ".join(f"frio{j}x{i}" for i in range(40)) for j in range(6)]
+    mixed = [w for t in other for w in t.split()]
+    rows = []
+    for i in range(120):
+        a, b = (" ".join(r.sample(mixed, 40)) for _ in range(2))
+        rows.append((i, f"{a} {hot} {b}"))
+    rows += [(1000 + i, " ".join(r.sample(mixed, 80))) for i in range(60)]
+    bench = spark.createDataFrame([*enumerate([hot, *other])], "item_id long, text string")
+    found = {(x.doc_id, x.item_id) for x in decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert found == {(i, 0) for i in range(120)}
+
+
 def test_lcs():
     r = random.Random(4)
     for _ in range(200):

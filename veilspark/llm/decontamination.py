@@ -4,8 +4,9 @@
 2. Document frequencies over all texts give the weights; words of more than MAX_DF of all texts weigh nothing.
 3. A randomised SVD (range finder, then one power step) of the TF-IDF matrix of all passages, texts' and benchmark's with
    equal total weight, gives RANK latent directions. Each task adds up its part of A'(A X); the sums are small.
-4. Windows of all texts are compared with all benchmark passages by cosine in the latent space.
-5. Windows over COSINE are judged by the longest common subsequence of words with the item, and by that with its answer
+4. Windows of all texts are compared with all benchmark passages by cosine in the latent space. Runs of RUN words that stand
+   in a passage bring their window to it whatever the cosine, so copies of items whose words many texts have are not lost.
+5. Windows over COSINE, and those of equal runs, are judged by the longest common subsequence of words with the item, and by that with its answer
    (the last sentence, where the benchmark has no answer column). So reworded passages are found, and passages that only
    share topics are not. Items of which the windows hold too few words, in any order, for the least share are not compared;
    a subsequence is no longer than that count, so this drops nothing that could be found.
@@ -39,6 +40,7 @@ RANK, OVERSAMPLE = 64, 16
 PASSAGE = 48
 BLOCK, SPAN = 16, 4  # a window is SPAN blocks of BLOCK words
 COSINE = 0.5
+RUN = 8
 SHARE, SHARE_WITH_ANSWER, ANSWER_SHARE, ANSWER_WORDS = 0.75, 0.6, 0.8, 5
 ROWS_AT_ONCE = 1 << 19
 
@@ -94,6 +96,49 @@ class Passage:
     words: int
 
 
+def run_hashes(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, hash) of each run of RUN known words."""
+    n = len(ids) - RUN + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, U)
+    unknown = np.concatenate([[0], np.cumsum(ids < 0)])
+    at = np.flatnonzero(unknown[RUN:] == unknown[:-RUN])
+    h = np.zeros(len(at), U)
+    for j in range(RUN):
+        h = (h + (ids[at + j].astype(np.int64) + 1).astype(U)) * U(0x9E3779B97F4A7C15)
+        h ^= h >> U(29)
+    return at, h * U(0xD6E8FEB86659FD93)
+
+
+class Runs:
+    """The passages that hold each run of RUN words."""
+
+    def __init__(self, passages: list[Passage]) -> None:
+        hashes = [np.unique(run_hashes(p.ids)[1]) for p in passages]
+        every = np.concatenate(hashes)
+        owner = np.repeat(np.arange(len(passages)), [len(h) for h in hashes])
+        order = np.argsort(every, kind="stable")
+        self.known = Vocabulary(every)
+        self.owner = owner[order]
+        self.first = np.searchsorted(every[order], np.append(self.known.hashes, U(0)))
+        self.first[-1] = len(every)
+
+    def found(self, ids: np.ndarray, rows: np.ndarray) -> list[tuple[int, int, int]]:
+        """(row, block, passage) of the runs inside a row that stand in a passage, each once."""
+        at, h = run_hashes(ids)
+        if not len(at) or not len(self.owner):
+            return []
+        number = self.known.ids(h)
+        at, number = at[number >= 0], number[number >= 0]
+        row = np.searchsorted(rows, at, side="right") - 1
+        inside = at + RUN <= rows[row + 1]
+        at, number, row = at[inside], number[inside], row[inside]
+        much = self.first[number + 1] - self.first[number]
+        place = np.repeat(self.first[number] - np.cumsum(much) + much, much) + np.arange(much.sum())
+        block = (at - rows[row]) // BLOCK
+        return sorted(set(zip(np.repeat(row, much).tolist(), np.repeat(block, much).tolist(), self.owner[place].tolist(), strict=True)))
+
+
 def lcs(left: np.ndarray, right: np.ndarray) -> int:
     """Length of the longest common subsequence of word numbers (negative ones never match), by bit vectors."""
     where: dict[int, int] = {}
@@ -295,15 +340,15 @@ def _block(docs: DataFrame, items: list[tuple], text: str, key: str, schema: str
     basis = latent_basis(sequences, weight, passages, kind)
     latent = np.stack([(weight[p.ids, None] * basis[p.ids]).sum(axis=0) for p in passages])
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
-    shared = spark.sparkContext.broadcast(((weight[:, None] * basis).astype(np.float32), weight > 0, latent.astype(np.float32).T.copy(), passages, [x[0] for x in items], [len(h) for h in hashes], answers))
+    shared = spark.sparkContext.broadcast(((weight[:, None] * basis).astype(np.float32), weight > 0, latent.astype(np.float32).T.copy(), passages, [x[0] for x in items], [len(h) for h in hashes], answers, Runs(passages)))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows_of, used, queries, parts, names, words, replies = shared.value
+        rows_of, used, queries, parts, names, words, replies, runs = shared.value
         present = np.zeros(len(used) + 1, dtype=bool)
         for batch in batches:
             out = []
             for a, _b, ids, rows in _chunks(batch, 1, kind):
-                for doc, hits in _windows(ids, rows, rows_of, used, queries):
+                for doc, hits in _windows(ids, rows, rows_of, used, queries, runs):
                     out += [(a + doc, *x) for x in _judged(ids[rows[doc] : rows[doc + 1]], hits, parts, words, replies, present)]
             where = pa.array([x[0] for x in out], pa.int64())
             kind_of_item = pa.array(names).type
@@ -312,10 +357,11 @@ def _block(docs: DataFrame, items: list[tuple], text: str, key: str, schema: str
     return sequences.mapInArrow(search, schema)
 
 
-def _windows(ids: np.ndarray, rows: np.ndarray, rows_of: np.ndarray, used: np.ndarray, queries: np.ndarray) -> Iterator[tuple[int, list[tuple[int, int, float]]]]:
+def _windows(ids: np.ndarray, rows: np.ndarray, rows_of: np.ndarray, used: np.ndarray, queries: np.ndarray, runs: Runs) -> Iterator[tuple[int, list[tuple[int, int, float]]]]:
     """For each row with candidates: (row, [(passage, first word, cosine)])."""
     block, word, per_row, before = _passage_rows(ids, rows, used, BLOCK)
-    if not len(word):
+    equal = runs.found(ids, rows)
+    if not len(word) and not equal:
         return
     own, sums = _summed(rows_of[word], block)
     z = np.zeros((before[-1] + SPAN, rows_of.shape[1]), dtype=np.float32)
@@ -334,6 +380,8 @@ def _windows(ids: np.ndarray, rows: np.ndarray, rows_of: np.ndarray, used: np.nd
         at, query = np.nonzero(cos >= COSINE)
         for i, q in zip(at.tolist(), query.tolist(), strict=True):
             found.setdefault(int(row[x + i]), []).append((q, int(k[x + i]) * BLOCK, float(cos[i, q])))
+    for i, b, q in equal:
+        found.setdefault(i, []).append((q, b * BLOCK, float(window[before[i] + b] @ queries[:, q])))
     yield from sorted(found.items())
 
 
