@@ -218,6 +218,22 @@ def test_mixing(docs, empty):
     assert mixing.fair_queue(empty).isEmpty()
 
 
+def test_mixed_documents_with_null_and_repeated_keys(spark):
+    """Every row stands in the mix as often as its row of the queue says, though keys are null or repeat."""
+    r = random.Random(3)
+    rows = [(i, sentence(r, 20 + i), "ab"[i % 2]) for i in range(20)]
+    rows += [(None, sentence(r, 33), "a"), (None, sentence(r, 34), None), (None, sentence(r, 34), None), (5, sentence(r, 41), "a"), (5, sentence(r, 41), "b"), (5, sentence(r, 41), "b"), (7, None, "a")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for own in (table, table.where("doc_id is not null and doc_id not in (5, 7)")):
+        queue = mixing.fair_queue(own)
+        due = Counter()
+        for q in queue.collect():
+            due[q.doc_id, q.source, q.size] += q.copies
+        out = mixing.mixed_documents(own, queue)
+        assert out.columns == own.columns
+        assert Counter((d.doc_id, d.source, len(words(d.text))) for d in out.collect()) == +due
+
+
 def test_targets_reshare():
     t = mixing.source_targets({"a": 10, "b": 100, "c": 0}, {"a": 5.0, "b": 1.0, "c": 1.0}, 110)
     assert t == {"a": 30.0, "b": 80.0, "c": 0.0}

@@ -118,7 +118,25 @@ def _cut(copies: DataFrame, budget: float):
     return last
 
 
-def mixed_documents(docs: DataFrame, queue: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The documents that the mix takes, each as often as it takes it."""
-    taken = queue.where("copies > 0").select(F.col(key).alias("_k"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_pass"))
-    return docs.join(taken, docs[key] == taken["_k"]).drop("_k", "_pass")
+def mixed_documents(docs: DataFrame, queue: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The documents that the mix takes, each as often as it takes it. Rows whose key is null or stands on several rows are
+    matched one to one among those of equal key, source and size."""
+    many = staged(queue.groupBy(F.col(key).alias("_m")).agg(F.count("*").alias("_n")).where("_n > 1 or _m is null").select("_m"), "repeated-keys")
+    if many.isEmpty():
+        return _taken(docs, queue, docs[key] == F.col("_k"), F.col(key).alias("_k"))
+    again = lambda df, how: df.join(many, df[key].eqNullSafe(many["_m"]), how)
+    single = again(queue, "left_anti")
+    out = _taken(docs, single, docs[key] == F.col("_k"), F.col(key).alias("_k"))
+    of = Window.partitionBy("_k", "_s", "_size")
+    left = again(docs, "left_semi").withColumns({"_dk": F.col(key), "_ds": F.col(source), "_dsize": text_word_count(F.col(text))})
+    left = left.withColumn("_dnth", F.row_number().over(Window.partitionBy("_dk", "_ds", "_dsize").orderBy(F.xxhash64(text))))
+    right = again(queue, "left_semi").select(F.col(key).alias("_k"), F.col(source).alias("_s"), F.col("size").alias("_size"), "copies")
+    right = right.withColumn("_nth", F.row_number().over(of.orderBy(F.desc("copies"))))
+    same = F.col("_dk").eqNullSafe(F.col("_k")) & F.col("_ds").eqNullSafe(F.col("_s")) & (F.col("_dsize") == F.col("_size")) & (F.col("_dnth") == F.col("_nth"))
+    rest = _taken(left, right, same, "_k", "_s", "_size", "_nth").select(*docs.columns)
+    return out.unionByName(rest)
+
+
+def _taken(docs: DataFrame, queue: DataFrame, same, *names) -> DataFrame:
+    taken = queue.where("copies > 0").select(*names, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_pass"))
+    return docs.join(taken, same).select(*(docs[c] for c in docs.columns))
