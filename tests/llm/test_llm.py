@@ -130,7 +130,7 @@ def test_decontamination(spark, docs, empty):
     bench = spark.createDataFrame([*enumerate(items), (90, None), (91, "")], "item_id long, text string")
     found = {(x.doc_id, x.item_id) for x in decontamination.contaminated(table, bench).collect()}
     assert found == {(1000 + i, i) for i in range(4)} | {(1004, 2)}
-    assert {x.doc_id for x in decontamination.without_contaminated(table, decontamination.contaminated(table, bench)).collect()} == {d for d, _ in clean} | {1, 2}
+    assert {x.doc_id for x in decontamination.without_contaminated(table, bench).collect()} == {d for d, _ in clean} | {1, 2}
     assert decontamination.contaminated(empty, bench).isEmpty()
     assert decontamination.contaminated(table, bench.where("false")).isEmpty()
 
@@ -188,64 +188,223 @@ def test_language_id(spark, empty):
     assert language_id.detect(empty, model).isEmpty()
 
 
+def thue_morse(n):
+    """Two words over two letters on which polynomial hashes modulo a power of two agree."""
+    w = "1"
+    while len(w) < n:
+        w += w.translate({49: 97, 97: 49})
+    return w, w.translate({49: 97, 97: 49})
+
+
 def test_token_counts(docs, empty):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    for row in token_counts.token_counts(docs.unionByName(docs.sparkSession.createDataFrame([(999, "a<|endoftext|>b I'LL 12 é!!", None, None, 0, 0, 0, 0)], DOCS))).join(docs.select("doc_id", "text").distinct(), "doc_id", "left").collect():
-        text = "a<|endoftext|>b I'LL 12 é!!" if row.doc_id == 999 else row.text or ""
-        n = len(whole.encode(text, add_special_tokens=False))
-        assert (row.n_bytes, row.n_tokens, row.over_limit) == (len(text.encode()), n, n > 2048)
+    spark = docs.sparkSession
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole = Tokenizer.from_file(path)
+    odd = ["a<|endoftext|>b I'LL 12 é!!", "<|startoftext|>", "ΟΔΥΣΣΕΥΣ ΣΑΣ\u00a0a\u2003b", "e\u0301 \u0301x", *thue_morse(1024), *thue_morse(2048), "x " * 5000 + "y" * 70000, "\u2028\x1c\x85 z"]
+    rows = spark.createDataFrame([(1000 + i, t, None, None, 0, 0, 0, 0) for i, t in enumerate(odd)], DOCS)
+    texts = {d[0]: d[1] or "" for d in corpus()} | {1000 + i: t for i, t in enumerate(odd)}
+    want = sorted((d, len(texts[d].encode()), n, n > 2048) for d in [*(x[0] for x in corpus()), *range(1000, 1000 + len(odd))] for n in [len(whole.encode(texts[d], add_special_tokens=False))])
+    for hot in (token_counts.HOT_RUNS, 3):
+        assert sorted(map(tuple, token_counts.token_counts(docs.unionByName(rows), hot_runs=hot).collect())) == want
     assert token_counts.token_counts(empty).isEmpty()
 
 
-def test_mixing(docs, empty):
-    rows = mixing.fair_queue(docs).collect()
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "piece_bpe_32k.model"])
+def test_tokenizers_that_keep_white_space(spark, name):
+    texts = ["  two  spaces\n\nline ", "", None, "a b"]
+    rows = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    lengths = token_counts.piece_lengths(name)
+    assert not token_counts.drops_space(name) and token_counts.drops_space("word_bpe_49k.json")
+    assert {x.doc_id: x.n_tokens for x in token_counts.token_counts(rows, name).collect()} == {i: lengths([t or ""])[0] for i, t in enumerate(texts)}
+
+
+def test_hashes_tell_words_apart():
+    from veilspark.llm import textops as T
+
+    for n in (1024, 2048):
+        data = np.frombuffer("".join(thue_morse(n)).encode(), np.uint8)
+        for family in (0, 1):
+            h = T.span_hash(T.prefix_hash(data, family), np.array([0, n]), np.array([n, 2 * n]))
+            assert h[0] != h[1]
+    r = np.random.default_rng(5)
+    data = r.integers(0, 256, 5000).astype(np.uint8)
+    data[3000:3500] = data[100:600]
+    for values in (data, data.astype(np.uint32) * 4096):
+        p = T.prefix_hash(values)
+        assert T.span_hash(p, np.array([100]), np.array([600])) == T.span_hash(p, np.array([3000]), np.array([3500]))
+    for size in (1, 2, 7, 100):
+        h = T.sampling_hash(data, size)
+        assert len(h) == 5001 - size and h[100] == h[3000] and len(np.unique(h)) >= len({data[i : i + size].tobytes() for i in range(5001 - size)})
+
+
+def test_words_of_equal_polynomials(spark):
+    """op1 does not link, and op2 does not remove, what only a hash modulo a power of two takes for equal."""
+    texts = [*thue_morse(1024), *thue_morse(2048)]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    assert {(x.doc_id, x.component_id) for x in minhash.near_groups(docs).collect()} == {(i, i) for i in range(4)}
+    model = language_id.fit(spark.createDataFrame([(i, t, "ab"[i % 2]) for i, t in enumerate(texts)] * 3, "doc_id long, text string, lang string"))
+    assert len(model.languages) == 2 or not model.languages
+    data = [t.encode() for t in texts]
+    count = Counter(b[i : i + 200] for b in data for i in range(len(b) - 199))
+    for x in repeats.without_repeats(docs).collect():
+        b, gone = data[x.doc_id], set()
+        for i in range(len(b) - 199):
+            if count[b[i : i + 200]] > 1:
+                gone.update(range(i, i + 200))
+        assert x.n_removed == len(gone)
+
+
+def test_one_key_with_different_texts(spark):
+    """Rows of one key are linked by their own texts, and each row comes once."""
+    r = random.Random(11)
+    a, b, c = (sentence(r, 80) for _ in range(3))
+    rows = [(1, a), (1, b), (2, b + " fin"), (3, a), (None, c), (None, c), (4, c), (None, "solo uno dos tres cuatro cinco"), (5, None), (5, "")]
+    got = sorted((x.doc_id or 0, x.n_shingles, x.component_id or 0, x.kept) for x in minhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    size = lambda t: len(shingles(t, 5))
+    want = [(1, size(a), 1, True), (1, size(b), 1, True), (2, size(b + " fin"), 1, False), (3, size(a), 1, False), (0, size(c), 4, False), (0, size(c), 4, False), (4, size(c), 4, True), (0, 2, 0, True), (5, 0, 5, True), (5, 0, 5, True)]
+    assert got == sorted(want)
+
+
+def test_boilerplate_that_is_alike_but_not_linked(spark):
+    """Many texts over the banding's reach but under the threshold, with some links across: no link is lost."""
+    r = random.Random(12)
+    base = sentence(r, 100).split()
+    texts = []
+    for _ in range(60):
+        w = list(base)
+        for x in range(0, 100, 12):
+            w[x] = r.choice(WORDS) + r.choice(WORDS)
+        texts.append(w)
+    for i in range(0, 60, 7):
+        w = list(texts[i])
+        w[50] = "otro"
+        texts.append(w)
+    like = minhash.Similarity(3, 85, 100)
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    own = {i: shingles(t, 3) for i, t in rows}
+    group = {i: {i} for i in own}
+    for i in own:
+        for j in own:
+            if i < j and 100 * len(own[i] & own[j]) >= 85 * len(own[i] | own[j]) and group[i] is not group[j]:
+                both = group[i] | group[j]
+                group.update(dict.fromkeys(both, both))
+    assert {x.doc_id: x.component_id for x in minhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), like).collect()} == {i: min(g) for i, g in group.items()}
+    # the step for what the rounds leave, alone: every member a component of its own
+    member = spark.createDataFrame([(i, len(own[i]), i) for i in own], "c long, n long, component long")
+    sets = minhash.shingle_sets(spark.createDataFrame(rows, "c long, text string"), like)
+    pairs = minhash._verified(minhash._crossing_pairs(member, sets, like), sets, like).collect()
+    assert {(x.a, x.b) for x in pairs} == {(i, j) for i in own for j in own if i < j and 100 * len(own[i] & own[j]) >= 85 * len(own[i] | own[j])}
+
+
+def targets_by_turns(sizes, weights, budget, most=3):
+    """Targets by filling the sources that are over ``most`` times their size, turn by turn."""
+    target, free, left = dict.fromkeys(sizes, 0.0), {s for s in sizes if sizes[s] > 0}, float(budget)
+    while free:
+        share = left / sum(weights[s] for s in free)
+        full = {s for s in free if share * weights[s] > most * sizes[s]}
+        if not full:
+            return target | {s: share * weights[s] for s in free}
+        for s in full:
+            target[s] = float(most * sizes[s])
+            left -= target[s]
+        free -= full
+    return target
+
+
+def cyclic_weights(sources):
+    return {s: 1.0 + i % 3 for i, s in enumerate(sorted(sources, key=lambda s: (s is None, s or "")))}
+
+
+def queue_by_hand(narrow, share=1.0):
+    """(k, s, size, copies) of every row: all copies in one list in order of finish time, taken until the budget is reached."""
     sizes = Counter()
-    for d in corpus():
-        sizes[d[3]] += len(words(d[1]))
-    target = mixing.source_targets(dict(sizes), mixing.cyclic_weights(list(sizes)), sum(sizes.values()))
-    taken = Counter()
-    assert len(rows) == len(corpus())
-    for r in rows:
-        assert r.size == len(words(corpus()[r.doc_id][1])) and r.source_size == sizes[r.source] and abs(r.target - target[r.source]) < 1e-6
-        assert 0 <= r.taken <= 3 * r.size and r.taken == r.copies * r.size
-        taken[r.source] += r.taken
-    longest = max(len(words(d[1])) for d in corpus())
-    assert sum(taken.values()) <= sum(sizes.values()) and all(abs(taken[s] - target[s]) <= 2 * longest for s in sizes)
-    assert sorted(map(tuple, mixing.fair_queue(docs.repartition(7)).select("doc_id", "taken").collect())) == sorted((r.doc_id, r.taken) for r in rows)
+    for r in narrow:
+        sizes[r.s] += r.size
+    target = targets_by_turns(dict(sizes), cyclic_weights(sizes), share * sum(sizes.values()))
+    place = {s: i for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))}
+    copies = []
+    none = lambda x: (x is not None, x or 0)
+    for s in sizes:
+        end = 0
+        for i, r in enumerate(sorted((r for r in narrow if r.s == s), key=lambda r: (r.h, none(r.k), r.size, none(r.th)))):
+            end += r.size
+            copies += [((p * sizes[s] + end) / target[s], place[s], p, i, r) for p in range(3) if r.size and target[s]]
+    taken, left = Counter(), share * sum(sizes.values())
+    for *_, r in sorted(copies, key=lambda c: c[:4]):
+        if r.size > left:
+            break
+        left -= r.size
+        taken[r.id] += 1
+    return Counter((r.k, r.s, r.size, taken[r.id]) for r in narrow), target
+
+
+def narrow_rows(docs):
+    return docs.select(F.monotonically_increasing_id().alias("id"), *mixing._rows(F.col("doc_id"), F.col("source"), F.col("text"), 42)).collect()
+
+
+@pytest.mark.parametrize("share", [1.0, 0.3])
+def test_mixing(docs, empty, share):
+    want, target = queue_by_hand(narrow_rows(docs), share)
+    rows = mixing.fair_queue(docs, budget_share=share).collect()
+    assert Counter((r.doc_id, r.source, r.size, r.copies) for r in rows) == want
+    assert all(abs(r.target - target[r.source]) < 1e-6 and r.taken == r.copies * r.size for r in rows)
+    again = mixing.fair_queue(docs.repartition(7), budget_share=share).collect()
+    assert Counter((r.doc_id, r.source, r.size, r.copies) for r in again) == want
     assert mixing.fair_queue(empty).isEmpty()
 
 
-def test_mixed_documents_with_null_and_repeated_keys(spark):
-    """Every row stands in the mix as often as its row of the queue says, though keys are null or repeat."""
+def test_mixing_with_null_and_repeated_keys(spark):
+    """Every row stands in the mix as often as its row of the queue says, though keys are null or repeat; reruns agree."""
     r = random.Random(3)
-    rows = [(i, sentence(r, 20 + i), "ab"[i % 2]) for i in range(20)]
-    rows += [(None, sentence(r, 33), "a"), (None, sentence(r, 34), None), (None, sentence(r, 34), None), (5, sentence(r, 41), "a"), (5, sentence(r, 41), "b"), (5, sentence(r, 41), "b"), (7, None, "a")]
-    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    for own in (table, table.where("doc_id is not null and doc_id not in (5, 7)")):
-        queue = mixing.fair_queue(own)
-        due = Counter()
-        for q in queue.collect():
-            due[q.doc_id, q.source, q.size] += q.copies
-        out = mixing.mixed_documents(own, queue)
+    rows = [(i, sentence(r, 20 + i), "ab"[i % 2], i) for i in range(20)]
+    rows += [(None, sentence(r, 33), "a", 1), (None, sentence(r, 34), None, 2), (None, sentence(r, 34), None, 3), (5, sentence(r, 41), "a", 4), (5, sentence(r, 12), "b", 5), (5, sentence(r, 43), "b", 6), (7, None, "a", 7), (8, "x y z", "c", 8)]
+    rows += [(9, "igual " * 30, "a", 9)] * 12
+    schema = "doc_id long, text string, source string, _k int"
+    table = spark.createDataFrame(rows, schema).repartition(4)
+    want, _ = queue_by_hand(narrow_rows(table))
+    due = Counter()
+    for (k, s, size, copies), n in want.items():
+        due[k, s, size] += copies * n
+    for own in (table, table.repartition(3)):
+        out = mixing.mixed_documents(own)
         assert out.columns == own.columns
         assert Counter((d.doc_id, d.source, len(words(d.text))) for d in out.collect()) == +due
+    assert Counter((q.doc_id, q.source, q.size, q.copies) for q in mixing.fair_queue(table.drop("_k")).collect()) == want
 
 
-def test_targets_reshare():
-    t = mixing.source_targets({"a": 10, "b": 100, "c": 0}, {"a": 5.0, "b": 1.0, "c": 1.0}, 110)
-    assert t == {"a": 30.0, "b": 80.0, "c": 0.0}
+def test_targets_reshare(spark):
+    r = random.Random(2)
+    for _ in range(6):
+        sizes = {f"s{i}": r.choice([0, 1, 10, 100, 1000, 10000]) * r.randint(1, 9) for i in range(r.randint(1, 9))}
+        weights = {s: float(r.randint(1, 5)) for s in sizes}
+        budget = r.choice([0.5, 1.0, 3.0, 5.0]) * sum(sizes.values())
+        table = spark.createDataFrame([(s, n, weights[s]) for s, n in sizes.items()], "tag string, size long, weight double")
+        got = {x.tag: x.target for x in mixing.source_targets(table, budget).collect()}
+        assert got == pytest.approx(targets_by_turns(sizes, weights, budget))
 
 
 def test_shards(docs, empty):
     limit = 20000
     rows = sharding.shards(docs, limit).collect()
     assert len(rows) == len(corpus())
+    bits = {r.doc_id: format(r.h & (1 << 64) - 1, "064b") for r in docs.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    sizes = Counter()
+    for d in corpus():
+        sizes[bits[d[0]]] += len((d[1] or "").encode())
+
+    def leaf(key, depth=0):
+        inside = {b: n for b, n in sizes.items() if b[:depth] == key[:depth]}
+        return key[:depth] if sum(inside.values()) <= limit or len(inside) == 1 else leaf(key, depth + 1)
+
     by = {}
     for r in rows:
         by.setdefault(r.shard, []).append(r)
+        assert r.oversized or r.shard == leaf(bits[r.doc_id])
+        assert bits[r.doc_id].startswith(r.shard) and r.depth == len(r.shard)
+    assert len(by) > 4
     for shard, own in by.items():
         assert sum(r.n_bytes for r in own) == own[0].shard_bytes and len(own) == own[0].shard_docs
         assert own[0].shard_bytes <= limit or (own[0].oversized and len({r.doc_id for r in own}) == 1)

@@ -11,7 +11,8 @@
    share topics are not. Items of which the windows hold too few words, in any order, for the least share are not compared;
    a subsequence is no longer than that count, so this drops nothing that could be found.
 
-The benchmark is read in blocks of at most BLOCK_ITEMS items, each with a vocabulary and matrices of bounded size; the texts
+The benchmark is read in blocks of at most BLOCK_ITEMS items and BLOCK_BYTES bytes (or one item), each with a vocabulary and
+matrices of bounded size; the texts
 are never gathered, and nothing is shuffled but the sums.
 
 Defined results: null and empty texts match nothing; null or empty items are never found; an item found in several
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from .shared import small_batches, staged
 from .textops import LOWER, U, buffers, prefix_hash, segments, span_hash
 
-BLOCK_ITEMS = 4096
+BLOCK_ITEMS, BLOCK_BYTES = 4096, 4 << 20
 MAX_DF = 0.05
 LEAST_DF = 50
 RANK, OVERSAMPLE = 64, 16
@@ -292,17 +293,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key:
     small_batches(docs.sparkSession)
     wanted = benchmark.select(F.col(item), F.col(text), F.col(answer) if answer else F.lit(None).cast("string")).where(F.col(text).isNotNull())
     schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, `{item}` {benchmark.schema[item].dataType.simpleString()}, cosine double, share double, answer_found boolean"
-    found, block = None, []
+    found, block, size = None, [], 0
     for row in wanted.orderBy(item).toLocalIterator():
-        block.append(tuple(row))
-        if len(block) == BLOCK_ITEMS:
+        more = len(row[1].encode())
+        if block and (len(block) == BLOCK_ITEMS or size + more > BLOCK_BYTES):
             part = _block(docs, block, text, key, schema)
             found = part if found is None else found.unionByName(part)
-            block = []
-    if block or found is None:
-        part = _block(docs, block, text, key, schema)
-        found = part if found is None else found.unionByName(part)
-    return found
+            block, size = [], 0
+        block.append(tuple(row))
+        size += more
+    part = _block(docs, block, text, key, schema)
+    return part if found is None else found.unionByName(part)
 
 
 def _tokens(texts: list[str]) -> list[np.ndarray]:
@@ -437,6 +438,13 @@ def _judged(ids: np.ndarray, hits: list[tuple[int, int, float]], parts: list[Pas
     return out
 
 
-def without_contaminated(docs: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The documents in which no benchmark item was found."""
-    return docs.join(found.select(F.col(key).alias("_k")).distinct(), F.col(key) == F.col("_k"), "left_anti")
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item: str = "item_id", answer: str | None = None) -> DataFrame:
+    """The rows in which no benchmark item was found. Rows are named by key and two hashes of the text, so rows of one key
+    with different texts are judged apart; equal rows share their fate."""
+    own = lambda c: [F.xxhash64(c), F.xxhash64(c, F.lit(1))]
+    name = lambda k, c: F.struct(k.alias("k"), *(h.alias(f"h{i}") for i, h in enumerate(own(c))))
+    named = docs.select(name(F.col(key), F.col(text)).alias("name"), F.col(text).alias("text"))
+    items = benchmark.select(F.col(item).alias("item_id"), F.col(text).alias("text"), *([F.col(answer).alias("answer")] if answer else []))
+    found = staged(contaminated(named, items, "text", "name", answer="answer" if answer else None), "contaminated").select("name").distinct()
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    return rows.join(found, name(F.col("row").getField(key), F.col("row").getField(text)).eqNullSafe(F.col("name")), "left_anti").select("row.*")

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import join_groups, staged
+from .shared import drop_staged, join_groups, staged
 
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
 LEAST, MOST = 256, 4096
@@ -44,7 +44,7 @@ def verified_lists(recipes: DataFrame, key: str = "doc_id") -> DataFrame:
     """Recipes with ``ids``, the ordered list of verified identifiers. Where contents share an id, the identifier is a
     hash of id and ordinal for all but the first content; such chunks are looked up by content digest, all others keep id."""
     ids: Column = F.transform("chunks", lambda c: c["id"])
-    clash = staged(chunk_dictionary(recipes).where("ordinal > 0").select("id", "sha", "size", "ordinal"), "clash", 1)
+    clash = staged(chunk_dictionary(recipes).where("ordinal > 0").select("id", "sha", "size", "ordinal"), "clash")
     if clash.isEmpty():
         return recipes.withColumn("ids", ids)
     placed = recipes.select(key, F.monotonically_increasing_id().alias("_row"), "n_chars", "text_sha256", F.posexplode_outer("chunks").alias("_at", "_c"))
@@ -58,6 +58,7 @@ def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     """One row per input row: (key, keep_id, group_size, kept, text_sha256, n_chunks)."""
     recipes = staged(chunk_recipes(docs, text, key), "recipes")
     lists = staged(verified_lists(recipes, key), "lists")
+    drop_staged(recipes)
     total = lists.count()
     best = F.min(F.struct((-F.col("n_chars")).alias("n"), F.col(key).alias("k")))
     groups = lists.groupBy("ids").agg(best.alias("_best"), F.count("*").alias("group_size"))

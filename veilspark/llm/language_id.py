@@ -5,12 +5,12 @@ Fit: over labelled documents, frequencies of lower-cased letter runs (words) by
 an unseen word adds the mean log frequency of those of its n-grams that are known, at the greatest length at which any
 is. The language with the greatest sum wins; its score is the posterior of the sums, tempered by the word count.
 
-``fit_rows`` bounds the labelled documents that are used for fitting (those with the smallest key hashes); prediction
-covers whole texts of all rows. Word identity is a 64-bit hash.
+``fit_rows`` and ``fit_bytes`` bound the labelled documents that are used for fitting (those with the smallest hashes); prediction
+covers whole texts of all rows. Word identity is a 62-bit hash over a prime field.
 
 Defined results: null text and text without a letter give ``und`` with score 0, and so does any text when there is
 nothing to learn from; ties go to the first language by code point; repeated rows get equal results; other columns are
-ignored.
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,11 +23,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .shared import small_batches
+from .shared import bounded_sample, small_batches
 from .textops import U, buffers, mix, prefix_hash, segments, span_hash
 
-FIT_ROWS = 6000
+FIT_ROWS, FIT_BYTES = 6000, 64 << 20
 LONGEST = 5
 LEAST_COUNT = 2
 UNDETERMINED = "und"
@@ -150,10 +151,11 @@ class Model:
         return best, score
 
 
-def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, text: str = "text", key: str = "doc_id", lang: str = "lang") -> Model:
-    """Learn from at most ``fit_rows`` rows with a non-null language. What reaches the driver is bounded by their texts."""
-    chosen = labelled.where(F.col(lang).isNotNull()).select(F.col(key).alias("_k"), F.xxhash64(key).alias("_h")).orderBy("_h", "_k").limit(fit_rows)
-    sample = labelled.where(F.col(lang).isNotNull()).join(F.broadcast(chosen.select("_k").distinct()), F.col(key).eqNullSafe(F.col("_k"))).select(lang, text)
+def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES, text: str = "text", key: str = "doc_id", lang: str = "lang") -> Model:
+    """Learn from at most ``fit_rows`` rows with a non-null language, of at most ``fit_bytes`` bytes together. What reaches the
+    driver is bounded by their texts."""
+    own = labelled.select(F.col(key).alias("k"), F.col(lang).alias("lang"), F.col(text).alias("text")).where(F.col("lang").isNotNull())
+    sample = bounded_sample(own, fit_rows, fit_bytes, "text").select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,21 +191,31 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, text: str = "text", key:
 
 
 def detect(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(key, *keep, lang_pred, score) of each row, in one pass without a shuffle. The model is sent once to each executor.
-    If ``keep`` has the text, it comes after the other columns."""
-    out = [key, *(c for c in keep if c != text), *([text] if text in keep else [])]
-    small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.keys, model.logs))
+    """(key, *keep, lang_pred, score) of each row, in one pass without a shuffle. ``keep`` cannot have the names of results;
+    ``with_language`` hands on all columns, whatever their names."""
+    rows = docs.select(F.struct(*(F.col(c) for c in (key, *keep))).alias("row"), F.col(text).alias("text"))
+    return _predicted(rows, model, None).select("row.*", "lang_pred", "score")
+
+
+def with_language(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """(row, lang_pred, score): each row as a struct of all its columns, with the language of its text."""
+    return _predicted(docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row")), model, docs.columns.index(text))
+
+
+def _predicted(rows: DataFrame, model: Model, at: int | None) -> DataFrame:
+    """Predictions for rows (row) whose text is the field ``at``, or (row, text). The model is sent once to each executor."""
+    small_batches(rows.sparkSession)
+    shared = rows.sparkSession.sparkContext.broadcast((model.languages, model.keys, model.logs))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
         names = pa.array([*own.languages, UNDETERMINED])
         for batch in batches:
-            best, score = own.scores(*buffers(batch.column(batch.num_columns - 1)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(out)], names.take(pa.array(np.where(best < 0, len(own.languages), best))), pa.array(score)], names=[*out, "lang_pred", "score"])
+            best, score = own.scores(*buffers(batch.column(1) if at is None else batch.column(0).field(at)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), names.take(pa.array(np.where(best < 0, len(own.languages), best))), pa.array(score)], names=["row", "lang_pred", "score"])
 
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in out)
-    return docs.select(*(out if text in keep else [*out, text])).mapInArrow(predict, f"{fields}, lang_pred string, score double")
+    out = StructType([rows.schema["row"], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return rows.mapInArrow(predict, out)
 
 
 def fold(key: Column, parts: int) -> Column:

@@ -8,15 +8,21 @@ most 1 - (1 - (1 - s**WIDTH)**SIDE)**2; SIDE is chosen so that this is under MIS
 Copies are folded first: one representative per distinct shingle set. A bucket never emits all its pairs. In each round a
 bucket has one centre, each other member is compared with the centre, and verified links are contracted. The first
 centre is the member that meets most others over all its buckets, the next ones are any; members that share buckets
-share centres, so a dense group falls into one component in the first rounds with few comparisons. What is left
-are pairs in one bucket but different components: of these, only pairs whose overlap can still reach the threshold
-become rows: a member's overlap is at most its number of shingles that occur in another set of its candidates, and two
-sets differ at least in as many elements as their parity bits differ. Both bounds are exact, so no candidate link is
-lost, and few pairs besides the linked ones are joined with their sets.
+share centres, so a dense group falls into one component in the first rounds with few comparisons.
+
+What is left are members of buckets with several components. Their links are found by their rarest shingles: two sets
+that reach the threshold have one of their rarest shingles in common, the more similar they must be the fewer of these are
+needed. A shingle that only one of them has brings it to none, so boilerplate with own fillings meets nothing; of a shingle's
+members those of its largest component meet the others, but not each other. Pairs are then bounded by their sizes and by
+parity bits (two sets differ at least in as many elements as their bits) before they are joined with their sets. All these
+bounds are exact, so no candidate link is lost.
+
+Words are named by 62-bit hashes over a prime field, shingles by 64-bit hashes of these, and shingle sets by their size and two
+64-bit sums over their elements.
 
 Defined results: text without words (or null) has no shingles and is linked with nothing; a text shorter than the shingle
-is one shingle; a representative's group is named by the smallest key of all rows reachable; rows that repeat a key each
-get a row (if their texts differ, the greatest text is compared with others); an empty table gives an empty result; other columns are ignored.
+is one shingle; a group is named by the smallest key of all rows reachable, null if all keys in it are null; each row gets a
+row, also where keys repeat, with the same text or another; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -102,12 +108,12 @@ def parities(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, like: Similarity, text: str, key: str) -> DataFrame:
-    """(k, n, set_a, set_b, sub): number of shingles, 128 bits that name the shingle set, and the small hashes."""
+    """(k, th, n, set_a, set_b, sub): the text's hash, the number of shingles, 128 bits that name the shingle set, and the small hashes."""
     side = like.side()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = buffers(batch.column(1))
+            data, offsets = buffers(batch.column(2))
             for a, b in segments(offsets):
                 values, at = shingle_rows(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], like.words)
                 sub = sub_keys(values, at, side)
@@ -116,24 +122,24 @@ def signatures(docs: DataFrame, like: Similarity, text: str, key: str) -> DataFr
                     sums = np.concatenate([np.zeros(1, U), np.cumsum(mix(values ^ salt), dtype=U)])
                     names.append(pa.array((sums[at[1:]] - sums[at[:-1]]).view(np.int64)))
                 lists = list_column(sub.reshape(-1), np.arange(b - a + 1) * 2 * side)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(at)), *names, lists], names=["k", "n", "set_a", "set_b", "sub"])
+                own = [c.slice(a, b - a) for c in batch.columns[:2]]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.diff(at)), *names, lists], names=["k", "th", "n", "set_a", "set_b", "sub"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(sign, f"k {kind}, n long, set_a long, set_b long, sub array<long>")
+    return docs.select(key, F.xxhash64(text), text).mapInArrow(sign, f"k {kind}, th long, n long, set_a long, set_b long, sub array<long>")
 
 
-def shingle_sets(docs: DataFrame, like: Similarity, text: str, key: str) -> DataFrame:
-    """(id, s, p): sorted distinct shingles of each row, and the parity of their number in each of PARITY_BITS cells."""
+def shingle_sets(texts: DataFrame, like: Similarity) -> DataFrame:
+    """(c, s, p) of the rows (c, text): sorted distinct shingles, and the parity of their number in each of PARITY_BITS cells."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = buffers(batch.column(1))
             for a, b in segments(offsets):
                 values, at = shingle_rows(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], like.words)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), list_column(values, at), list_column(parities(values, at).reshape(-1), np.arange(b - a + 1) * (PARITY_BITS // 64))], names=["id", "s", "p"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), list_column(values, at), list_column(parities(values, at).reshape(-1), np.arange(b - a + 1) * (PARITY_BITS // 64))], names=["c", "s", "p"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(cut, f"id {kind}, s array<long>, p array<long>")
+    return texts.mapInArrow(cut, "c long, s array<long>, p array<long>")
 
 
 def near_groups(docs: DataFrame, like: Similarity = Similarity(), text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -141,49 +147,56 @@ def near_groups(docs: DataFrame, like: Similarity = Similarity(), text: str = "t
     small_batches(docs.sparkSession)
     side = like.side()
     signed = staged(signatures(docs, like, text, key), "signatures")
-    classes = signed.where("n > 0").groupBy("n", "set_a", "set_b").agg(F.min("k").alias("id"), F.first("sub").alias("sub"), F.count("*").alias("rows"))
-    classes = staged(classes, "classes")
+    first = F.min(F.struct(F.col("k").isNull().alias("none"), "k", "th"))
+    classes = signed.where("n > 0").groupBy("n", "set_a", "set_b").agg(first.alias("r"), F.first("sub").alias("sub"), F.count("*").alias("rows"))
+    classes = staged(classes.select(F.monotonically_increasing_id().alias("c"), "n", "set_a", "set_b", "r.k", "r.th", "sub", "rows"), "classes")
     pairs = [F.xxhash64(F.lit(i * side + j), F.col("sub")[i], F.col("sub")[side + j]) for i in range(side) for j in range(side)]
-    keys = classes.select("id", "n", F.explode(F.array(*pairs)).alias("bucket"))
+    keys = classes.select("c", "n", F.explode(F.array(*pairs)).alias("bucket"))
     shared = keys.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
     placed = staged(keys.join(shared, "bucket"), "placed")
-    names = staged(placed.groupBy("id").agg(F.sum("m").alias("degree")), "candidates")
-    member = staged(placed.join(names, "id").drop("m"), "buckets")
+    degrees = staged(placed.groupBy("c").agg(F.sum("m").alias("degree")), "candidates")
+    member = staged(placed.join(degrees, "c").drop("m"), "buckets")
     drop_staged(placed)
-    texts = docs.select(F.col(key).alias("_id"), text).join(names, F.col("_id") == F.col("id"), "left_semi").groupBy("_id").agg(F.max(text).alias(text))
-    sets = staged(shingle_sets(texts, like, text, "_id"), "sets")
-    comp = None
+    wanted = classes.join(degrees, "c", "left_semi").select("c", F.col("k").alias("_k"), F.col("th").alias("_th"))
+    texts = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("th"), F.col(text).alias("t"))
+    texts = texts.join(wanted, F.col("k").eqNullSafe(F.col("_k")) & (F.col("th") == F.col("_th"))).groupBy("c").agg(F.first("t").alias("t"))
+    sets = staged(shingle_sets(texts, like), "sets")
+    comp, used = None, [degrees, member, sets]
     for turn in range(ROUNDS):
         links = staged(_verified(_stars(member, comp, turn), sets, like), f"stars{turn}")
+        used.append(links)
         if comp is not None:
             if links.isEmpty():
                 break
             links = links.unionByName(comp.select(F.col("node").alias("a"), F.col("component").alias("b")))
         comp = staged(components(links, "a", "b"), f"components{turn}")
-    crossing = staged(_split_buckets(member, comp), "crossing-members")
+    crossing = staged(_split_buckets(member, comp).select("c", "n", "component").distinct(), "crossing-members")
+    used.append(crossing)
     if not crossing.isEmpty():
         rest = staged(_verified(_crossing_pairs(crossing, sets, like), sets, like), "crossing")
+        used.append(rest)
         if not rest.isEmpty():
             comp = staged(components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest), "a", "b"), "components")
-    named = classes.select("n", "set_a", "set_b", "id").join(comp.withColumnRenamed("node", "id"), "id", "left")
-    named = named.select(F.col("n").alias("_n"), F.col("set_a").alias("_a"), F.col("set_b").alias("_b"), "id", F.coalesce("component", "id").alias("component"))
-    # classes with many rows: their number is bounded, since each has at least a thousandth of all rows
-    named = staged(named.join(classes.select("id", "rows"), "id"), "named")
+    own = classes.join(comp.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
+    least = own.groupBy("component").agg(F.min("k").alias("component_id"))
+    named = own.join(least, "component").select("n", "set_a", "set_b", "rows", F.col("k").alias("class_id"), "component_id")
+    named = staged(named, "named")
+    drop_staged(*used)
     return _spread(signed, named, key)
 
 
 def _spread(signed: DataFrame, named: DataFrame, key: str) -> DataFrame:
-    """Each row's component: hot classes by a broadcast of bounded size, the others by a join."""
+    """Each row's component: classes of a thousandth of all rows or more, so a thousand at most, by a broadcast, the others by a join."""
     least = max(1000, signed.count() // 1000)
-    same = (F.col("n") == F.col("_n")) & (F.col("set_a") == F.col("_a")) & (F.col("set_b") == F.col("_b"))
-    hot = named.where(F.col("rows") >= least)
-    narrow = signed.drop("sub")
-    tagged = narrow.join(F.broadcast(hot), same, "left").drop("_n", "_a", "_b", "rows")
-    done = tagged.where("id is not null")
-    rest = tagged.where("id is null").drop("id", "component").join(named.where(F.col("rows") < least), same, "left").drop("_n", "_a", "_b", "rows")
+    on = ["n", "set_a", "set_b"]
+    narrow = signed.select("k", *on)
+    tagged = narrow.join(F.broadcast(named.where(F.col("rows") >= least)), on, "left")
+    done = tagged.where("rows is not null or n = 0")
+    rest = tagged.where("rows is null and n > 0").select("k", *on).join(named.where(F.col("rows") < least), on)
     every = done.unionByName(rest)
-    group = F.coalesce("component", "k")
-    return every.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), group.alias("component_id"), (F.col("k") == group).alias("kept"), F.coalesce("id", "k").alias("class_id"))
+    alone = F.col("n") == 0
+    group = F.when(alone, F.col("k")).otherwise(F.col("component_id"))
+    return every.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), group.alias("component_id"), F.col("k").eqNullSafe(group).alias("kept"), F.when(alone, F.col("k")).otherwise(F.col("class_id")).alias("class_id"))
 
 
 def _stars(member: DataFrame, comp: DataFrame | None, turn: int) -> DataFrame:
@@ -191,46 +204,52 @@ def _stars(member: DataFrame, comp: DataFrame | None, turn: int) -> DataFrame:
     own = member
     if comp is not None:
         own = _split_buckets(member, comp)
-    order = -F.col("degree") if turn == 0 else F.xxhash64("id", F.lit(turn))
-    rank = F.struct(order.alias("r"), F.col("id").alias("c"))
-    centre = own.groupBy("bucket").agg(F.min(rank).alias("m")).select("bucket", F.col("m.c").alias("c"))
-    pairs = own.join(centre, "bucket").where("id <> c")
-    return pairs.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
+    order = -F.col("degree") if turn == 0 else F.xxhash64("c", F.lit(turn))
+    rank = F.struct(order.alias("r"), F.col("c").alias("x"))
+    centre = own.groupBy("bucket").agg(F.min(rank).alias("m")).select("bucket", F.col("m.x").alias("x"))
+    pairs = own.join(centre, "bucket").where("c <> x")
+    return pairs.select(F.least("c", "x").alias("a"), F.greatest("c", "x").alias("b")).distinct()
 
 
 def _split_buckets(member: DataFrame, comp: DataFrame) -> DataFrame:
     """Members, with their components, of the buckets that hold more than one component."""
-    named = member.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    named = member.join(comp.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
     split = named.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
     return named.join(split, "bucket")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, like: Similarity) -> DataFrame:
     """The pairs (a, b) that are linked, by the intersection of their full sets."""
-    left, right = (sets.select(F.col("id").alias(c), F.col("s").alias(f"_s{c}")) for c in "ab")
+    left, right = (sets.select(F.col("c").alias(c), F.col("s").alias(f"_s{c}")) for c in "ab")
     both = pairs.join(left, "a").join(right, "b")
     inter = F.size(F.array_intersect("_sa", "_sb"))
     return both.where(like.linked(inter, F.size("_sa"), F.size("_sb"))).select("a", "b")
 
 
 def _crossing_pairs(crossing: DataFrame, sets: DataFrame, like: Similarity) -> DataFrame:
-    """Pairs of one bucket but different components whose overlap can reach the threshold.
-
-    A set's overlap with any other candidate is at most ``u``, its shingles that some other candidate set has too. Members
-    that cannot reach the threshold even with their smallest possible partner leave first."""
-    own = crossing.select("id").distinct()
-    tokens = own.join(sets, "id").select("id", F.explode("s").alias("t"))
-    often = tokens.groupBy("t").agg(F.count("*").alias("df")).where("df > 1").select("t")
-    most = staged(tokens.join(often, "t").groupBy("id").agg(F.count("*").alias("u")), "overlaps")
-    small = F.ceil(F.col("n") * like.num / like.den)
-    most = most.join(sets.select("id", "p"), "id")
-    live = crossing.join(most, "id").where(like.reachable(F.col("u"), F.col("n"), small))
-    split = live.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
-    live = staged(live.join(split, "bucket"), "live")
-    fields = ("id", "n", "u", "p", "component")
-    left = live.select("bucket", *(F.col(c).alias(f"{c}_a") for c in fields))
-    right = live.select("bucket", *(F.col(c).alias(f"{c}_b") for c in fields))
-    may = like.reachable(F.least("u_a", "u_b"), F.col("n_a"), F.col("n_b")) & (F.col("component_a") != F.col("component_b")) & (F.col("id_a") < F.col("id_b"))
+    """Pairs of the members (c, n, component) in different components that may reach the threshold: they share one of the rarest
+    shingles of both, and neither their sizes nor their parity bits keep them apart.
+
+    A set of n shingles shares num / den of them at least with any partner, so of its shingles in order of rarity one of the
+    first n - least + 1 is shared. Those that no other member has come first, and bring it to none."""
+    tokens = crossing.join(sets.select("c", "s"), "c").select("c", "n", "component", F.explode("s").alias("t"))
+    often = staged(tokens.groupBy("t").agg(F.count("*").alias("df")).where("df > 1"), "common-shingles")
+    known = staged(tokens.join(often, "t"), "shared-shingles")
+    need = F.col("n") - F.ceil(F.col("n") * like.num / like.den) + 1 - (F.col("n") - F.col("u"))
+    live = known.groupBy("c").agg(F.count("*").alias("u"), F.first("n").alias("n")).where(need > 0).select("c", need.cast("int").alias("need"))
+    rare = known.join(live, "c").groupBy("c").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("s"), *(F.first(x).alias(x) for x in ("n", "component", "need")))
+    heads = staged(rare.select("c", "n", "component", F.explode(F.slice("s", F.lit(1), F.col("need"))["t"]).alias("t")), "rare-shingles")
+    sizes = heads.groupBy("t", "component").agg(F.count("*").alias("m")).groupBy("t").agg(F.max_by("component", F.struct("m", "component")).alias("most"), F.count("*").alias("d"))
+    split = heads.join(sizes.where("d > 1").select("t", "most"), "t")
+    fields = ("c", "n", "component")
+    left = split.where("component <> most").select("t", *(F.col(x).alias(f"{x}_a") for x in fields))
+    right = split.select("t", (F.col("component") == F.col("most")).alias("in_most"), *(F.col(x).alias(f"{x}_b") for x in fields))
+    once = F.col("in_most") | (F.col("c_a") < F.col("c_b"))
+    fits = like.reachable(F.least("n_a", "n_b"), F.col("n_a"), F.col("n_b"))
+    pairs = left.join(right, "t").where((F.col("component_a") != F.col("component_b")) & once & fits)
+    pairs = staged(pairs.select(F.least("c_a", "c_b").alias("a"), F.greatest("c_a", "c_b").alias("b")).distinct(), "crossing-pairs")
+    drop_staged(often, known, heads)
+    bits = lambda x: sets.select(F.col("c").alias(x), F.col("p").alias(f"p_{x}"), F.size("s").alias(f"n_{x}"))
     apart = sum((F.bit_count(F.col("p_a")[i].bitwiseXOR(F.col("p_b")[i])) for i in range(PARITY_BITS // 64)), F.lit(0))
-    may &= like.reachable(F.floor((F.col("n_a") + F.col("n_b") - apart) / 2), F.col("n_a"), F.col("n_b"))
-    return left.join(right, "bucket").where(may).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    may = like.reachable(F.floor((F.col("n_a") + F.col("n_b") - apart) / 2), F.col("n_a"), F.col("n_b"))
+    return pairs.join(bits("a"), "a").join(bits("b"), "b").where(may).select("a", "b")

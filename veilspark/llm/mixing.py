@@ -1,142 +1,120 @@
 """Mixing sources to target weights by weighted fair queueing.
 
 The documents of a source are shuffled by a hash and repeat, whole pass after whole pass, as often as its target asks.
-A copy's virtual finish time is the number of source words up to its end, divided by the source's target; the copies
-of all sources are ordered by that time and taken until the budget is reached. Running sums are made in two levels
-(sums of hash ranges, then inside a range), so no source and no time range has to fit a task.
+A copy's virtual finish time is the number of source words up to its end, divided by the source's target. The copies of all
+sources are sorted globally by that time, in ranges, and cut where their words reach the budget: sums of ranges find the
+range of the cut, and in it running sums find the last copy that is taken. Running sums inside sources, the sources' order
+and their targets are made the same way, so neither a source, nor a time range, nor the list of sources has to fit a task.
 
 Defined results: null text has size 0, and a document of size 0 takes nothing; a null source is a source of its own, last
-in order; ties of time are ordered by source, pass, hash and key; repeated rows each count; an empty table gives an empty
-result; other columns are ignored.
+in order; ties of time are ordered by source, pass, hash, key, size and text; rows that repeat a key, or are equal, each count;
+null keys are keys; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import staged, text_word_count
+from .shared import join_groups, numbered, range_sorted, running_total, staged, text_word_count
 
-#: Documents of a source in one range of the running sum.
-RANGE_ROWS = 4096
 MAX_PASSES = 3
-
-
-def source_targets(sizes: dict[str | None, int], weights: dict[str | None, float], budget: float, most: float = MAX_PASSES) -> dict[str | None, float]:
-    """Split ``budget`` by weight; a source gets ``most`` times its size at most, and the excess goes to the others by weight."""
-    target = dict.fromkeys(sizes, 0.0)
-    free, left = {s for s in sizes if sizes[s] > 0}, float(budget)
-    while free:
-        share = left / sum(weights[s] for s in free)
-        full = {s for s in free if share * weights[s] > most * sizes[s]}
-        if not full:
-            return target | {s: share * weights[s] for s in free}
-        for s in full:
-            target[s] = float(most * sizes[s])
-            left -= target[s]
-        free -= full
-    return target
-
-
-def cyclic_weights(sources: list[str | None]) -> dict[str | None, float]:
-    """1, 2, 3, repeating, over the sources by code point (null last)."""
-    return {s: 1.0 + i % 3 for i, s in enumerate(sorted(sources, key=lambda s: (s is None, (s or "").encode("utf-32-be"))))}
-
-
-def fair_queue(docs: DataFrame, weights: dict[str | None, float] | None = None, budget_share: float = 1.0, text: str = "text", key: str = "doc_id", source: str = "source", seed: int = 42) -> DataFrame:
-    """(key, source, size, source_size, target, copies, taken, finish): ``copies`` of the document are in the mix and
-    ``finish`` is the virtual finish time of the first. The sources, which label the corpus, are assumed to be a list that
-    fits the driver; everything by document stays distributed."""
-    narrow = docs.select(F.col(key).alias("k"), F.col(source).alias("s"), text_word_count(F.col(text)).alias("size"), F.xxhash64(F.col(key), F.lit(seed)).alias("h"))
-    narrow = staged(narrow, "sizes")
-    sums = narrow.groupBy("s").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
-    sizes = {r.s: int(r["size"]) for r in sums}
-    weights = cyclic_weights(list(sizes)) if weights is None else weights
-    target = source_targets(sizes, weights, budget_share * sum(sizes.values()))
-    order = {s: i for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, (s or "").encode("utf-32-be"))))}
-    spark = docs.sparkSession
-    rows = [(r.s, order[r.s], int(r["size"]), target[r.s], max(1, -(-r.n // RANGE_ROWS))) for r in sums]
-    facts = F.broadcast(spark.createDataFrame(rows, "s string, s_at int, source_size long, target double, ranges long"))
-    # two-level running sum: sums of hash ranges, then inside each range
-    placed = narrow.join(facts, narrow.s.eqNullSafe(facts.s)).drop(facts.s)
-    placed = placed.withColumn("r", F.floor(F.pmod(F.shiftrightunsigned("h", 1), F.lit(1 << 62)) / F.lit(float(1 << 62)) * F.col("ranges")))
-    ranges = placed.groupBy("s_at", "r").agg(F.sum("size").alias("_sum"))
-    before = Window.partitionBy("s_at").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.select("s_at", "r", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("s_at", "r").orderBy("h", "k").rowsBetween(Window.unboundedPreceding, 0)
-    placed = placed.withColumn("_in", F.sum("size").over(inside)).join(ranges, ["s_at", "r"])
-    placed = staged(placed.select("k", "s", "size", "source_size", "target", "s_at", "h", (F.col("_before") + F.col("_in")).alias("end")), "queue")
-    copies = placed.where("size > 0 and target > 0").select("s_at", "h", "k", "size", F.explode(F.sequence(F.lit(0), F.lit(MAX_PASSES - 1))).alias("pass"), "source_size", "target", "end")
-    copies = copies.withColumn("finish", (F.col("pass") * F.col("source_size") + F.col("end")) / F.col("target"))
-    last = _cut(copies, budget_share * sum(sizes.values()))
+#: Order of the rows of a source, which tells all rows apart; ``id`` only tells rows apart that are equal otherwise.
+_ORDER = ("h", "k", "size", "th", "id")
+
+
+def _tag(source: str) -> Column:
+    """The source as a key that is never null."""
+    return F.when(F.col(source).isNull(), F.lit("")).otherwise(F.concat(F.lit("s"), F.col(source).cast("string")))
+
+
+def source_targets(sources: DataFrame, budget: float, most: float = MAX_PASSES) -> DataFrame:
+    """``sources`` (tag, s, size, weight, ..) with ``target``: the budget split by weight, a source getting ``most`` times its
+    size at most, and the excess going to the others by weight.
+
+    Sources are full in the order of most * size / weight. With the first i of that order full, the others share what is
+    left; the first i at which the next source is not full is the answer."""
+    own = sources.where("size > 0 and weight > 0").select("tag", "weight", (F.col("size") * most).alias("cap"), (F.col("size") * most / F.col("weight")).alias("r"))
+    both = running_total(running_total(own, [F.col("r"), F.col("tag")], "cap", "caps").withColumnRenamed("_end", "cap_end"), [F.col("r"), F.col("tag")], "weight", "weights")
+    total = own.agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("w")).first()["w"]
+    share = (F.lit(float(budget)) - (F.col("cap_end") - F.col("cap"))) / (F.lit(total) - (F.col("_end") - F.col("weight")))
+    found = both.withColumn("share", share).where(F.col("share") <= F.col("r")).agg(F.min_by("share", F.struct("r", "tag")).alias("share")).first()["share"]
+    cap = F.col("size") * F.lit(float(most))
+    due = cap if found is None else F.least(cap, F.lit(found) * F.col("weight"))
+    return sources.withColumn("target", F.when((F.col("size") > 0) & (F.col("weight") > 0), due).otherwise(0.0))
+
+
+def weighted_sources(rows: DataFrame, weights: dict[str | None, float] | None) -> DataFrame:
+    """(tag, s, size, n, s_at, weight): the sources in order of code points, null last, with weights 1, 2, 3, repeating, or
+    the given ones (a source without one weighs 0)."""
+    sums = rows.groupBy("tag").agg(F.first("s").alias("s"), F.sum("size").alias("size"), F.count("*").alias("n")).withColumn("one", F.lit(1))
+    ranked = running_total(sums, [F.col("s").isNull(), F.col("tag")], "one", "sources").withColumnRenamed("_end", "s_at").drop("one")
+    if weights is None:
+        return ranked.withColumn("weight", (1 + (F.col("s_at") - 1) % 3).cast("double"))
+    given = rows.sparkSession.createDataFrame([("" if s is None else f"s{s}", float(w)) for s, w in weights.items()], "tag string, weight double")
+    return ranked.join(F.broadcast(given), "tag", "left").fillna(0.0, ["weight"])
+
+
+def _queue(rows: DataFrame, weights: dict[str | None, float] | None, budget_share: float) -> DataFrame:
+    """(id, k, s, size, source_size, target, copies, taken, finish) for written rows (id, k, s, size, th, h)."""
+    rows = rows.withColumn("tag", _tag("s"))
+    sources = staged(weighted_sources(rows, weights), "weighted-sources")
+    facts = sources.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    budget = budget_share * facts["size"]
+    starts = running_total(source_targets(sources, budget), [F.col("s_at")], "size", "starts")
+    starts = staged(starts.select("tag", "s_at", F.col("size").alias("source_size"), "n", "target", (F.col("_end") - F.col("size")).alias("_start")), "source-facts")
+    placed = join_groups(rows, starts, "tag", "n", facts["n"]).drop("tag", "n")
+    placed = running_total(placed, [F.col("s_at"), *map(F.col, _ORDER)], "size", "shuffled")
+    placed = staged(placed.withColumn("end", F.col("_end") - F.col("_start")).drop("_end", "_start"), "queue")
+    finish = lambda e: (e * F.col("source_size") + F.col("end")) / F.col("target")
+    copies = placed.where("size > 0 and target > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(MAX_PASSES - 1))))
+    copies = copies.select(finish(F.col("pass")).alias("finish"), "s_at", "pass", *_ORDER)
+    order = ("finish", "s_at", "pass", *_ORDER)
+    last = _cut(copies, order, budget)
     if last is None:
         took = F.lit(0)
     else:
-        v = lambda e: (F.lit(e) * F.col("source_size") + F.col("end")) / F.col("target")
-        rank = lambda e: F.struct(v(e), F.col("s_at"), F.lit(e), F.col("h"), F.col("k"))
-        edge = F.struct(F.lit(last["finish"]), F.lit(last["s_at"]), F.lit(last["pass"]), F.lit(last["h"]).cast("long"), F.lit(last["k"]).cast(docs.schema[key].dataType))
-        took = sum((F.when((F.col("target") > 0) & (rank(e) <= edge), 1).otherwise(0) for e in range(MAX_PASSES)), F.lit(0))
-    out = placed.withColumn("copies", F.when(F.col("size") > 0, took).otherwise(0).cast("int"))
-    first = F.when(F.col("target") > 0, F.col("end") / F.col("target"))
-    return out.select(F.col("k").alias(key), F.col("s").alias(source), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), first.alias("finish"))
-
-
-def _cut(copies: DataFrame, budget: float):
-    """The last copy, in order of finish time, with which the words taken do not exceed the budget; None if no copy does.
-    Sums of narrow ranges of time find the range of the cut, and only its rows are ordered one by one."""
-    order = ("finish", "s_at", "pass", "h", "k")
-    cells = 1 << 12
-    low, high, before = 0.0, float(MAX_PASSES * 1e3), 0
-    while True:  # each turn narrows the range of the cut by a factor of ``cells``
-        span = (high - low) / cells
-        inside = copies.where((F.col("finish") > low) & (F.col("finish") <= high)) if low > 0 else copies.where(F.col("finish") <= high)
-        cell = F.least(F.floor((F.col("finish") - low) / span), F.lit(cells - 1))
-        sums = sorted(inside.groupBy(cell.alias("c")).agg(F.sum("size").alias("w"), F.count("*").alias("n"), F.min("finish").alias("a"), F.max("finish").alias("b")).collect(), key=lambda r: r.c)
-        done, hit = before, None
-        for r in sums:
-            if done + r.w > budget:
-                hit = r
-                break
-            done += r.w
-        if hit is None:
-            best = inside.orderBy(*(F.desc(c) for c in order)).limit(1).collect()
-            return best[0] if best else None
-        previous = max((r.b for r in sums if r.c < hit.c), default=low)
-        if hit.n <= 100_000 or hit.a == hit.b:
-            break
-        low, high, before = previous, hit.b, done
-    rows = copies.where((F.col("finish") >= hit.a) & (F.col("finish") <= hit.b)).select(*order, "size").orderBy(*order)
-    running = done
-    last = None
-    for r in rows.toLocalIterator():
-        if running + r["size"] > budget:
-            break
-        running, last = running + r["size"], r
-    if last is None:
-        best = copies.where(F.col("finish") <= previous).orderBy(*(F.desc(c) for c in order)).limit(1).collect() if done else []
-        last = best[0] if best else None
-    return last
-
-
-def mixed_documents(docs: DataFrame, queue: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The documents that the mix takes, each as often as it takes it. Rows whose key is null or stands on several rows are
-    matched one to one among those of equal key, source and size."""
-    many = staged(queue.groupBy(F.col(key).alias("_m")).agg(F.count("*").alias("_n")).where("_n > 1 or _m is null").select("_m"), "repeated-keys")
-    if many.isEmpty():
-        return _taken(docs, queue, docs[key] == F.col("_k"), F.col(key).alias("_k"))
-    again = lambda df, how: df.join(many, df[key].eqNullSafe(many["_m"]), how)
-    single = again(queue, "left_anti")
-    out = _taken(docs, single, docs[key] == F.col("_k"), F.col(key).alias("_k"))
-    of = Window.partitionBy("_k", "_s", "_size")
-    left = again(docs, "left_semi").withColumns({"_dk": F.col(key), "_ds": F.col(source), "_dsize": text_word_count(F.col(text))})
-    left = left.withColumn("_dnth", F.row_number().over(Window.partitionBy("_dk", "_ds", "_dsize").orderBy(F.xxhash64(text))))
-    right = again(queue, "left_semi").select(F.col(key).alias("_k"), F.col(source).alias("_s"), F.col("size").alias("_size"), "copies")
-    right = right.withColumn("_nth", F.row_number().over(of.orderBy(F.desc("copies"))))
-    same = F.col("_dk").eqNullSafe(F.col("_k")) & F.col("_ds").eqNullSafe(F.col("_s")) & (F.col("_dsize") == F.col("_size")) & (F.col("_dnth") == F.col("_nth"))
-    rest = _taken(left, right, same, "_k", "_s", "_size", "_nth").select(*docs.columns)
-    return out.unionByName(rest)
-
-
-def _taken(docs: DataFrame, queue: DataFrame, same, *names) -> DataFrame:
-    taken = queue.where("copies > 0").select(*names, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_pass"))
-    return docs.join(taken, same).select(*(docs[c] for c in docs.columns))
+        edge = F.struct(*(F.lit(last[c]).cast(copies.schema[c].dataType).alias(c) for c in order))
+        rank = lambda e: F.struct(finish(F.lit(e)).alias("finish"), "s_at", F.lit(e).alias("pass"), *_ORDER)
+        took = sum((F.when(rank(e) <= edge, 1).otherwise(0) for e in range(MAX_PASSES)), F.lit(0))
+    out = placed.withColumn("copies", F.when((F.col("size") > 0) & (F.col("target") > 0), took).otherwise(0).cast("int"))
+    first = F.when(F.col("target") > 0, finish(F.lit(0)))
+    return out.select("id", "k", "s", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), first.alias("finish"))
+
+
+def _cut(copies: DataFrame, order: tuple[str, ...], budget: float):
+    """The last copy, in the global order, with which the words taken do not exceed the budget; None if no copy does."""
+    columns = [F.col(c) for c in order]
+    rows, parts = range_sorted(copies, columns, "size", "finish-times")
+    parts = parts.withColumn("_over", F.col("_before") + F.col("_own") > budget)
+    at = parts.where("_over").orderBy("_part").limit(1).collect()
+    if not at:
+        return rows.agg(F.max(F.struct(*columns)).alias("x")).first()["x"]
+    part, before = at[0]["_part"], at[0]["_before"]
+    running = F.sum("size").over(Window.partitionBy("_part").orderBy(*columns).rowsBetween(Window.unboundedPreceding, 0))
+    own = rows.where(F.col("_part") == part).withColumn("_in", running).where(F.col("_in") + F.lit(before) <= budget)
+    earlier = rows.where(F.col("_part") < part)
+    return own.select(*order).unionByName(earlier.select(*order)).agg(F.max(F.struct(*columns)).alias("x")).first()["x"]
+
+
+def _rows(key: Column, source: Column, text: Column, seed: int) -> list[Column]:
+    th = F.xxhash64(text)
+    return [key.alias("k"), source.alias("s"), text_word_count(text).alias("size"), th.alias("th"), F.xxhash64(key, th, F.lit(seed)).alias("h")]
+
+
+def fair_queue(docs: DataFrame, weights: dict[str | None, float] | None = None, budget_share: float = 1.0, text: str = "text", key: str = "doc_id", source: str = "source", seed: int = 42) -> DataFrame:
+    """(key, source, size, source_size, target, copies, taken, finish) of each row: ``copies`` of the document are in the mix
+    and ``finish`` is the virtual finish time of the first."""
+    rows = docs.select(F.monotonically_increasing_id().alias("id"), *_rows(F.col(key), F.col(source), F.col(text), seed))
+    out = _queue(staged(rows, "sizes"), weights, budget_share).drop("id")
+    return out.withColumnsRenamed({"k": key, "s": source})
+
+
+def mixed_documents(docs: DataFrame, weights: dict[str | None, float] | None = None, budget_share: float = 1.0, text: str = "text", key: str = "doc_id", source: str = "source", seed: int = 42) -> DataFrame:
+    """The rows that the mix takes, whole, each as often as it takes it. Rows are written once with a number of their own, so
+    null and repeated keys, and equal rows, are each taken as their own row of the queue says."""
+    rows = numbered(docs)
+    field = lambda c: F.col("row").getField(c)
+    narrow = staged(rows.select("id", *_rows(field(key), field(source), field(text), seed)), "sizes")
+    taken = _queue(narrow, weights, budget_share).where("copies > 0").select("id", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    return rows.join(taken, "id").select("row.*")

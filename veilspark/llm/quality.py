@@ -4,8 +4,8 @@ Features are single tokens, pairs of neighbouring tokens, and the patterns "x x"
 ``2**BITS`` weights; tokens are runs of letters and digits, or runs of other visible characters, as written. A feature's value is its share of the text's tokens, scaled, so
 a text's score is one sparse dot product whatever its length.
 
-``fit_rows`` bounds the labelled documents used for training (those with the smallest key hashes), which one task reads
-in hash order; scoring covers whole texts of all rows.
+``fit_rows`` and ``fit_bytes`` bound the labelled documents used for training (those with the smallest hashes), which one task
+reads in hash order; scoring covers whole texts of all rows.
 
 Defined results: null text is empty; an empty text has the bias alone as its score; without training rows every score is
 0.5; rows labelled null, or with conflicting labels, are left out of training; other columns are ignored.
@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches
+from .shared import bounded_sample, small_batches
 from .textops import IS_SPACE, U, buffers, mix, prefix_hash, segments, span_hash
 
 BITS = 18
-FIT_ROWS = 16000
+FIT_ROWS, FIT_BYTES = 16000, 64 << 20
 SCALE = 8.0
 ALPHA, BETA, L1, L2, PASSES = 1.0, 1.0, 0.02, 0.2, 2
 
@@ -96,11 +96,12 @@ class Leader:
         return float(-self.bias[0] / ((BETA + np.sqrt(self.bias[1])) / ALPHA))
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, text: str = "text", key: str = "doc_id", label: str = "quality") -> np.ndarray:
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES, text: str = "text", key: str = "doc_id", label: str = "quality") -> np.ndarray:
     """Weights, the bias last."""
-    one = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.min(label).alias("_y"), F.max(label).alias("_z")).where("_y = _z")
-    chosen = one.select(F.col(key).alias("_k"), "_y", F.xxhash64(key).alias("_h")).orderBy("_h", "_k").limit(fit_rows)
-    rows = docs.select(key, text).join(F.broadcast(chosen), F.col(key) == F.col("_k")).select("_h", "_y", text)
+    named = labels.select(F.col(key).alias("k"), F.col(label).alias("y")).where("y is not null and k is not null")
+    one = named.groupBy("k").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z").select("k", "y")
+    own = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    rows = bounded_sample(own, fit_rows, fit_bytes, "t", one).select("_h", "y", "t")
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import drop_staged, small_batches, staged
-from .textops import U, buffers, mix, prefix_hash, segments, span_hash
+from .textops import U, buffers, mix, prefix_hash, sampling_hash, segments, span_hash
 
 LENGTH = 200
 GRAM = 100
@@ -42,9 +42,8 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) ->
     n = len(data)
     if n < length:
         return none.view(U), none.view(U), none, none, none
-    prefix = prefix_hash(data)
     at = np.arange(n - gram + 1)
-    h = span_hash(prefix, at, at + gram)
+    h = sampling_hash(data, gram)
     key = (h & ~_LOW) | at.astype(U)
     wide, size = length - gram + 1, 1
     least = key
@@ -68,8 +67,8 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) ->
     first = np.flatnonzero(new)
     p0, p1 = window[first], window[np.append(first[1:], len(window)) - 1]
     a = anchor[first]
-    content = mix(span_hash(prefix, p0, p1 + length) ^ ((a - p0).astype(U) * U(0x9E3779B97F4A7C15)))
-    return h[a], content, p0, p1, a
+    content = mix(span_hash(prefix_hash(data, 1), p0, p1 + length) ^ ((a - p0).astype(U) * U(0x9E3779B97F4A7C15)))
+    return span_hash(prefix_hash(data), a, a + gram), content, p0, p1, a
 
 
 def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,7 +193,7 @@ def window_rows(stretched: DataFrame, length: int, step: int) -> DataFrame:
             at = lists.offsets.to_numpy()
             wanted[np.repeat(np.arange(batch.num_rows), np.diff(at)), lists.values.to_numpy()[at[0] : at[-1]]] = True
             for x, y in segments(offsets, 1 << 18):
-                prefix = prefix_hash(data[offsets[x] : offsets[y]])
+                prefix = prefix_hash(data[offsets[x] : offsets[y]], 1)
                 which, t = _windows(np.diff(offsets[x : y + 1]), length)
                 part = (anchor[x:y][which] - t) // step
                 keep = wanted[which + x, part]

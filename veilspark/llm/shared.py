@@ -1,19 +1,23 @@
-"""Tables written in the folder that all executors share, and joins that stay even under hot keys."""
+"""Tables written in the folder that all executors share, sorts over all tasks, and joins that stay even under hot keys."""
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; where it is unset (in tests), a local one is made and set."""
+    """The folder that ``spark.checkpoint.dir`` names. Where it is unset, as in tests, and the session is local, a local one
+    is made and set; on a cluster that is an error, since executors do not see each other's disks."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="veilspark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -24,19 +28,30 @@ ARROW_BYTES = 8 << 20
 
 def small_batches(spark: SparkSession) -> None:
     """Hold batches sent to Python workers under ARROW_BYTES for this session, so that an executor's memory beside its heap
-    stays small; a smaller setting is kept."""
+    stays small; a smaller setting is kept. Spark reads the setting when a plan runs, which is after the operator returns,
+    so it is not set back."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = re.fullmatch(r"(-?\d+)b?", str(spark.conf.get(name, "64m")))
     if not now or not 0 < int(now[1]) <= ARROW_BYTES:
         spark.conf.set(name, str(ARROW_BYTES))
 
 
-def staged(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
-    """Write a table in the shared folder and read it back: later stages restart from its files, whatever executor is lost."""
+_CLEARED: set[str] = set()
+
+
+def _at_end(spark: SparkSession) -> None:
+    app = spark.sparkContext.applicationId
+    if app not in _CLEARED:
+        _CLEARED.add(app)
+        atexit.register(clear_shared, spark)
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write a table in the shared folder and read it back: later stages restart from its files, whatever executor is lost.
+    What an application has staged is deleted when its Python driver ends."""
     spark = df.sparkSession
+    _at_end(spark)
     path = f"{shared_dir(spark)}/veilspark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    if partitions:
-        df = df.coalesce(partitions)
     df.write.mode("errorifexists").parquet(path)
     release(spark)
     return spark.read.schema(df.schema).parquet(path)
@@ -58,9 +73,47 @@ def drop_staged(*tables: DataFrame) -> None:
 
 def clear_shared(spark: SparkSession) -> None:
     """Delete what this application has staged."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/veilspark/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    context = spark.sparkContext
+    if context._jsc is None or context._jsc.sc().isStopped():
+        return
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/veilspark/{context.applicationId}")
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def range_sorted(df: DataFrame, order: list[Column], size: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """(rows with ``_part``, parts): a global range sort by ``order``, which should tell all rows apart so that no part is
+    large, as written ranges. parts has a row for each range, (_part, _before, _own): the sum of ``size`` before the range and in it."""
+    rows = staged(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), name)
+    sums = rows.groupBy("_part").agg(F.sum(size).alias("_own"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as there are ranges
+    return rows, sums.select("_part", F.coalesce(F.sum("_own").over(before), F.lit(0)).alias("_before"), "_own")
+
+
+def running_total(df: DataFrame, order: list[Column], size: str, name: str) -> DataFrame:
+    """``df`` with ``_end``, the sum of ``size`` up to each row in the global order."""
+    rows, parts = range_sorted(df, order, size, name)
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    own = rows.withColumn("_in", F.sum(size).over(inside))
+    return own.join(F.broadcast(parts), "_part").withColumn("_end", F.col("_before") + F.col("_in")).drop("_part", "_before", "_own", "_in")
+
+
+def bounded_sample(df: DataFrame, rows: int, size: int, text: str, labels: DataFrame | None = None, key: str = "k") -> DataFrame:
+    """At most ``rows`` distinct rows of ``df`` (of those that have a record in ``labels``, which has one for a key), whose texts
+    have at most ``size`` bytes together, taken in the order of their hashes ``_h``; each comes once, however often it repeats."""
+    hashed = df.withColumn("_h", F.xxhash64(*df.columns))
+    narrow = hashed.select(*([key] if labels is not None else []), "_h", F.coalesce(F.octet_length(text), F.lit(0)).alias("_b")).distinct()
+    more = [] if labels is None else [c for c in labels.columns if c != key]
+    narrow = narrow if labels is None else narrow.join(labels, key).drop(key)
+    first = narrow.orderBy("_h", "_b").limit(rows)
+    running = F.sum("_b").over(Window.orderBy("_h", "_b"))  # over ``rows`` rows at most
+    chosen = first.withColumn("_all", running).where(F.col("_all") <= size).select("_h", *more)
+    return hashed.join(F.broadcast(chosen), "_h").dropDuplicates(["_h"])
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """(id, row): every row as a struct with a number of its own, written once, so that rows can be named whatever their keys
+    and column names are."""
+    return staged(docs.select(F.monotonically_increasing_id().alias("id"), F.struct(*(docs[c] for c in docs.columns)).alias("row")), "numbered")
 
 
 def text_word_count(text: Column) -> Column:

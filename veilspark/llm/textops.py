@@ -8,6 +8,7 @@ small whatever the batch or the longest text is; a text longer than that makes a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +17,12 @@ SEGMENT = 1 << 19
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
-_BASE_INV = pow(_BASE, -1, 1 << 64)
+
+#: Runs of values are hashed as polynomials over the prime field of PRIME, at two points each: two different runs of n
+#: values agree at a point with a chance of n / PRIME at most, whatever the values are. (A polynomial modulo a power of two
+#: has short strings that agree at every odd point.) A family is a pair of points, so two families give 124 bits.
+PRIME = (1 << 31) - 1
+_POINTS = ((0x2545F491, 0x4F6CDD1D), (0x5851F42D, 0x1B873593))
 
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -36,22 +41,27 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class _Powers:
-    """Powers of the hash base and of its inverse modulo 2**64, grown on demand."""
+    """Powers of a point and of its inverse in the field, grown on demand."""
 
-    def __init__(self) -> None:
-        self.up = np.ones(1, dtype=U)
-        self.down = np.ones(1, dtype=U)
+    def __init__(self, point: int) -> None:
+        self.point, self.back = point % PRIME, pow(point, -1, PRIME)
+        self.up = self.down = np.ones(1, dtype=U)
 
     def need(self, n: int) -> None:
         if len(self.up) >= n:
             return
         n = max(n, SEGMENT + 1)
-        with np.errstate(over="ignore"):
-            self.up = np.cumprod(np.concatenate([np.ones(1, U), np.full(n - 1, _BASE, U)]))
-            self.down = np.cumprod(np.concatenate([np.ones(1, U), np.full(n - 1, _BASE_INV, U)]))
+        self.up, self.down = (self._grown(x, n) for x in (self.point, self.back))
+
+    @staticmethod
+    def _grown(x: int, n: int) -> np.ndarray:
+        out = np.ones(1, dtype=U)
+        while len(out) < n:
+            out = np.concatenate([out, out * U(pow(x, len(out), PRIME)) % U(PRIME)])
+        return out[:n]
 
 
-POWERS = _Powers()
+POWERS = [[_Powers(x) for x in family] for family in _POINTS]
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -76,20 +86,70 @@ def segments(offsets: np.ndarray, limit: int = SEGMENT) -> Iterator[tuple[int, i
         row = end
 
 
-def prefix_hash(values: np.ndarray) -> np.ndarray:
-    """Running polynomial hash modulo 2**64: entry i covers the first i values."""
-    POWERS.need(len(values) + 1)
-    out = np.zeros(len(values) + 1, dtype=U)
-    with np.errstate(over="ignore"):
-        np.cumsum((values.astype(U) + U(1)) * POWERS.up[: len(values)], out=out[1:])
-    return out
+@dataclass(frozen=True)
+class Prefix:
+    """Running polynomials of a run of values: entry i covers the first i values and is right modulo PRIME. One row for each
+    point of the family."""
+
+    family: int
+    sums: tuple[np.ndarray, ...]
+
+
+_PIECE = 1 << 22  # values of a piece of sums, which stay under 2**62
+_LIFT = U(PRIME * ((1 << 62) // PRIME + 1))
+
+
+def prefix_hash(values: np.ndarray, family: int = 0) -> Prefix:
+    """Running hashes of values under 2**22."""
+    sums = []
+    for powers in POWERS[family]:
+        powers.need(len(values) + 1)
+        out = np.zeros(len(values) + 1, dtype=U)
+        done = U(0)
+        for x in range(0, len(values), _PIECE):
+            y = min(len(values), x + _PIECE)
+            part = values[x:y].astype(U)
+            part += U(1)
+            part *= powers.up[x:y]
+            if values.dtype.itemsize > 1:
+                part %= U(PRIME)
+            part[0] += done
+            np.cumsum(part, out=out[x + 1 : y + 1])
+            done = out[y] % U(PRIME)
+        sums.append(out)
+    return Prefix(family, tuple(sums))
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def span_hash(prefix: Prefix, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Mixed hashes of the value runs [start, end), independent of where they stand."""
+    h = None
+    for powers, sums in zip(POWERS[prefix.family], prefix.sums, strict=True):
+        own = sums[end] + _LIFT - sums[start]
+        own %= U(PRIME)
+        own *= powers.down[start]
+        own %= U(PRIME)
+        h = own if h is None else h << U(31) | own
+    return mix(h + (end - start).astype(U) * U(0xC2B2AE3D27D4EB4F))
+
+
+def sampling_hash(values: np.ndarray, size: int) -> np.ndarray:
+    """Cheap hashes of the runs of ``size`` values from every place, to choose places by content; no identity rests on them.
+    They are polynomials modulo 2**64."""
+    n = len(values) - size + 1
     with np.errstate(over="ignore"):
-        h = (prefix[end] - prefix[start]) * POWERS.down[start]
-        return mix(h + (end - start).astype(U) * U(0xC2B2AE3D27D4EB4F))
+        up = np.cumprod(np.concatenate([np.ones(1, U), np.full(size, _BASE, U)]))
+        out, done = np.zeros(n, dtype=U), 1
+        # runs of 2**k values are made of two of half the length; a run of ``size`` is made of those of its binary digits
+        half, at = values.astype(U) + U(1), 0
+        while True:
+            if size & done:
+                out *= up[done]
+                out += half[at : at + n]
+                at += done
+            if done * 2 > size:
+                return mix(out)
+            half = half[:-done] * up[done] + half[done:]
+            done *= 2
 
 
 def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
