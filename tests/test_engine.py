@@ -24,3 +24,15 @@ def test_sql_functions(spark):
     register(spark)
     assert [tuple(r) for r in spark.sql("SELECT * FROM vs_matches('a1 b22', '[0-9]+')").collect()] == [(1, 2, "1"), (4, 6, "22")]
     assert spark.sql("SELECT vs_norm(' ÁÉ ')").first()[0] == "ae"
+
+
+def test_layout_feeds_findings(spark):
+    """Values beside labels, on their line or in a cell, are findings; an identifier's label without one gives none."""
+    ship(spark)
+    text = "Nombre: Pedro Pérez\nRUT: pendiente\nDomicilio\nCalle Uno 5\nnada"
+    pages = spark.createDataFrame([(1, 0, text)], "file long, page int, text string")
+    rows = [(1, 0, i, t, text.index(t), x0, y0, x0 + 60.0, y0 + 12.0, 600.0, 800.0) for i, (t, x0, y0) in enumerate([("Domicilio", 20.0, 100.0), ("Calle Uno 5", 100.0, 100.0), ("nada", 20.0, 300.0)])]
+    lines = spark.createDataFrame(rows, "file long, page int, line int, text string, a int, x0 double, y0 double, x1 double, y1 double, width double, height double")
+    e = Engine(spark, "2026-01-01T00:00:00Z")
+    found = {(r.type, r.value, r.detector) for r in e.analyze(pages, lines=lines).collect()}
+    assert found == {("name", "Pedro Pérez", "context"), ("address", "Calle Uno 5", "context")}

@@ -77,9 +77,14 @@ def test_rate_fold_equals_stream(spark, tmp_path):
     assert abs(batch.rate - out.rate) < 1e-9 and batch.samples == out.samples == 50
 
 
-def test_learning_moves_by_share():
-    new = EST.learn_stage(EST.DEFAULT_RATES, {"ocr": {"scanned_page": 1, "region": 0, "region_mp": 0, "image_frame": 0}}, {"ocr": 20.0})
-    assert abs(new["ocr"]["scanned_page"] - 10 * (1 + 0.3 * (2 - 1))) < 1e-9 and new["ocr"]["region"] == 1.45
+def test_learning_moves_by_share(spark):
+    work = spark.createDataFrame([("ocr", "scanned_page", 1.0), ("ocr", "region", 0.0), ("faces", "region", 4.0), ("faces", "image_mp", 2.0), ("qr", "image_mp", 1.0)], "stage string, unit string, count double")
+    took = spark.createDataFrame([("ocr", 20.0), ("faces", 100.0), ("qr", float("nan")), ("text", 1.0)], "stage string, seconds double")
+    new = {(r.stage, r.unit): r.rate for r in EST.learn_once(EST.rates(spark), work, took).collect()}
+    old = {(s, u): v for s, own in EST.DEFAULT_RATES.items() for u, v in own.items()}
+    estimate = 0.15 * 4 + 0.35 * 2
+    moved = {("ocr", "scanned_page"): 10 * (1 + 0.3 * (2 - 1)), ("faces", "region"): 0.15 * (1 + 0.3 * (0.6 / estimate) * (5 - 1)), ("faces", "image_mp"): 0.35 * (1 + 0.3 * (0.7 / estimate) * (5 - 1))}
+    assert all(abs(new[k] - moved.get(k, v)) < 1e-9 for k, v in old.items())
 
 
 def test_windows_on_a_stream(spark, tmp_path):

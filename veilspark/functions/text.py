@@ -294,10 +294,24 @@ def safe_suffix(name: Str) -> Column:
 
 
 def seconds_text(value: Str) -> Column:
-    """Spanish duration: seconds, minutes or hours, rounded."""
-    v = col(value)
-    s, m = F.bround(v).cast("long"), F.bround(v / 60).cast("long")
-    return F.when(v < 1, "menos de 1 segundo").when(v < 90, F.concat(s.cast("string"), F.when(s == 1, " segundo").otherwise(" segundos"))).when(v < 5400, F.concat(m.cast("string"), F.when(m == 1, " minuto").otherwise(" minutos"))).otherwise(F.concat(F.format_number(v / 3600, 1), F.lit(" horas")))
+    """Spanish duration: tenths under ten seconds, whole seconds under a minute, then minutes and seconds."""
+    v = col(value).cast("double")
+    whole = F.bround(v).cast("long")
+    minutes, rest = F.floor(whole / 60).cast("string"), whole % 60
+    long = F.concat(minutes, F.lit(" min"), F.when(rest > 0, F.concat(F.lit(" "), rest.cast("string"), F.lit(" s"))).otherwise(""))
+    tenths = F.concat(F.replace(F.format_string("%.1f", v), F.lit("."), F.lit(",")), F.lit(" s"))
+    return F.when(v < 0.1, "menos de 0,1 s").when(v < 10, tenths).when(whole < 60, F.concat(whole.cast("string"), F.lit(" s"))).otherwise(long)
+
+
+def decoy_date(n: Str) -> Column:
+    """A Spanish date that is no personal datum, chosen by a number."""
+    day, month = F.pmod(col(n), F.lit(28)) + 1, F.pmod(F.floor(col(n) / 28), F.lit(12)) + 1
+    return F.concat(day.cast("string"), F.lit(" de "), F.element_at(F.array(*map(F.lit, MONTHS)), month.cast("int")), F.lit(" de 2026"))
+
+
+def decoy_folio(n: Str) -> Column:
+    """A document number with its year, chosen by a number."""
+    return F.concat((F.pmod(col(n), F.lit(9900)) + 100).cast("string"), F.lit("/"), F.when(F.pmod(col(n), F.lit(2)) == 0, "2026").otherwise("2025"))
 
 
 def join_items(items: Column) -> Column:

@@ -10,18 +10,25 @@ from ..functions import text as T
 
 #: Labels of fields, by the type of what they label.
 LABELS = {
-    "rut": [r"rut", r"r\.u\.t\.?", r"run", r"c\.?\s?i\.?", r"cedula(?: de identidad)?"],
-    "email": [r"correo(?: electronico)?", r"e-?\s?mail", r"mail"],
-    "phone": [r"telefono", r"fono", r"celular", r"movil"],
-    "address": [r"direccion", r"domicilio"],
-    "signature": [r"firma(?: del titular)?"],
-    "name": [r"nombres?(?: y apellidos?)?", r"nombre completo", r"apellidos?"],
+    "rut": ["rut", "r.u.t", "r.u.t.", "run", "ci", "c.i", "c.i.", "c i", "c. i.", "cedula", "cedula de identidad"],
+    "email": ["correo", "correo electronico", "email", "e-mail", "e mail", "mail"],
+    "phone": ["telefono", "fono", "celular", "movil"],
+    "address": ["direccion", "domicilio"],
+    "signature": ["firma", "firma del titular"],
+    "name": ["nombre", "nombres", "nombre y apellido", "nombre y apellidos", "nombres y apellido", "nombres y apellidos", "nombre completo", "apellido", "apellidos"],
 }
 #: Words that are labels only with a colon.
-COLON_LABELS = ["de", "para", "cc", "cco", "remitente", "destinatario", "asistente", "solicitante", r"funcionari[oa]", r"prestador(?:a)?"]
-_ALL = "|".join(p for own in LABELS.values() for p in own)
-LABEL_ONLY = rf"^\s*(?:{_ALL})\s*:?\s*$"
-LABEL_VALUE = rf"^(\s*(?:{_ALL}|{'|'.join(COLON_LABELS)})\s*:\s*)(\S.*)$"
+COLON_LABELS = ["de", "para", "cc", "cco", "remitente", "destinatario", "asistente", "solicitante", "funcionaria", "funcionario", "prestador", "prestadora"]
+
+
+def _any(words: list[str]) -> str:
+    """Pattern of any of the words, the longest first, with any spaces between their parts."""
+    return "|".join(r"\s+".join(p.replace(".", r"\.") for p in w.split()) for w in sorted(words, key=lambda w: (-len(w), w)))
+
+
+_ALL = [w for own in LABELS.values() for w in own]
+LABEL_ONLY = rf"^\s*(?:{_any(_ALL)})\s*:?\s*$"
+LABEL_VALUE = rf"^(\s*(?:{_any(_ALL + COLON_LABELS)})\s*:\s*)(\S.*)$"
 ROLE = r"^(?:alcalde(?:sa)?|director(?:a)?|jef[ea]|secretari[oa]|presidente|encargad[oa]|profesional|coordinador(?:a)?|ministr[oa])(?![a-z])"
 SIGNATURE_WORD = r"firma|timbre|suscrib|rubrica"
 ELECTRONIC = r"electronic|digital"
@@ -32,11 +39,10 @@ def is_label(text: T.Str) -> Column:
 
 
 def type_by_label(label: T.Str) -> Column:
-    n = T.norm(label)
-    out = F.lit("name")
-    for kind, own in reversed([x for x in LABELS.items() if x[0] != "name"]):
-        out = F.when(n.rlike(rf"^\s*(?:{'|'.join(own)})"), kind).otherwise(out)
-    return out
+    """The type whose label the text begins with, the longest label first; a name if none."""
+    by_label = {w: kind for kind, own in LABELS.items() for w in own}
+    found = F.regexp_replace(F.regexp_extract(T.norm(label), rf"^\s*({_any(list(by_label))})", 1), r"\s+", " ")
+    return F.coalesce(F.create_map(*(F.lit(x) for p in by_label.items() for x in p))[found], F.lit("name"))
 
 
 def label_values(lines: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -71,14 +77,15 @@ def same_row() -> Column:
     return (F.col("line_h") != F.col("line_l")) & (G.vertical_overlap(G.box("_h"), G.box("_l")) > 0.4)
 
 
-def headers(lines: DataFrame, page: list[str]) -> DataFrame:
-    """Each lone label: type, whether it heads a table column, and the column's range."""
+def with_headers(lines: DataFrame, page: list[str]) -> DataFrame:
+    """Lone labels with the lines of their page, and for each label its type, whether it heads a table column, and the
+    column's range. The pairs are made once; what they say of a label is windows over them."""
     pairs = neighbours(lines, page)
     short = same_row() & (F.size(F.split(F.trim("text_l"), r"\s+")) <= 4) & (F.col("x1_l") - F.col("x0_l") < F.col("width") * 0.5)
-    by = [*page, "line_h", "text_h", "x0_h", "y0_h", "x1_h", "y1_h", "width", "height"]
-    left = F.max(F.when(short & (F.col("x1_l") < F.col("x0_h")), F.col("x1_l")))
-    right = F.min(F.when(short & (F.col("x0_l") > F.col("x1_h")), F.col("x0_l")))
-    out = pairs.groupBy(*by).agg(F.count_if(short).alias("same_row"), left.alias("_left"), right.alias("_right"))
+    own = Window.partitionBy(*page, "line_h")
+    left = F.max(F.when(short & (F.col("x1_l") < F.col("x0_h")), F.col("x1_l"))).over(own)
+    right = F.min(F.when(short & (F.col("x0_l") > F.col("x1_h")), F.col("x0_l"))).over(own)
+    out = pairs.withColumns({"same_row": F.count_if(short).over(own), "_left": left, "_right": right})
     start = F.coalesce((F.col("_left") + F.col("x0_h")) / 2, F.col("x0_h") - (F.col("y1_h") - F.col("y0_h")))
     end = F.coalesce((F.col("_right") + F.col("x1_h")) / 2, F.least(F.col("width"), F.col("x1_h") + 1.5 * (F.col("x1_h") - F.col("x0_h"))))
     return out.select("*", type_by_label("text_h").alias("type"), (F.col("same_row") >= 2).alias("table"), start.alias("x_start"), end.alias("x_end")).drop("_left", "_right")
@@ -86,19 +93,17 @@ def headers(lines: DataFrame, page: list[str]) -> DataFrame:
 
 def form_cells(lines: DataFrame, page: list[str]) -> DataFrame:
     """(page, line_h, type, line): the nearest line to the right of a lone label that heads no table."""
-    heads = headers(lines, page).where("not table").select(*page, "line_h", "type")
     near = same_row() & (F.col("x0_l") >= F.col("x1_h") - 2) & (F.col("x0_l") - F.col("x1_h") < F.col("width") * 0.45)
-    best = neighbours(lines, page).where(near).groupBy(*page, "line_h").agg(F.min(F.struct("x0_l", "line_l", "text_l")).alias("m"))
-    return heads.join(best, [*page, "line_h"]).where(~is_label("m.text_l")).select(*page, "line_h", "type", F.col("m.line_l").alias("line"))
+    best = with_headers(lines, page).where(~F.col("table") & near).groupBy(*page, "line_h", "type").agg(F.min(F.struct("x0_l", "line_l", "text_l")).alias("m"))
+    return best.where(~is_label("m.text_l")).select(*page, "line_h", "type", F.col("m.line_l").alias("line"))
 
 
 def column_cells(lines: DataFrame, page: list[str]) -> DataFrame:
     """(page, line_h, type, line): lines below a table header inside its column, until one is too wide, too far, or a label.
     The scan with an early stop is a running maximum of stop flags."""
-    heads = headers(lines, page).where("table")
-    below = heads.join(lines.select(*page, *(F.col(c).alias(f"{c}_l") for c in ("line", "text", "x0", "y0", "x1", "y1"))), page)
     centre = (F.col("x0_l") + F.col("x1_l")) / 2
-    below = below.where((F.col("y0_l") > F.col("y1_h") - 1) & (centre >= F.col("x_start") - 2) & (centre <= F.col("x_end") + 2))
+    inside = F.col("table") & (F.col("y0_l") > F.col("y1_h") - 1) & (centre >= F.col("x_start") - 2) & (centre <= F.col("x_end") + 2)
+    below = with_headers(lines, page).where(inside)
     order = Window.partitionBy(*page, "line_h").orderBy("y0_l", "line_l")
     last = F.coalesce(F.lag("y1_l").over(order), F.col("y1_h"))
     gap = F.greatest(4 * (F.col("y1_h") - F.col("y0_h")), F.col("height") * 0.08)
@@ -111,22 +116,3 @@ def repeated_images(images: DataFrame) -> DataFrame:
     """(file, xref, rounded box) that two pages or more have."""
     keys = ["file", "xref", *(F.round(c).cast("int").alias(c) for c in ("x0", "y0", "x1", "y1"))]
     return images.groupBy(*keys).agg(F.countDistinct("page").alias("pages")).where("pages >= 2")
-
-
-def near_lines(regions: DataFrame, lines: DataFrame, page: list[str], heights: float = 12.0) -> DataFrame:
-    """Signature keyword lines within so many line heights of a region."""
-    both = regions.select(*page, "region", *(F.col(c).alias(f"{c}_r") for c in ("x0", "y0", "x1", "y1"))).join(lines.where(is_keyword_line("text")), page)
-    dx = F.greatest(F.lit(0.0), F.col("x0") - F.col("x1_r"), F.col("x0_r") - F.col("x1"))
-    dy = F.greatest(F.lit(0.0), F.col("y0") - F.col("y1_r"), F.col("y0_r") - F.col("y1"))
-    return both.where(F.hypot(dx, dy) <= heights * (F.col("y1") - F.col("y0")))
-
-
-def signer_lines(lines: DataFrame, page: list[str]) -> DataFrame:
-    """Role lines alone on their row: no other line overlaps them vertically."""
-    own = lines.where(is_role_line("text"))
-    other = lines.select(*page, F.col("line").alias("_l"), F.col("y0").alias("_y0"), F.col("y1").alias("_y1"))
-    share = F.least("y1", "_y1") - F.greatest("y0", "_y0")
-    cond = [own[k] == other[k] for k in page]
-    for c in ((F.col("_l") != F.col("line")), (share > 0.4 * F.least(F.col("y1") - F.col("y0"), F.col("_y1") - F.col("_y0")))):
-        cond.append(c)
-    return own.join(other, cond, "left_anti")

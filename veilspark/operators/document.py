@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,8 +12,14 @@ from ..functions import spans as S
 from ..functions import text as T
 
 #: Phrases that may stand before a listed value.
-LABEL_PHRASES = ["rut", "run", "n", "numero", "fono", "telefono", "celular", "cel", "fax", "contacto", "mesa central", "mesa", "call center", "rut empresa", "rol unico tributario", "telefono contacto"]
+LABEL_PHRASES = [p for line in """
+rut|rut n|n rut|r u t|run|rut del servicio|rut de la institucion|rol unico tributario
+fono|fonos|telefono|telefonos|tel|telf|cel|celular|movil|whatsapp|fax|contacto|fono contacto|telefono contacto
+mesa central|fono mesa central|telefono mesa central|mesa de ayuda|linea gratuita|call center|central telefonica
+atencion ciudadana|informaciones|oficina de partes|numero|nro|n|web|sitio web|pagina web
+""".split("\n") for p in line.split("|") if p]
 NAME_LIKE = ["rut", "mesa"]
+WORD = r"[\p{L}\p{N}_]+"
 
 
 def found_values(spans: DataFrame, file: str = "file") -> DataFrame:
@@ -27,22 +32,26 @@ def found_values(spans: DataFrame, file: str = "file") -> DataFrame:
     return out.withColumn("pattern", T.needle_pattern("value")).where("pattern is not null")
 
 
-def candidate_hits(pages: DataFrame, values: DataFrame, file: str = "file", text: str = "text") -> DataFrame:
-    """Places where a found value stands again: on its pages, or in the whole file if it is strong."""
-    both = pages.withColumn("_fold", T.fold(text)).join(values, file).where(F.col("whole") | F.array_contains("pages", F.col("page")))
-    both = both.where(F.regexp_like("_fold", F.col("pattern")))
+def words_of(c: T.Str) -> Column:
+    return F.regexp_extract_all(T.fold(c), F.lit(WORD), F.lit(0))
+
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in batches:
-            out = []
-            for row in df.itertuples(index=False):
-                p = re.compile(row.pattern.replace(r"[\p{L}\p{N}_]", r"\w").replace(r"[^\p{L}\p{N}_]", r"\W"))
-                out += [(row.file, row.page, row.type, m.start(), m.end(), row.detector, row.text[m.start() : m.end()], row.fp, row.fa) for m in p.finditer(row.fold) if m.end() > m.start()]
-            yield pd.DataFrame(out, columns=["file", "page", "type", "a", "b", "detector", "value", "fp", "fa"])
+def first_words(c: T.Str) -> Column:
+    """The words with which a place of a value can begin: its first word, or its first words written together."""
+    w = words_of(c)
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(w), F.lit(1))), lambda k: F.array_join(F.slice(w, F.lit(1), k), ""))
 
-    narrow = both.select(F.col(file).alias("file"), "page", F.col(text).alias("text"), F.col("_fold").alias("fold"), "pattern", "type", "detector", F.col("first.page").alias("fp"), F.col("first.a").alias("fa"))
-    kinds = dict(narrow.dtypes)
-    return narrow.mapInPandas(find, f"file {kinds['file']}, page {kinds['page']}, type string, a int, b int, detector string, value string, fp {kinds['page']}, fa int")
+
+def candidate_hits(pages: DataFrame, values: DataFrame, file: str = "file", text: str = "text") -> DataFrame:
+    """Places where a found value stands again: on its pages, or in the whole file if it is strong. The words of the pages
+    are joined with the values that begin with them, so a page meets only such values of its file."""
+    words = pages.select(file, "page", F.explode(F.array_distinct(words_of(text))).alias("_w"))
+    keyed = values.withColumn("_w", F.explode(first_words("value")))
+    near = words.join(keyed.select(file, "_w", "pattern", "whole", "pages"), [file, "_w"]).where(F.col("whole") | F.array_contains("pages", F.col("page")))
+    near = near.select(file, "page", "pattern").distinct()
+    both = near.join(pages.select(file, "page", F.col(text).alias("text"), T.fold(text).alias("_fold")), [file, "page"]).join(values.drop("whole", "pages"), [file, "pattern"])
+    spans = both.select(F.col(file).alias("file"), "page", "text", "type", "detector", F.col("first.page").alias("fp"), F.col("first.a").alias("fa"), F.explode(S.find_spans("_fold", F.col("pattern"))).alias("s"))
+    return spans.select("file", "page", "type", "s.a", "s.b", "detector", F.substring("text", F.col("s.a") + 1, F.col("s.b") - F.col("s.a")).alias("value"), "fp", "fa")
 
 
 def propagate(pages: DataFrame, spans: DataFrame) -> DataFrame:
@@ -83,9 +92,12 @@ def data_in_urls(pages: DataFrame, spans: DataFrame) -> DataFrame:
 
 def settle_optional(findings: DataFrame) -> DataFrame:
     """An optional link that holds the value of a name, address or signature of its file is no longer optional."""
-    names = findings.where(F.col("type").isin("name", "address", "signature") & F.col("value").isNotNull()).select(F.col("file").alias("_f"), T.needle_pattern("value").alias("_p")).where("_p is not null").distinct()
-    urls = findings.where("type = 'url' and optional").select("id", F.col("file").alias("_g"), F.translate(T.fold("value"), "-_", "  ").alias("_u"))
-    hit = urls.join(names, F.col("_f") == F.col("_g")).where(F.regexp_like("_u", F.col("_p"))).select(F.col("id").alias("_id")).distinct()
+    named = findings.where(F.col("type").isin("name", "address", "signature") & F.col("value").isNotNull())
+    names = named.select(F.col("file").alias("_f"), F.explode(first_words("value")).alias("_w"), T.needle_pattern("value").alias("_p")).where("_p is not null").distinct()
+    plain = F.translate(T.fold("value"), "-_", "  ")
+    urls = findings.where("type = 'url' and optional").select("id", F.col("file").alias("_f"), plain.alias("_u"))
+    urls = urls.select("*", F.explode(F.array_distinct(words_of("_u"))).alias("_w"))
+    hit = urls.join(names, ["_f", "_w"]).where(F.regexp_like("_u", F.col("_p"))).select(F.col("id").alias("_id")).distinct()
     out = findings.join(hit, F.col("id") == F.col("_id"), "left")
     settled = F.col("_id").isNotNull()
     return out.withColumns({"optional": F.col("optional") & ~settled, "optional_reason": F.when(~settled, F.col("optional_reason")), "status": F.when(settled & (F.col("status") == "suggested"), "proposed").otherwise(F.col("status"))}).drop("_id")

@@ -76,17 +76,33 @@ def found_list(hits: DataFrame, keys: list[str]) -> DataFrame:
     return hits.groupBy(*keys, "element").agg(F.array_sort(F.collect_set(F.concat_ws(":", "origin", "part"))).alias("found"))
 
 
+#: Needles of at most this many bytes together are sent to all tasks; more are joined by a shuffle.
+NEEDLE_BYTES = 8 << 20
+
+
 def passages_in(texts: DataFrame, needles_: DataFrame, text: str = "text", key: str = "doc_id", item: str = "item_id", anchor_words: int = 4) -> DataFrame:
-    """(key, item): folded needles contained in folded texts, whole words. Each needle is keyed by its first words; texts emit
-    their word n-grams, so the containment test runs on few pairs."""
+    """(key, item): folded needles contained in folded texts, whole words. A needle is keyed by the run of ``anchor_words`` of
+    its words with the most letters (by all its words, if it has fewer); texts emit their runs of those lengths, so the
+    containment test is made on few pairs, and at once where the needles are small enough to be sent."""
     words = lambda c: F.filter(F.split(T.norm_general(c), " "), lambda w: w != "")
-    n = needles_.select(item, words(text).alias("w")).where(F.size("w") >= anchor_words)
-    n = n.select(item, F.xxhash64(F.array_join(F.slice("w", 1, anchor_words), " ")).alias("h"), F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("n"))
+    bounded = lambda w: F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
+
+    def runs(n: Column | int) -> Column:
+        k = F.lit(n) if isinstance(n, int) else n
+        return F.when(F.size("w") >= k, F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - k + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, k), " "))).otherwise(F.array().cast("array<string>"))
+
+    n = needles_.select(item, words(text).alias("w")).where(F.size("w") > 0).withColumn("k", F.least(F.size("w"), F.lit(anchor_words)))
+    best = F.array_max(F.transform(runs(F.col("k")), lambda r: F.struct(F.length(r).alias("n"), r.alias("r"))))
+    n = n.select(item, "k", F.xxhash64("k", best["r"]).alias("h"), bounded("w").alias("n"))
+    facts = n.agg(F.collect_set("k").alias("ks"), F.coalesce(F.sum(F.octet_length("n")), F.lit(0)).alias("size")).first()  # anchor_words lengths at most
     t = texts.select(key, words(text).alias("w"))
-    grams = F.transform(F.sequence(F.lit(1), F.size("w") - anchor_words + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(anchor_words)), " ")))
-    t = t.where(F.size("w") >= anchor_words).select(key, F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("t"), grams.alias("g"))
-    hits = t.select(key, F.explode(F.array_distinct("g")).alias("h")).join(n.select("h", item), "h").select(key, item).distinct()
-    return hits.join(t.select(key, "t"), key).join(n.select(item, "n"), item).where(F.col("t").contains(F.col("n"))).select(key, item)
+    hashed = lambda k: F.transform(runs(k), lambda r: F.xxhash64(F.lit(k), r))
+    grams = F.flatten(F.array(*map(hashed, sorted(facts["ks"])))) if facts["ks"] else F.array().cast("array<bigint>")
+    if facts["size"] <= NEEDLE_BYTES:
+        hits = t.select(key, bounded("w").alias("t"), F.explode(F.array_distinct(grams)).alias("h")).join(F.broadcast(n.drop("k")), "h")
+        return hits.where(F.col("t").contains(F.col("n"))).select(key, item).distinct()
+    hits = t.select(key, F.explode(F.array_distinct(grams)).alias("h")).join(n.select("h", item), "h").select(key, item).distinct()
+    return hits.join(t.select(key, bounded("w").alias("t")), key).join(n.select(item, "n"), item).where(F.col("t").contains(F.col("n"))).select(key, item).distinct()
 
 
 def ratio(a: Column, b: Column) -> Column:

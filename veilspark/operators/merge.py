@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import text as T
+from .components import components
 
 CELL = 120.0
 MERGE_ORDER = ["rut", "email", "phone", "address", "name", "signature", "url", "qr", "face"]
@@ -49,24 +50,16 @@ def glyphs_under(zones: DataFrame, glyphs: DataFrame, page: list[str]) -> DataFr
     return both.where(centre | (G.intersection(G.box("_a"), G.box("_b")) >= 0.5 * G.box_area(G.box("_b"))))
 
 
-def box_components(boxes: DataFrame, page: list[str], ident: str = "id", grow: Column | None = None, rounds: int = 40) -> DataFrame:
-    """(page, id, component): boxes that meet when grown by their height, transitively; a component is named by its least
-    id. Labels are passed along the links until nothing changes; each round is written, so lost executors cost one round."""
+def box_components(boxes: DataFrame, page: list[str], ident: str = "id", grow: Column | None = None) -> DataFrame:
+    """(page, id, component): boxes that meet when grown by half their height, transitively; a component is named by its
+    least id."""
     g = grow if grow is not None else (F.col("y1") - F.col("y0")) / 2
     grown = boxes.select(*page, ident, (F.col("x0") - g).alias("x0"), (F.col("y0") - g).alias("y0"), (F.col("x1") + g).alias("x1"), (F.col("y1") + g).alias("y1"))
-    links = box_join(grown, grown, page).where(f"{ident}_a <> {ident}_b").select(*page, f"{ident}_a", f"{ident}_b").checkpoint()
-    labels = boxes.select(*page, ident, F.col(ident).alias("component"))
-    for _ in range(rounds):
-        near = links.join(labels.withColumnsRenamed({ident: f"{ident}_b"}), [*page, f"{ident}_b"]).groupBy(*page, F.col(f"{ident}_a").alias(ident)).agg(F.min("component").alias("m"))
-        # a label is also replaced by its own label's label, which halves the longest chain each round
-        new = labels.join(near, [*page, ident], "left").withColumn("n", F.least("component", F.coalesce("m", "component")))
-        up = new.select(*page, F.col(ident).alias("n"), F.col("n").alias("u"))
-        new = new.join(up, [*page, "n"], "left").select(*page, ident, F.col("component").alias("old"), F.coalesce("u", "n").alias("component")).checkpoint()
-        changed = not new.where("old <> component").isEmpty()
-        labels = new.drop("old")
-        if not changed:
-            break
-    return labels
+    node = lambda s: F.struct(*page, F.col(f"{ident}{s}").alias("id"))
+    links = box_join(grown, grown, page).where(F.col(f"{ident}_a") < F.col(f"{ident}_b")).select(node("_a").alias("a"), node("_b").alias("b"))
+    found = components(links, "a", "b").select(*(F.col("node")[k].alias(k) for k in page), F.col("node.id").alias(ident), F.col("component.id").alias("component"))
+    out = boxes.select(*page, ident).join(found, [*page, ident], "left")
+    return out.withColumn("component", F.coalesce("component", ident))
 
 
 def char_islands(chars: DataFrame, keys: list[str], gap_heights: float = 2.0, pad: float = 1.0) -> DataFrame:
@@ -181,29 +174,66 @@ def fixpoint_boxes(boxes: DataFrame, keys: list[str], min_iou: float = 0.4, min_
     return boxes.groupBy(*keys).applyInPandas(fold, schema)
 
 
+Points = list[tuple[float, float]]
+
+
+def _rect(p: Points) -> tuple[float, float, float, float] | None:
+    """The box that a polygon is, if it is one."""
+    xs, ys = sorted({x for x, _ in p}), sorted({y for _, y in p})
+    return (xs[0], ys[0], xs[1], ys[1]) if len(p) == 4 and len(xs) == len(ys) == 2 and len(set(p)) == 4 else None
+
+
+def _iou(p: Points, q: Points) -> float:
+    """Shared share of two zones: of boxes as they are, of others as convex polygons."""
+    a, b = _rect(p), _rect(q)
+    if a and b:
+        inter = max(0.0, min(a[2], b[2]) - max(a[0], b[0])) * max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
+        areas = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1])
+    else:
+        h, k = _hull(p), _hull(q)
+        cut = _poly_cut(h, k) if len(h) > 2 and len(k) > 2 else []
+        inter, areas = (_poly_area(cut) if len(cut) > 2 else 0.0), _poly_area(h) + _poly_area(k)
+    return inter / max(1e-9, areas - inter)
+
+
+def _union(p: Points, q: Points) -> Points:
+    """The box of two boxes, or the hull of two other zones."""
+    a, b = _rect(p), _rect(q)
+    if not (a and b):
+        return _hull(p + q)
+    x0, y0, x1, y1 = min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3])
+    return [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
+
+
 def dedup_zones(zones: DataFrame, keys: list[str], min_iou: float = 0.7, order: str = "id") -> DataFrame:
     """Repeated zones of a page, greedily in order: zones of one line become their union; the most specific type, the best
-    score and the distinct texts stay; doubt and optional stay only if all agree."""
+    score and the distinct texts stay; doubt and optional stay only if all agree. Zones are boxes (x0, y0, x1, y1), or
+    polygons where there is a column ``polygon``; turned ones are compared and united as convex polygons."""
+    turned = "polygon" in zones.columns
+
+    def points(r: dict) -> Points:
+        if turned:
+            return [(q["x"], q["y"]) for q in r["polygon"]]
+        return [(r["x0"], r["y0"]), (r["x1"], r["y0"]), (r["x1"], r["y1"]), (r["x0"], r["y1"])]
 
     def fold(df: pd.DataFrame) -> pd.DataFrame:
         rank = {t: i for i, t in enumerate(MERGE_ORDER)}
         out: list[dict] = []
         for r in df.sort_values(order).to_dict("records"):
-            for o in out:
-                w, h = min(r["x1"], o["x1"]) - max(r["x0"], o["x0"]), min(r["y1"], o["y1"]) - max(r["y0"], o["y0"])
-                inter = max(0, w) * max(0, h)
-                areas = [(k["x1"] - k["x0"]) * (k["y1"] - k["y0"]) for k in (r, o)]
-                if inter and inter / max(1e-9, sum(areas) - inter) >= min_iou:
-                    if rank.get(r["type"], 99) < rank.get(o["type"], 99):
-                        o["type"] = r["type"]
-                    o.update(x0=min(r["x0"], o["x0"]), y0=min(r["y0"], o["y0"]), x1=max(r["x1"], o["x1"]), y1=max(r["y1"], o["y1"]), score=max(r["score"], o["score"]), doubt=bool(r["doubt"] and o["doubt"]), optional=bool(r["optional"] and o["optional"]), merged=o["merged"] + 1)
-                    break
-            else:
+            r["p"] = points(r)
+            same = next((o for o in out if _iou(r["p"], o["p"]) >= min_iou), None)
+            if same is None:
                 out.append(r | {"merged": 1})
+                continue
+            best = min(r["type"], same["type"], key=lambda t: rank.get(t, 99))
+            same.update(p=_union(r["p"], same["p"]), type=best, score=max(r["score"], same["score"]), doubt=bool(r["doubt"] and same["doubt"]), optional=bool(r["optional"] and same["optional"]), merged=same["merged"] + 1)
+        for o in out:
+            xs, ys = zip(*o["p"], strict=True)
+            o.update(x0=min(xs), y0=min(ys), x1=max(xs), y1=max(ys), polygon=[{"x": x, "y": y} for x, y in o["p"]])
         return pd.DataFrame(out)[columns]
 
-    kinds = dict(zones.dtypes)
-    columns = [*keys, "type", "x0", "y0", "x1", "y1", "score", "doubt", "optional", "merged"]
+    kinds = dict(zones.dtypes) | {c: "double" for c in ("x0", "y0", "x1", "y1")}
+    columns = [*keys, "type", "x0", "y0", "x1", "y1", "score", "doubt", "optional", "merged", *(["polygon"] if turned else [])]
     return zones.groupBy(*keys).applyInPandas(fold, ", ".join(f"{c} {kinds.get(c, 'int')}" for c in columns))
 
 

@@ -30,6 +30,11 @@ def mask_pattern(text: T.Str, pattern: str, char: str = MASK) -> Column:
     return mask(text, F.transform(S.find_spans(text, pattern), lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"))), char)
 
 
+def mask_detected(text: T.Str, options: S.Detect, char: str = MASK) -> Column:
+    """Text with all that the pattern detectors find in it masked, where it stands: nothing is joined or shuffled."""
+    return mask(text, F.transform(F.filter(S.detect_spans(text, options), lambda s: s["b"] > s["a"]), lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"))), char)
+
+
 def blank(text: T.Str, a: Column, b: Column) -> Column:
     """The characters of a range that are no white space become spaces."""
     t = T.col(text)
@@ -68,7 +73,7 @@ def string_leaks(strings: DataFrame, findings: DataFrame) -> DataFrame:
 
 def metadata_leaks(metadata: DataFrame) -> DataFrame:
     """Files with any metadata text left."""
-    return metadata.where(F.length(F.trim("text")) > 0).groupBy("file").agg(F.count("*").alias("left"), F.array_sort(F.collect_set("location")).alias("locations"))
+    return metadata.where(F.col("text").rlike(r"(?U)\S")).groupBy("file").agg(F.count("*").alias("left"), F.array_sort(F.collect_set("location")).alias("locations"))
 
 
 def within(chars: Column, zones: Column) -> Column:
@@ -94,8 +99,7 @@ def export(pages: DataFrame, spans: DataFrame, keys: list[str], text: str = "tex
     """(masked pages, leaks): mask, search the output again, mask what was found once more, and check again. The second pass
     starts from a checkpoint, so that it does not repeat the first."""
     first = masked_pages(pages, spans, keys, text).withColumn(text, F.col("masked")).drop("masked").checkpoint()
-    missed = D.dedup_spans(D.detect(first, keys, text, S.Detect(urls_personal=False, urls_other=False)), keys)
-    second = masked_pages(first, missed, keys, text).withColumn(text, F.col("masked")).drop("masked").checkpoint()
+    second = first.withColumn(text, mask_detected(text, S.Detect(urls_personal=False, urls_other=False))).checkpoint()
     return second, unmarked(second, keys, text)
 
 

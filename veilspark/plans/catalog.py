@@ -54,7 +54,7 @@ def _filled(sql: str) -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import text_queries, join_queries, space_queries, metric_queries, stream_queries  # noqa: F401, I001
+    from . import text_queries, join_queries, space_queries, metric_queries, stream_queries, check_queries  # noqa: F401, I001
 
     return {name: (lambda spark, d, q=q: q.build(Tables(spark, d))) for name, q in CATALOG.items()}
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import spans as S
+from ..operators import context as C
 from ..operators import detect as D
 from ..operators import document as DOC
 from ..operators import estimate as EST
@@ -33,9 +34,24 @@ class Engine:
     def estimate(self, pages: DataFrame, rates: DataFrame | None = None) -> DataFrame:
         return EST.stages(EST.units(self.profile(pages)), rates if rates is not None else EST.rates(self.spark))
 
-    def spans(self, pages: DataFrame, names: DataFrame | None = None, list_size: int | None = None, dictionary: bool = False) -> DataFrame:
-        """Deduplicated spans of patterns, list and dictionary, with what propagation adds."""
-        found = D.detect(pages, self.keys, "text", self.options)
+    def context(self, pages: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+        """Spans that layout gives: values of "label: value" lines and, with boxed ``lines`` (file, page, line, text, a, x0, y0, x1,
+        y1, width, height; a is the line's place in the page's text), form cells and table columns. A value
+        under an identifier's label that holds none takes the type of what it does hold, or goes."""
+        own = D.lines_of(pages, self.keys, "text")
+        found = C.label_values(own.select(*self.keys, F.col("a").alias("at"), F.col("line_text").alias("text")), [*self.keys, "at"])
+        found = found.select(*self.keys, "type", (F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b")).alias("b"), "value")
+        if lines is not None:
+            cells = C.form_cells(lines, self.keys).unionByName(C.column_cells(lines, self.keys)).select(*self.keys, "type", "line").distinct()
+            whole = lines.select(*self.keys, "line", "a", (F.col("a") + F.length("text")).alias("b"), F.col("text").alias("value"))
+            found = found.unionByName(cells.join(whole, [*self.keys, "line"]).select(*self.keys, "type", "a", "b", "value"))
+        kinds = F.transform(S.detect_spans("value"), lambda s: s["type"])
+        typed = found.withColumn("type", D.context_type(F.col("type"), "value", kinds)).where("type is not null")
+        return typed.withColumn("detector", F.lit("context")).select(*self.keys, "type", "a", "b", "detector", "value")
+
+    def spans(self, pages: DataFrame, names: DataFrame | None = None, list_size: int | None = None, dictionary: bool = False, lines: DataFrame | None = None) -> DataFrame:
+        """Deduplicated spans of patterns, layout, list and dictionary, with what propagation adds."""
+        found = D.detect(pages, self.keys, "text", self.options).unionByName(self.context(pages, lines))
         if names is not None:
             hits = N.list_matches(pages, self.keys, "text", names, known_size=list_size)
             a, b = N.expand_name("text", F.col("a"), F.col("b"))
@@ -47,9 +63,13 @@ class Engine:
         kept = D.dedup_spans(found, self.keys).checkpoint()
         return kept.unionByName(DOC.propagate(pages, kept))
 
-    def analyze(self, pages: DataFrame, names: DataFrame | None = None, exceptions: DataFrame | None = None, list_size: int | None = None, dictionary: bool = False) -> DataFrame:
+    def data_in_links(self, pages: DataFrame, found: DataFrame) -> DataFrame:
+        """Places inside links where a found value that is no link stands: (file, page, a, b, type, value)."""
+        return DOC.data_in_urls(pages, found.select(*self.keys, "type", "a", "b", "detector", "value"))
+
+    def analyze(self, pages: DataFrame, names: DataFrame | None = None, exceptions: DataFrame | None = None, list_size: int | None = None, dictionary: bool = False, lines: DataFrame | None = None) -> DataFrame:
         """Findings. Order matters: propagate, settle links, then exceptions."""
-        found = self.spans(pages, names, list_size, dictionary)
+        found = self.spans(pages, names, list_size, dictionary, lines)
         flagged = D.flag_spans(found.join(pages.select(*self.keys, "text"), self.keys), "text").drop("text")
         out = DOC.settle_optional(D.findings(flagged, self.keys, self.as_of, self.urls_other_applied))
         if exceptions is None:

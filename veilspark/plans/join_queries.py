@@ -68,11 +68,19 @@ def exception_semi_join(t: Tables) -> DataFrame:
     return DOC.matches(t("syn_rut").withColumn("type", F.lit("rut")), keys).select("id", "value")
 
 
-@query("SELECT id, gap, CASE id % 8 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true WHEN 3 THEN false WHEN 4 THEN true WHEN 5 THEN false WHEN 6 THEN true ELSE false END AS label FROM (SELECT c_custkey AS id, CASE c_custkey % 8 WHEN 0 THEN '  - ' WHEN 1 THEN 'rut ' WHEN 2 THEN 'rut: ' WHEN 3 THEN 'Juan ' WHEN 4 THEN ', Teléfono ' WHEN 5 THEN 'N. ' WHEN 6 THEN 'N° ' ELSE 'fono 2 ' END AS gap FROM customer)")
+_GAPS = [*DOC.LABEL_PHRASES, "Juan", "Rut Mesa Soto", "oficina"]
+_GAP_LIST = "[" + ", ".join(f"'{p}'" for p in _GAPS) + "]"
+
+
+@query(f"""SELECT id, form, CASE WHEN p IN ('Juan', 'Rut Mesa Soto', 'oficina') OR (regexp_matches(p, '(^| )n( |$)') AND form <> 2) OR form = 3 THEN false ELSE form = 1 OR NOT regexp_matches(p, '(^| )(rut|mesa)( |$)') END AS label
+FROM (SELECT c_custkey AS id, ({_GAP_LIST})[(c_custkey // 4) % {len(_GAPS)} + 1] AS p, CASE WHEN c_custkey % 4 = 2 AND NOT regexp_matches(({_GAP_LIST})[(c_custkey // 4) % {len(_GAPS)} + 1], '^n$') THEN 0 ELSE c_custkey % 4 END AS form FROM customer)""")
 def exception_label_gap(t: Tables) -> DataFrame:
-    gaps = ["  - ", "rut ", "rut: ", "Juan ", ", Teléfono ", "N. ", "N° ", "fono 2 "]
-    own = t("customer").select(F.col("c_custkey").alias("id"), F.element_at(F.array(*map(F.lit, gaps)), (F.col("c_custkey") % 8 + 1).cast("int")).alias("gap"))
-    return own.select("id", "gap", DOC.is_label_gap("gap").alias("label"))
+    """All label phrases and some that are none: bare, with a colon, as a number sign, and with a digit."""
+    k = F.col("c_custkey")
+    phrase = F.element_at(F.array(*map(F.lit, _GAPS)), (F.floor(k / 4) % len(_GAPS) + 1).cast("int"))
+    own = t("customer").select(k.alias("id"), phrase.alias("p")).withColumn("form", F.when((F.col("id") % 4 == 2) & (F.col("p") != "n"), 0).otherwise(F.col("id") % 4))
+    gap = F.when(F.col("form") == 1, F.concat(F.lit(", "), F.initcap("p"), F.lit(": "))).when(F.col("form") == 2, " N° ").when(F.col("form") == 3, F.concat("p", F.lit(" 2: "))).otherwise(F.concat("p", F.lit(" ")))
+    return own.select("id", "form", DOC.is_label_gap(gap).alias("label"))
 
 
 @query("SELECT id FROM {syn_rut} WHERE id % 10 IN (3, 4)")
@@ -119,13 +127,16 @@ def settle_optional_urls(t: Tables) -> DataFrame:
     return DOC.settle_optional(url.unionByName(name)).where("type = 'url'").select("id", "optional")
 
 
-@query("SELECT c_custkey AS file, 20 AS a FROM customer")
+@query("SELECT c_custkey AS file, 20 + c_custkey % 7 AS a FROM customer WHERE c_custkey % 3 <> 0")
 def data_in_urls(t: Tables) -> DataFrame:
-    c = t("customer").select(F.col("c_custkey").alias("file"), F.lit(0).alias("page"))
-    pages = c.withColumn("text", F.lit("ver https://x.cl/id=nora.vera@y.cl ahora"))
-    mail = c.select("file", "page", F.lit("email").alias("type"), F.lit(100).alias("a"), F.lit(114).alias("b"), F.lit("regex").alias("detector"), F.lit("nora.vera@y.cl").alias("value"))
-    url = c.select("file", "page", F.lit("url").alias("type"), F.lit(4).alias("a"), F.lit(34).alias("b"), F.lit("regex").alias("detector"), F.lit("https://x.cl/id=nora.vera@y.cl").alias("value"))
-    return DOC.data_in_urls(pages, mail.unionByName(url)).select("file", "a")
+    """Links that hold the file's address, at varying places, or another one."""
+    k = F.col("c_custkey")
+    value = F.concat(F.lit("nora.vera"), k.cast("string"), F.lit("@y.cl"))
+    link = F.concat(F.lit("https://x.cl/"), F.repeat(F.lit("a"), (k % 7).cast("int")), F.lit("id="), F.when(k % 3 == 0, "otra.persona@y.cl").otherwise(value))
+    c = t("customer").select(k.alias("file"), F.lit(0).alias("page"), value.alias("v"), link.alias("u"))
+    mail = c.select("file", "page", F.lit("email").alias("type"), F.lit(100).alias("a"), F.lit(114).alias("b"), F.lit("regex").alias("detector"), F.col("v").alias("value"))
+    url = c.select("file", "page", F.lit("url").alias("type"), F.lit(4).alias("a"), (F.length("u") + 4).alias("b"), F.lit("regex").alias("detector"), F.col("u").alias("value"))
+    return DOC.data_in_urls(c.select("file", "page", F.concat(F.lit("ver "), "u", F.lit(" ahora")).alias("text")), mail.unionByName(url)).select("file", F.col("a").cast("long").alias("a"))
 
 
 @query("SELECT o_orderkey AS file_id, CASE WHEN o_orderkey % 2 = 0 THEN 2 WHEN o_orderkey % 3 = 0 THEN 1 END AS version, false AS orphan FROM orders WHERE o_orderkey % 7 <> 0 UNION ALL SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 1 END, true FROM orders WHERE o_orderkey % 7 = 0 AND (o_orderkey % 2 = 0 OR o_orderkey % 3 = 0)")
@@ -182,9 +193,16 @@ def table_column_prefix(t: Tables) -> DataFrame:
 _NORM = "trim(regexp_replace(lower(strip_accents(replace({}, 'ß', 'ss'))), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))"
 
 
-@query(f"SELECT doc_id, item_id FROM (SELECT doc_id, ' ' || {_NORM.format('text')} || ' ' AS t FROM documents) d JOIN (SELECT item_id, ' ' || {_NORM.format('text')} || ' ' AS n FROM benchmark) b ON contains(t, n)")
+_HEAD = "regexp_extract({}, '^[^ ]+ [^ ]+ [^ ]+')"
+
+
+@query(f"""SELECT doc_id, item_id FROM (SELECT doc_id, ' ' || {_NORM.format('text')} || ' ' AS t FROM documents) d JOIN (
+SELECT item_id, ' ' || {_NORM.format('text')} || ' ' AS n FROM benchmark UNION ALL SELECT item_id + 1000000, ' ' || {_HEAD.format(_NORM.format('text'))} || ' ' FROM benchmark) b ON contains(t, n)""")
 def benchmark_leaks(t: Tables) -> DataFrame:
-    return E.passages_in(t("documents"), t("benchmark"))
+    """Whole items, and their first three words."""
+    b = t("benchmark")
+    short = b.select((F.col("item_id") + 1000000).alias("item_id"), F.regexp_extract(T.norm_general("text"), "^[^ ]+ [^ ]+ [^ ]+", 0).alias("text"))
+    return E.passages_in(t("documents"), b.select("item_id", "text").unionByName(short))
 
 
 @query("SELECT id, list_aggregate(['value:' || k] || CASE WHEN length(k) >= 8 THEN ['rut_body:' || substr(k, 1, length(k) - 1)] ELSE [] END, 'string_agg', ';') AS needles FROM (SELECT id, CAST(body AS VARCHAR) || dv AS k FROM {syn_rut})")
@@ -228,21 +246,28 @@ def naive_baseline(t: Tables) -> DataFrame:
     return D.naive_scan(t("documents"), ["doc_id"], "text").groupBy("doc_id").agg(F.count("*").alias("hits"))
 
 
-@query("SELECT c_custkey AS file, 2 AS left_texts FROM customer WHERE c_custkey % 4 = 0")
+@query("SELECT c_custkey AS file, CASE WHEN c_custkey % 4 = 0 THEN 2 ELSE 1 END AS left_texts, CASE c_custkey % 4 WHEN 0 THEN 'info.author,xmp' WHEN 1 THEN 'xmp' ELSE 'info.author' END AS places FROM customer WHERE c_custkey % 4 < 3")
 def metadata_leaks(t: Tables) -> DataFrame:
     c = t("customer").select(F.col("c_custkey").alias("file"))
-    meta = c.select("file", F.explode(F.array(*map(F.lit, ["info.author", "xmp"]))).alias("location"), F.when(F.col("file") % 4 == 0, "autor").otherwise(" ").alias("text"))
-    return R.metadata_leaks(meta).select("file", F.col("left").cast("int").alias("left_texts"))
+    k = F.col("file") % 4
+    both = F.array(F.struct(F.lit("info.author").alias("location"), F.when(k.isin(0, 2), "autor").otherwise(" \t").alias("text")), F.struct(F.lit("xmp").alias("location"), F.when(k < 2, "otro").otherwise("").alias("text")))
+    return R.metadata_leaks(c.select("file", F.explode(both).alias("m")).select("file", "m.*")).select("file", F.col("left").cast("int").alias("left_texts"), F.array_join("locations", ",").alias("places"))
 
 
-@query("SELECT id, CASE WHEN id % 2 = 0 THEN 'nora vera' ELSE 'av uno 12' END AS fragment FROM (SELECT c_custkey AS id FROM customer)")
+_VALUES = [("Ana Luz Nora Vera", "nora vera"), ("Vera Soto, Ana", "vera soto"), ("Ana", None), ("A. Vera", None), ("Av Uno 12, depto 4", "av uno 12"), ("Calle 5 de Abril 100", "calle 5"), ("1234 Norte", None)]
+
+
+@query("SELECT c_custkey AS id, CASE c_custkey % 7 " + " ".join(f"WHEN {i} THEN " + ("NULL" if f is None else f"'{f}'") for i, (_, f) in enumerate(_VALUES)) + " END AS fragment FROM customer")
 def value_fragments(t: Tables) -> DataFrame:
-    c = F.col("c_custkey")
-    value = F.when(c % 2 == 0, "Ana Luz Nora Vera").otherwise("Av Uno 12, depto 4")
-    frag = F.when(c % 2 == 0, T.surnames(value)).otherwise(T.street_number(value))
-    return t("customer").select(c.alias("id"), T.norm_general(frag).alias("fragment"))
+    k = (F.col("c_custkey") % 7).cast("int")
+    value = F.element_at(F.array(*(F.lit(v) for v, _ in _VALUES)), k + 1)
+    frag = F.when(k < 4, T.surnames(value)).otherwise(T.street_number(value))
+    return t("customer").select(F.col("c_custkey").alias("id"), T.norm_general(frag).alias("fragment"))
+
+
+_RANKS = ", ".join(f"'{x}'" for x in S.TYPE_PRIORITY)
 
 
-@query("SELECT id, type, CASE WHEN type = 'rut' THEN 0 WHEN type = 'email' THEN 1 ELSE 2 END AS place FROM {syn_finding} WHERE type IN ('rut', 'email', 'url')")
+@query(f"SELECT id, type, list_position([{_RANKS}], type) - 1 AS place FROM {{syn_finding}}")
 def priority_rank(t: Tables) -> DataFrame:
-    return t("syn_finding").where("type in ('rut', 'email', 'url')").select("id", "type", S.rank(F.col("type"), ["rut", "email"], 2).alias("place"))
+    return t("syn_finding").select("id", "type", S.rank(F.col("type"), S.TYPE_PRIORITY, 99).alias("place"))

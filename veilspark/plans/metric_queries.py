@@ -244,17 +244,20 @@ def cost_rates_valid(t: Tables) -> DataFrame:
     return EST.valid_rates(saved, EST.rates(t.spark))
 
 
-@query()
+@query("SELECT stage, round(list_reduce(list_concat([1.0::DOUBLE], list(seconds / count ORDER BY ts, seq)), lambda r, x: least(1e4, greatest(1e-5, r * (1 + 0.3 * (least(5.0, greatest(0.2, x / r)) - 1))))), 6) AS rate, CAST(count(*) AS INT) AS samples FROM {syn_timing} GROUP BY stage")
 def cost_ema_fold(t: Tables) -> DataFrame:
-    return EST.learn(t("syn_timing"), ["stage"])
+    return EST.learn(t("syn_timing"), ["stage"]).withColumn("rate", F.round("rate", 6))
 
 
-@query("SELECT n_name AS name, n_regionkey AS folder, CASE WHEN k = 1 THEN 'doc.pdf' ELSE 'doc (' || CAST(k AS VARCHAR) || ').pdf' END AS unique_name FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS k FROM nation)")
+@query("SELECT c_custkey AS seq, c_nationkey AS folder, CASE k WHEN 1 THEN 'doc.pdf' WHEN 2 THEN 'doc (2).pdf' WHEN 3 THEN 'doc (2) (2).pdf' WHEN 4 THEN 'doc (3).pdf' WHEN 5 THEN 'sin' WHEN 6 THEN 'sin (2)' WHEN 7 THEN 'doc (3) (2).pdf' ELSE 'doc (' || CAST(k - 4 AS VARCHAR) || ').pdf' END AS unique_name FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS k FROM customer)")
 def unique_names(t: Tables) -> DataFrame:
+    """Names that clash with each other and with what numbering makes of others."""
     from ..sources.files import unique_names as unique
 
-    own = t("nation").select("n_name", F.col("n_regionkey").alias("folder"), F.col("n_nationkey").alias("seq"), F.lit("doc.pdf").alias("name"))
-    return unique(own, ["folder"]).select(F.col("n_name").alias("name"), "folder", "unique_name")
+    k = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey"))
+    own = t("customer").select(F.col("c_custkey").alias("seq"), F.col("c_nationkey").alias("folder"), k.alias("k"))
+    own = own.withColumn("name", F.when(F.col("k") == 3, "doc (2).pdf").when(F.col("k") == 7, "doc (3).pdf").when(F.col("k").isin(5, 6), "sin").otherwise("doc.pdf"))
+    return unique(own, ["folder"]).select("seq", "folder", "unique_name")
 
 
 @query("SELECT category, file, n FROM (SELECT category, file, n, rank() OVER (PARTITION BY category ORDER BY n DESC, file) AS r FROM (SELECT category, file, count(*) AS n FROM {syn_eval} WHERE leak GROUP BY category, file)) WHERE r <= 5")

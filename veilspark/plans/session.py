@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
+from .stage import shared_dir
+
 
 def session(app: str = "veilspark", cores: int | str = "*", **conf: str) -> SparkSession:
     """A session with adaptive execution, skew handling and UTC; other settings come from the cluster or ``conf``."""
@@ -18,6 +18,6 @@ def session(app: str = "veilspark", cores: int | str = "*", **conf: str) -> Spar
 
 
 def checkpoints(spark: SparkSession) -> None:
-    """Make checkpoint() usable: the folder that spark.checkpoint.dir names, or a local one where it is unset, as in tests."""
+    """Make checkpoint() usable, in the folder that executors share."""
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="veilspark-"))
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))

@@ -101,7 +101,7 @@ def image_regions(t: Tables) -> DataFrame:
     return M.join_regions(t("syn_box"), ["file", "page"], margin=3.0, least=24.0)
 
 
-@query()
+@query(f"SELECT a.id AS id_a, b.id AS id_b, round({_INTER} / least((a.x1 - a.x0) * (a.y1 - a.y0), (b.x1 - b.x0) * (b.y1 - b.y0)), 4) AS overlap FROM {{syn_box}} a JOIN {{syn_box}} b ON a.file = b.file AND a.page = b.page AND a.id < b.id AND {_OVER}")
 def hull_pairs(t: Tables) -> DataFrame:
     b = _polygon(t).select("id", "file", "page", "x0", "y0", "x1", "y1", "polygon")
     pairs = M.box_join(b, b, ["file", "page"]).where("id_a < id_b")

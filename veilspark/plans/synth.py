@@ -64,12 +64,14 @@ SYN = {
         c_custkey % 5 AS regions, c_custkey % 2 AS drawn_regions, CAST(c_custkey % 9 AS DOUBLE) / 4 AS regions_mp, CAST(c_custkey % 3 AS DOUBLE) / 2 AS drawn_regions_mp,
         CASE WHEN c_custkey % 3 = 0 THEN 1 + c_custkey % 4 ELSE 0 END AS frames, CAST(c_custkey % 13 AS DOUBLE) AS megapixels FROM {customer}""",
     "syn_line": """SELECT o_orderkey % 300 AS file, CAST(floor(o_orderkey / 300) AS BIGINT) % 5 AS page, o_orderkey AS line, 600.0 AS width, 800.0 AS height,
-        CASE o_orderkey % 9 WHEN 0 THEN 'RUT' WHEN 1 THEN 'Nombre:' WHEN 2 THEN 'Correo' WHEN 3 THEN 'Firma' ELSE 'valor ' || CAST(o_orderkey AS STRING) END AS text,
-        CAST(20 + (o_custkey % 5) * 110 AS DOUBLE) AS x0, CAST(40 + (o_orderkey % 12) * 18 AS DOUBLE) AS y0,
-        CAST(20 + (o_custkey % 5) * 110 + 80 AS DOUBLE) AS x1, CAST(40 + (o_orderkey % 12) * 18 + 12 AS DOUBLE) AS y1 FROM {orders}""",
+        CASE (o_orderkey + CAST(floor(o_orderkey / 1500) AS BIGINT)) % 9 WHEN 0 THEN 'RUT' WHEN 1 THEN 'Nombre:' WHEN 2 THEN 'Correo' WHEN 3 THEN 'Firma' ELSE 'valor ' || CAST(o_orderkey AS STRING) END AS text,
+        CAST(20 + (o_custkey % 5) * 110 AS DOUBLE) AS x0, CAST(40 + (CAST(floor(o_orderkey / 1500) AS BIGINT) % 4) * 18 AS DOUBLE) AS y0,
+        CAST(20 + (o_custkey % 5) * 110 + 80 AS DOUBLE) AS x1, CAST(40 + (CAST(floor(o_orderkey / 1500) AS BIGINT) % 4) * 18 + 12 AS DOUBLE) AS y1 FROM {orders}""",
     "syn_field": """SELECT c_custkey AS id, CASE c_custkey % 6 WHEN 0 THEN 'RUT: ' WHEN 1 THEN 'Nombre : ' WHEN 2 THEN 'Correo electronico: ' WHEN 3 THEN 'Domicilio:' WHEN 4 THEN 'Para: ' ELSE 'Asunto: ' END || c_name AS text FROM {customer}""",
-    "syn_name": """SELECT p_partkey AS id, p_name AS text FROM {part}""",
-    "syn_list": """SELECT p_partkey AS pos, substr(p_name, 1, length(p_name)) AS entry FROM {part} WHERE p_partkey % 40 = 0""",
+    # names; some texts hold an entry of ten words, which stands on the list too
+    "syn_name": """SELECT p_partkey AS id, CASE WHEN p_partkey % 40 = 20 THEN 'ante ' || p_name || ' ' || p_name || ' firma' ELSE p_name END AS text FROM {part}""",
+    "syn_list": """SELECT p_partkey AS pos, CASE WHEN p_partkey % 40 = 20 THEN p_name || ' ' || p_name ELSE p_name END AS entry FROM {part} WHERE p_partkey % 4 = 0""",
+    "syn_entry": """SELECT p_partkey AS pos, CASE WHEN p_partkey % 40 = 20 THEN p_name || ' ' || p_name ELSE p_name END AS entry FROM {part}""",
     "syn_action": """SELECT user_id % 500 AS id, event_id AS seq, ts, CASE event_id % 5 WHEN 0 THEN 'remove' WHEN 1 THEN 'restore' WHEN 2 THEN 'apply' WHEN 3 THEN 'skip' ELSE 'resize' END AS action FROM {events}""",
     "syn_timing": """SELECT event_type AS stage, event_id AS seq, ts, abs(value) AS seconds, 1 + event_id % 4 AS count FROM {events}""",
     "syn_magic": """SELECT s_suppkey AS id, CASE s_suppkey % 8 WHEN 0 THEN '255044462D312E34' WHEN 1 THEN 'FFD8FFE000104A46' WHEN 2 THEN '89504E470D0A1A0A' WHEN 3 THEN '49492A0008000000'

@@ -155,7 +155,7 @@ def rut_suggested(t: Tables) -> DataFrame:
     return own.select("id", S.rut_suggested("text", F.col("a"), F.col("b")).alias("suggested"))
 
 
-@query()
+@query("SELECT id, a, CAST(a + length(value) AS INT) AS b, value, valid FROM (SELECT *, CAST(CASE WHEN labelled THEN 8 ELSE 10 END AS INT) AS a FROM {syn_rut})")
 def rut_spans(t: Tables) -> DataFrame:
     own = t("syn_rut").select("id", "text", F.explode(S.rut_spans("text")).alias("s"))
     return own.select("id", "s.a", "s.b", "s.value", T.rut_is_valid("s.value").alias("valid"))
@@ -210,12 +210,16 @@ def url_query_keys(t: Tables) -> DataFrame:
     return t("pages").select(F.explode(F.regexp_extract_all("url", F.lit("[?&]([A-Za-z_]+)="), F.lit(1))).alias("key")).groupBy("key").agg(F.count("*").alias("pages"))
 
 
-@query("""SELECT page_id, regexp_matches(u, '(?i)(""" + "|".join(h.replace(".", "\\.") for h in S.PERSONAL_HOSTS) + ")|[?&](" + "|".join(S.PERSONAL_KEYS) + """)=') AS personal FROM (
-      SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'https://www.linkedin.com/in/x' WHEN 1 THEN 'https://host.example.org/a?b=1&user=' || CAST(page_id % 90 AS VARCHAR) ELSE regexp_replace(regexp_replace(url, '[0-9]', '', 'g'), '\\?.*', '') END AS u FROM pages)""")
+_OTHER_LINKS = ["https://www.linkedin.com/in/x", "https://host.example.org/a?b=1&user=ana", "https://host.example.org/a?b=1&size=2", "http://x.cl/?correo=z"]
+
+
+@query("""SELECT page_id, kind, regexp_matches(u, '(?i)(""" + "|".join(h.replace(".", "\\.") for h in S.PERSONAL_HOSTS) + ")|[?&](" + "|".join(S.PERSONAL_KEYS) + """)=') AS personal FROM (
+      SELECT page_id, 'page' AS kind, regexp_replace(url, '[0-9]', '', 'g') AS u FROM pages UNION ALL SELECT page_id, 'other', ([""" + ", ".join(f"'{x}'" for x in _OTHER_LINKS) + """])[page_id % 4 + 1] FROM pages)""")
 def url_personal(t: Tables) -> DataFrame:
-    p = F.col("page_id")
-    url = F.when(p % 4 == 0, "https://www.linkedin.com/in/x").when(p % 4 == 1, F.concat(F.lit("https://host.example.org/a?b=1&user="), (p % 90).cast("string"))).otherwise(F.regexp_replace(F.regexp_replace("url", "[0-9]", ""), r"\?.*", ""))
-    return t("pages").select("page_id", S.is_personal_url(url).alias("personal"))
+    """Every link of the table, and links of known kinds."""
+    own = t("pages").select("page_id", F.lit("page").alias("kind"), F.regexp_replace("url", "[0-9]", "").alias("u"))
+    other = F.element_at(F.array(*map(F.lit, _OTHER_LINKS)), (F.col("page_id") % 4 + 1).cast("int"))
+    return own.unionByName(t("pages").select("page_id", F.lit("other").alias("kind"), other.alias("u"))).select("page_id", "kind", S.is_personal_url("u").alias("personal"))
 
 
 @query("SELECT page_id, length(url) + 12 AS whole, length(url) AS alone FROM pages")
@@ -233,10 +237,10 @@ def magic_sniff(t: Tables) -> DataFrame:
     return t("syn_magic").select("id", FS.sniff(content).alias("kind"), FS.sniff_kind(content).alias("short_kind"), FS.format_from_signature(content).alias("signature"))
 
 
-@query("SELECT doc_id, sha256(text) AS sha, 3 AS revisions, list_sum(list_transform(regexp_extract_all(text, '[ -~]{4,}'), lambda x: length(x))) AS printable FROM documents")
+@query("SELECT doc_id, sha256(text) AS sha, 1 + doc_id % 4 AS revisions, list_sum(list_transform(regexp_extract_all(text, '[ -~]{4,}'), lambda x: length(x))) AS printable FROM documents")
 def byte_columns(t: Tables) -> DataFrame:
     content = F.col("text").cast("binary")
-    marked = F.concat(F.encode(F.lit("%%EOF a %%EOF b %%EOF"), "UTF-8"), F.lit(b""))
+    marked = F.concat(content, F.encode(F.repeat(F.lit("\n%%EOF\n"), (F.col("doc_id") % 4 + 1).cast("int")), "UTF-8"))
     runs = F.regexp_extract_all(F.decode(content, "ISO-8859-1"), F.lit(r"[\x20-\x7e]{4,}"), F.lit(0))
     total = F.aggregate(runs, F.lit(0), lambda a, x: a + F.length(x))
     return t("documents").select("doc_id", F.sha2(content, 256).alias("sha"), FS.revisions(marked).alias("revisions"), F.when(F.size(runs) > 0, total).alias("printable"))
@@ -247,10 +251,10 @@ def byte_texts(t: Tables) -> DataFrame:
     return t("conversations").select("conv_id", "turn", F.size(FS.byte_texts(F.encode("text", "UTF-16LE"))).alias("texts"))
 
 
-@query()
+@query(r"SELECT item_id, 3 AS strings, regexp_replace(text, '[()\\\[\]<>]', ' ', 'g') || 'x' AS first, 'dos' AS last FROM benchmark")
 def pdf_syntax_strings(t: Tables) -> DataFrame:
     raw = F.encode(F.concat(F.lit("[("), F.regexp_replace("text", r"[()\\\[\]<>]", " "), F.lit(")-20(x)] TJ (uno) Tj <646F73> Tj")), "ISO-8859-1")
-    return t("benchmark").select("item_id", FS.pdf_strings(raw).alias("s")).select("item_id", F.size("s").alias("strings"), F.element_at("s", -1).alias("last"))
+    return t("benchmark").select("item_id", FS.pdf_strings(raw).alias("s")).select("item_id", F.size("s").alias("strings"), F.element_at("s", 1).alias("first"), F.element_at("s", -1).alias("last"))
 
 
 # ---- masking --------------------------------------------------------------------------------------------------------
@@ -264,9 +268,7 @@ def mask_text(t: Tables) -> DataFrame:
 @query("SELECT lang, count(*) AS docs, 0 AS left_after FROM documents GROUP BY lang")
 def mask_then_rescan(t: Tables) -> DataFrame:
     """Masking the deduplicated spans leaves none of the patterns that must not leak."""
-    docs = t("documents").select("doc_id", "lang", "text")
-    found = D.dedup_spans(D.detect(docs, ["doc_id"], "text"), ["doc_id"])
-    masked = R.masked_pages(docs, found, ["doc_id"])
+    masked = t("documents").select("doc_id", "lang", R.mask_detected("text", S.Detect()).alias("masked"))
     left = R.unmarked(masked.select("doc_id", F.col("masked").alias("text")), ["doc_id"]).groupBy("doc_id").agg(F.sum("n").alias("n"))
     return masked.join(left, "doc_id", "left").groupBy("lang").agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("left_after"))
 
@@ -279,11 +281,11 @@ def blank_range(t: Tables) -> DataFrame:
 # ---- names ----------------------------------------------------------------------------------------------------------
 
 
-@query("""WITH w AS (SELECT entry, list_filter(string_split(lower(entry), ' '), lambda x: x <> '') AS w FROM {syn_list}),
+@query("""WITH w AS (SELECT entry, list_filter(string_split(lower(entry), ' '), lambda x: x <> '') AS w FROM {syn_entry}),
 v AS (SELECT entry, unnest(list_distinct(CASE WHEN regexp_matches(entry, '[0-9]') THEN [w] WHEN len(w) >= 3 THEN [w, list_concat(w[-2:], w[1:len(w)-2]), [w[1], w[len(w)-1]], w[-2:]] ELSE [w] END)) AS v FROM w)
 SELECT entry, list_aggregate(v, 'string_agg', ' ') AS variant FROM v WHERE NOT regexp_matches(entry, '[0-9]')""")
 def name_variants(t: Tables) -> DataFrame:
-    own = N.list_variants(t("syn_list")).where("type = 'name'")
+    own = N.list_variants(t("syn_entry")).where("type = 'name'")
     return own.select("entry", F.array_join("words", " ").alias("variant"))
 
 
@@ -301,16 +303,25 @@ def name_list_semi(t: Tables) -> DataFrame:
     return words.join(N.list_words(t("syn_list")), "word", "left_semi").groupBy("word").agg(F.count("*").alias("parts"))
 
 
-@query()
+#: Lines, and the places of the names in them.
+_NAME_LINES = [
+    ("Sra. Rosa Parra", [(5, 15)]), ("firma: Camila Soto Vera", [(7, 23)]), ("Santiago Centro", []), ("Rosa Parra Contreras.", [(0, 20)]), ("Rosa Parra", []),
+    ("Paz María Soto y Don Santiago", [(0, 14), (21, 29)]), ("Ana Director", []), ("el día en que Camila Soto Vera vino a la oficina fue", []), ("vino don Pedro Soto Vera Paz Luna Sol con ella ayer por la tarde", [(9, 33)]), ("Juan, Pedro Soto", [(6, 16)]),
+]
+
+
+@query("SELECT c_custkey, a, b FROM customer JOIN (VALUES " + ", ".join(f"({i}, {a}, {b})" for i, (_, own) in enumerate(_NAME_LINES) for a, b in own) + f") v(i, a, b) ON c_custkey % {len(_NAME_LINES)} = i")
 def names_by_dictionary(t: Tables) -> DataFrame:
-    text = F.concat(F.lit("Sra. Rosa Parra\nfirma: "), F.lit("Camila Soto "), F.initcap(F.regexp_replace("c_name", "[^A-Za-z]", "")), F.lit("\nSantiago, mayo"))
-    own = t("customer").select("c_custkey", text.alias("text")).select("c_custkey", "text", F.explode(N.dictionary_names("text")).alias("s"))
-    return own.select("c_custkey", "s.a", "s.b", F.substring("text", F.col("s.a") + 1, F.col("s.b") - F.col("s.a")).alias("value"))
+    line = F.element_at(F.array(*(F.lit(x) for x, _ in _NAME_LINES)), (F.col("c_custkey") % len(_NAME_LINES) + 1).cast("int"))
+    return t("customer").select("c_custkey", F.explode(N.dictionary_names(line)).alias("s")).select("c_custkey", "s.a", "s.b")
 
 
-@query("SELECT c_custkey, 'Ana Maria Soto' AS value FROM customer")
+@query("SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'Ana Soto' WHEN 1 THEN 'Ana Maria Soto' WHEN 2 THEN 'Ana Maria Luz Soto Vera' WHEN 3 THEN 'Soto' ELSE 'Soto Vera' END AS value FROM customer")
 def name_expansion(t: Tables) -> DataFrame:
-    text = F.concat(F.lit("ante mi, Ana Maria Soto, mayo "), F.col("c_custkey").cast("string"))
+    """Words that are written with a capital and may be names are taken in, on both sides; others stop it."""
+    k = F.col("c_custkey")
+    around = F.when(k % 5 == 0, "Ana Soto, mayo ").when(k % 5 == 1, "Ana Maria Soto\nVera ").when(k % 5 == 2, "Ana Maria Luz Soto Vera de ").when(k % 5 == 3, "señor de Soto Mayo ").otherwise("Directora Soto Vera Jefe ")
+    text = F.concat(F.lit("ante mi, "), around, k.cast("string"))
     at = F.instr(text, F.lit("Soto")) - 1
     a, b = N.expand_name(text, at, at + 4)
     return t("customer").select("c_custkey", F.substring(text, a + 1, b - a).alias("value"))
@@ -324,8 +335,8 @@ def given_name_counts(t: Tables) -> DataFrame:
 # ---- small texts ----------------------------------------------------------------------------------------------------
 
 
-@query("""SELECT event_id, CASE WHEN v < 1 THEN 'menos de 1 segundo' WHEN v < 90 THEN CAST(CAST(round_even(v, 0) AS BIGINT) AS VARCHAR) || CASE WHEN round_even(v, 0) = 1 THEN ' segundo' ELSE ' segundos' END
-      ELSE CAST(CAST(round_even(v / 60, 0) AS BIGINT) AS VARCHAR) || CASE WHEN round_even(v / 60, 0) = 1 THEN ' minuto' ELSE ' minutos' END END AS text, CAST(day(ts) AS VARCHAR) || ' de ' || (['""" + "', '".join(T.MONTHS) + """'])[month(ts)] || ' de ' || CAST(year(ts) AS VARCHAR) AS day FROM (SELECT event_id, ts, CAST(event_id % 4000 AS DOUBLE) / 2 AS v FROM events)""")
+@query("""SELECT event_id, CASE WHEN v < 0.1 THEN 'menos de 0,1 s' WHEN v < 10 THEN replace(printf('%.1f', v), '.', ',') || ' s' WHEN r < 60 THEN CAST(r AS VARCHAR) || ' s' ELSE CAST(r // 60 AS VARCHAR) || ' min' || CASE WHEN r % 60 > 0 THEN ' ' || CAST(r % 60 AS VARCHAR) || ' s' ELSE '' END END AS text,
+      CAST(day(ts) AS VARCHAR) || ' de ' || (['""" + "', '".join(T.MONTHS) + """'])[month(ts)] || ' de ' || CAST(year(ts) AS VARCHAR) AS day FROM (SELECT *, CAST(round_even(v, 0) AS BIGINT) AS r FROM (SELECT event_id, ts, CAST(event_id % 4000 AS DOUBLE) / 2 AS v FROM events))""")
 def spanish_texts(t: Tables) -> DataFrame:
     v = (F.col("event_id") % 4000).cast("double") / 2
     return t("events").select("event_id", T.seconds_text(v).alias("text"), T.spanish_date("ts").alias("day"))

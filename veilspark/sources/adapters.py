@@ -55,17 +55,17 @@ def decode(files: DataFrame, kind: str) -> DataFrame:
         return own.where(own.notna(), None)
 
     keyed = files.withColumn("digest_", F.sha2("content", 256))
-    one = keyed.groupBy("digest_").agg(F.min("file").alias("file"), F.first("content").alias("content"))
+    one = keyed.groupBy("digest_").agg(F.min("file").alias("file"))  # digests move, contents do not
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for _, row in batch.iterrows():
-                frame = pd.DataFrame([row])
+            for i in range(len(batch)):
+                frame = batch.iloc[i : i + 1].reset_index(drop=True)
                 try:
                     yield from (shaped(out) for out in decoder(iter([frame])))
                 except Exception as e:  # noqa: BLE001 - a broken file is a row, not a failed job
-                    yield shaped(pd.DataFrame([{"file": row["file"], "error": f"corrupt: {type(e).__name__}"}]))
+                    yield shaped(pd.DataFrame([{"file": frame["file"][0], "error": f"corrupt: {type(e).__name__}"}]))
 
-    found = one.select("file", "content").mapInPandas(run, schema)
+    found = files.join(one.select("file"), "file", "left_semi").select("file", "content").mapInPandas(run, schema)
     back = keyed.select(F.col("file").alias("own_"), "digest_").join(one.select(F.col("file").alias("rep_"), "digest_"), "digest_")
     return found.join(back, F.col("file") == F.col("rep_")).withColumn("file", F.col("own_")).select(*columns)

@@ -200,9 +200,23 @@ def write_new(df: DataFrame, path: str, form: str = "parquet") -> None:
 
 
 def unique_names(names: DataFrame, folder: list[str], name: str = "name", order: str = "seq") -> DataFrame:
-    """Names made unique in their folder: the second becomes "name (2).ext", and so on."""
+    """Names made unique in their folder, in order: each takes the first free of "name.ext", "name (2).ext", "name (3).ext" ..
+    Each begins with the number of its like up to it, since those before it take the earlier ones; where two want the
+    same, the later one goes on, until none does."""
     from pyspark.sql import Window
 
-    n = F.row_number().over(Window.partitionBy(*folder, name).orderBy(order))
-    stem, suffix = F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 2)
-    return names.withColumn("_n", n).withColumn("unique_name", F.when(F.col("_n") == 1, F.col(name)).otherwise(F.concat(stem, F.lit(" ("), F.col("_n").cast("string"), F.lit(")"), suffix))).drop("_n")
+    from ..plans.stage import drop_staged, staged
+
+    parts = [F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", i) for i in (1, 2)]
+    wanted = F.when(F.col("_n") == 1, F.col(name)).otherwise(F.concat(parts[0], F.lit(" ("), F.col("_n").cast("string"), F.lit(")"), parts[1]))
+    rows = names.withColumn("_n", F.row_number().over(Window.partitionBy(*folder, name).orderBy(order)))
+    last = None
+    while True:
+        now = rows.withColumn("unique_name", wanted)
+        late = F.row_number().over(Window.partitionBy(*folder, "unique_name").orderBy(order)) > 1
+        now = staged(now.withColumn("_late", late), "names")
+        if last is not None:
+            drop_staged(last)
+        if now.where("_late").isEmpty():
+            return now.drop("_n", "_late")
+        rows, last = now.withColumn("_n", F.col("_n") + F.col("_late").cast("int")).drop("_late", "unique_name"), now

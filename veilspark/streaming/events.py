@@ -100,8 +100,3 @@ def drain(stream: DataFrame, name: str, mode: str, path: str) -> DataFrame:
     finally:
         q.stop()
     return stream.sparkSession.table(name)
-
-
-def running_state(actions: DataFrame) -> Column:
-    """For callers that fold in batch: see review.fold_actions."""
-    return V.is_active(F.col("status"))
