@@ -13,9 +13,9 @@ share centres, so a dense group falls into one component in the first rounds wit
 What is left are members of buckets with several components. Their links are found by their rarest shingles: two sets
 that reach the threshold have one of their rarest shingles in common, the more similar they must be the fewer of these are
 needed. A shingle that only one of them has brings it to none, so boilerplate with own fillings meets nothing; of a shingle's
-members those of its largest component meet the others, but not each other. Pairs are then bounded by their sizes and by
-parity bits (two sets differ at least in as many elements as their bits) before they are joined with their sets. All these
-bounds are exact, so no candidate link is lost.
+members those of its largest component meet the others, but not each other. Only pairs become rows whose overlap can still
+reach the threshold: it is at most the number of shingles that either shares with other members, and two sets differ at
+least in as many elements as their parity bits differ. All these bounds are exact, so no candidate link is lost.
 
 Words are named by 62-bit hashes over a prime field, shingles by 64-bit hashes of these, and shingle sets by their size and two
 64-bit sums over their elements.
@@ -238,18 +238,15 @@ def _crossing_pairs(crossing: DataFrame, sets: DataFrame, like: Similarity) -> D
     need = F.col("n") - F.ceil(F.col("n") * like.num / like.den) + 1 - (F.col("n") - F.col("u"))
     live = known.groupBy("c").agg(F.count("*").alias("u"), F.first("n").alias("n")).where(need > 0).select("c", need.cast("int").alias("need"))
     rare = known.join(live, "c").groupBy("c").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("s"), *(F.first(x).alias(x) for x in ("n", "component", "need")))
-    heads = staged(rare.select("c", "n", "component", F.explode(F.slice("s", F.lit(1), F.col("need"))["t"]).alias("t")), "rare-shingles")
+    heads = staged(rare.select("c", "n", "component", F.size("s").alias("u"), F.explode(F.slice("s", F.lit(1), F.col("need"))["t"]).alias("t")), "rare-shingles")
     sizes = heads.groupBy("t", "component").agg(F.count("*").alias("m")).groupBy("t").agg(F.max_by("component", F.struct("m", "component")).alias("most"), F.count("*").alias("d"))
-    split = heads.join(sizes.where("d > 1").select("t", "most"), "t")
-    fields = ("c", "n", "component")
+    split = staged(heads.join(sizes.where("d > 1").select("t", "most"), "t").join(sets.select("c", "p"), "c"), "split-shingles")
+    fields = ("c", "n", "u", "p", "component")
     left = split.where("component <> most").select("t", *(F.col(x).alias(f"{x}_a") for x in fields))
     right = split.select("t", (F.col("component") == F.col("most")).alias("in_most"), *(F.col(x).alias(f"{x}_b") for x in fields))
     once = F.col("in_most") | (F.col("c_a") < F.col("c_b"))
-    fits = like.reachable(F.least("n_a", "n_b"), F.col("n_a"), F.col("n_b"))
-    pairs = left.join(right, "t").where((F.col("component_a") != F.col("component_b")) & once & fits)
-    pairs = staged(pairs.select(F.least("c_a", "c_b").alias("a"), F.greatest("c_a", "c_b").alias("b")).distinct(), "crossing-pairs")
-    drop_staged(often, known, heads)
-    bits = lambda x: sets.select(F.col("c").alias(x), F.col("p").alias(f"p_{x}"), F.size("s").alias(f"n_{x}"))
+    fits = like.reachable(F.least("u_a", "u_b"), F.col("n_a"), F.col("n_b"))
     apart = sum((F.bit_count(F.col("p_a")[i].bitwiseXOR(F.col("p_b")[i])) for i in range(PARITY_BITS // 64)), F.lit(0))
-    may = like.reachable(F.floor((F.col("n_a") + F.col("n_b") - apart) / 2), F.col("n_a"), F.col("n_b"))
-    return pairs.join(bits("a"), "a").join(bits("b"), "b").where(may).select("a", "b")
+    fits &= like.reachable(F.floor((F.col("n_a") + F.col("n_b") - apart) / 2), F.col("n_a"), F.col("n_b"))
+    pairs = left.join(right, "t").where((F.col("component_a") != F.col("component_b")) & once & fits)
+    return pairs.select(F.least("c_a", "c_b").alias("a"), F.greatest("c_a", "c_b").alias("b")).distinct()
