@@ -163,6 +163,36 @@ def test_decontamination_of_hot_items(spark):
     assert found == {(i, 0) for i in range(120)}
 
 
+def test_reworded_items_equal_exhaustive_search(spark):
+    """Items with more and more words replaced by others of the corpus: what the candidate search finds, against the longest common
+    subsequence of every item with every place of every text."""
+    r = random.Random(21)
+    vocabulary = [a + b for a in WORDS for b in WORDS[:12]]
+    weight = [1 / (i + 3) for i in range(len(vocabulary))]
+    prose = lambda n: r.choices(vocabulary, weight, k=n)
+    items = [prose(r.randint(25, 120)) for _ in range(40)]
+    rows = [(i, " ".join(prose(r.randint(20, 200)))) for i in range(200)]
+    for i in range(240):
+        w = [x if r.random() > (i % 8) / 20 else r.choice(prose(1)) for x in items[i % 40]]
+        rows.append((1000 + i, " ".join([*prose(60), *w, *prose(60)])))
+    numbers = {w: i for i, w in enumerate(vocabulary)}
+    number = lambda t: np.array([numbers[w] for w in t])
+    due = set()
+    for d, text in rows:
+        ids = number(text.split())
+        for k, item in enumerate(items):
+            n = 0
+            for part in np.array_split(number(item), max(1, -(-len(item) // decontamination.PASSAGE))):
+                n += max(decontamination.lcs(part, ids[x : x + 2 * len(part)]) for x in range(0, len(ids), max(1, len(part) // 2)))
+            if n / len(item) >= decontamination.SHARE:
+                due.add((d, k))
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    found = {(x.doc_id, x.item_id): x.share for x in decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    reworded = {x for x in due if x[0] >= 1000}
+    assert len(reworded) > 150 and len(reworded & set(found)) >= 0.9 * len(reworded)
+    assert all(share >= decontamination.SHARE_WITH_ANSWER for share in found.values()) and not {x for x in found if x[0] < 1000 and x not in due}
+
+
 def test_lcs():
     r = random.Random(4)
     for _ in range(200):
@@ -464,6 +494,16 @@ def test_licenses(spark, empty):
     assert licenses.scan(empty.withColumn("path", F.lit("a/b")), "path").isEmpty()
 
 
+def test_license_files_by_name(spark):
+    filler = "palabra otra cosa mas texto largo\n"
+    late = filler * 3 + "Released under the MIT License"
+    names = {"LICENSE": True, "COPYING.txt": True, "license-mit": True, "NOTICE": True, "licenses.py": False, "readme": False}
+    rows = [(2 * i, f"d{i}/{n}", late) for i, n in enumerate(names)] + [(2 * i + 1, f"d{i}/x", filler) for i in range(len(names))] + [(100 + i, f"z/{i}", filler) for i in range(40)]
+    got = {r.doc_id: (r.license, r.basis) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string"), "path").collect()}
+    for i, governs in enumerate(names.values()):
+        assert got[2 * i] == ("MIT", "own") and got[2 * i + 1] == (("MIT", "inherited") if governs else (None, "none"))
+
+
 def test_license_headers_and_files(spark):
     """Whole headers, titles and license texts, each the only statement of its directory."""
     texts = dict(license_texts.BLOCKS[::-1])  # the first of each license, which is its longest
@@ -479,3 +519,125 @@ def test_license_headers_and_files(spark):
     for i, (text, name) in enumerate(cases):
         assert got[2 * i] == (name, "own") and got[2 * i + 1] == (name, "inherited"), text
     assert all(got[10000 + i] == (None, "none") for i in range(200))
+
+
+# ---- the queries ----------------------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    """A small directory of tables with what the queries read."""
+    path = str(tmp_path_factory.mktemp("tables"))
+    r = random.Random(31)
+    made = {"aa": [w for w in WORDS if w[0] in "tr"], "bb": [w for w in WORDS if w[0] in "ml"]}
+    prose = lambda lang, n: " ".join(r.choice(made[lang]) for _ in range(n))
+    rows = []
+    for i in range(240):
+        lang = r.choice(["aa", "bb"])
+        text = prose(lang, r.randint(10, 120)) if i % 2 else re.sub(" ", "&&& ", prose(lang, 40))
+        rows.append((i, text, None if i % 17 == 0 else lang, r.choice(["a", "b", "ç", None]), len(text), lang))
+    item = " ".join(f"dato{i}" for i in range(30)) + "."
+    rows += [(500, prose("aa", 30) + " " + item, "aa", "a", 0, "aa"), (501, None, "aa", "a", 0, None), (502, "", None, None, 0, None), (503, "12 34", None, "b", 0, None), (504, rows[7][1], "bb", "b", 0, rows[7][5])]
+    docs = spark.createDataFrame([x[:5] for x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(3).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(240) if i % 3], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(1, item), (2, "otro " * 12)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return path, rows
+
+
+def crc(key, parts):
+    import zlib
+
+    return zlib.crc32(str(key).encode()) % parts
+
+
+def run_query(spark, tables, name):
+    from veilspark.llm import queries
+
+    df = queries.queries()[name](spark, tables[0])
+    return dict(df.dtypes), df.collect()
+
+
+def test_op1_query(spark, tables):
+    kinds, rows = run_query(spark, tables, "op1_minhash_dedup")
+    assert {k: kinds[k] for k in ("doc_id", "n_shingles", "component_id", "kept")} == {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint", "kept": "boolean"}
+    assert {x.doc_id: x.n_shingles for x in rows} == {d[0]: len(shingles(d[1], 3)) for d in tables[1]}
+    assert {x.doc_id for x in rows if not x.kept} == {504}
+
+
+def test_op2_query(spark, tables):
+    kinds, rows = run_query(spark, tables, "op2_repeated_strings")
+    assert kinds == {"doc_id": "bigint", "n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint", "kept_sha256": "string"}
+    assert {x.doc_id for x in rows if x.n_removed} == ({7, 504} if len(tables[1][7][1].encode()) >= 200 else set()) and len(rows) == len(tables[1])
+
+
+def test_op3_query(spark, tables):
+    _, rows = run_query(spark, tables, "op3_decontamination")
+    assert {(x.doc_id, x.item_id) for x in rows} == {(500, 1)}
+
+
+def test_op4_query(spark, tables):
+    kinds, rows = run_query(spark, tables, "op4_language_id")
+    assert {k: kinds[k] for k in ("doc_id", "held_out", "lang_pred", "score")} == {"doc_id": "bigint", "held_out": "boolean", "lang_pred": "string", "score": "double"}
+    truth = {d[0]: d[5] for d in tables[1]}
+    assert len(rows) == len(truth)
+    for x in rows:
+        assert x.held_out == (crc(x.doc_id, 3) == 1) and 0 <= x.score <= 1
+        assert x.lang_pred == (truth[x.doc_id] or "und")
+
+
+def test_op5_query(spark, tables):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    kinds, rows = run_query(spark, tables, "op5_token_counts")
+    assert kinds == {"doc_id": "bigint", "n_bytes": "bigint", "n_tokens": "bigint", "over_limit": "boolean"}
+    whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    assert {x.doc_id: x.n_tokens for x in rows} == {d[0]: len(whole.encode(d[1] or "", add_special_tokens=False)) for d in tables[1]}
+
+
+def test_op6_query(spark, tables):
+    kinds, rows = run_query(spark, tables, "op6_mix_sources")
+    assert {k: kinds[k] for k in ("doc_id", "size", "source_size", "target", "taken")} == {"doc_id": "bigint", "size": "bigint", "source_size": "bigint", "target": "double", "taken": "bigint"}
+    want, target = queue_by_hand(narrow_rows(spark.read.parquet(f"{tables[0]}/documents.parquet")))
+    assert Counter((x.doc_id, x.source, x.size, x.copies) for x in rows) == want
+    assert all(abs(x.target - target[x.source]) < 1e-6 and x.taken == x.copies * x.size for x in rows)
+
+
+def test_op8_query(spark, tables, monkeypatch):
+    from veilspark.llm import queries
+
+    monkeypatch.setattr(queries, "BYTE_LIMIT", 4000)
+    _, rows = run_query(spark, tables, "op8_shards")
+    sums = Counter()
+    for x in rows:
+        sums[x.shard] += x.n_bytes
+    assert len(sums) > 8 and all(n <= 4000 for n in sums.values()) and len(rows) == len(tables[1])
+    assert not any(a != b and a.startswith(b) for a in sums for b in sums)
+
+
+def test_op9_query(spark, tables):
+    kinds, rows = run_query(spark, tables, "op9_quality")
+    assert {k: kinds[k] for k in ("doc_id", "held_out", "score", "predicted")} == {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"}
+    for x in rows:
+        assert x.held_out == (crc(x.doc_id, 4) == 2) and x.predicted == (x.score >= 0.7) and 0 <= x.score <= 1
+        assert x.doc_id >= 240 or x.predicted == x.doc_id % 2
+
+
+@pytest.mark.parametrize("name", ["op7_license_scan", "op10_exact_dedup"])
+def test_queries_with_sql(spark, name):
+    import os
+
+    import duckdb
+    from veilspark.llm import queries
+
+    path = "/root/testdata/sf0.001"
+    if not os.path.isdir(path):
+        pytest.skip("no test tables here")
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{path}/documents.parquet'")
+    found = c.sql(queries.oracle_sql()[name])
+    df = queries.queries()[name](spark, path)
+    assert sorted(found.columns) == sorted(df.columns)
+    text = lambda rows: sorted("|".join(f"{v:.5f}" if isinstance(v, float) else str(v) for v in x) for x in rows)
+    assert text(map(tuple, df.select(*found.columns).collect())) == text(found.fetchall())

@@ -8,7 +8,8 @@ term outside the templates' vocabulary weighs as one that no text has. For each
 segment can reach the cosine are known from the weights, so only segments with one of them are compared; that drops
 nothing that could match. A text's own license is that of its best segment.
 
-A text whose first segment or block states a license is a license file: it governs its directory and those below. A text without a
+A text whose first segment or block states a license, or that states one anywhere and has a license file's name, is a license
+file: it governs its directory and those below. A text without a
 license of its own takes that of the nearest directory upwards that has one.
 
 Defined results: null and empty texts have no license of their own, but inherit; ties go to the license first by name,
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .license_texts import BLOCKS
-from .shared import join_groups, staged
+from .shared import drop_staged, join_groups, staged
 
 COSINE = 0.75
 MOST_TEMPLATE_TERMS = 20_000
@@ -34,6 +35,8 @@ HEADER_PARAGRAPHS = 12
 PARAGRAPH_END = r"\n(?:[^\p{L}\p{N}\n]*\n)+"
 SENTENCE_END = r"[.!?]\s+|" + PARAGRAPH_END
 SPDX = r"(?i)SPDX-License-Identifier:[ \t(]*([A-Za-z0-9.+-]*[A-Za-z0-9+])"
+#: Names of license files.
+LICENSE_FILE = r"(?i)(?:^|/)(?:un)?(?:licen[cs]e|copying|copyright|notice)(?:[.\-_][^/]*)?$"
 SEGMENT_END = r"[.!?]?[ \t\r]*\n\s*|[.!?][ \t\r]+"
 
 #: Short statements of common licenses, in our own selection.
@@ -166,12 +169,13 @@ def parent(path: Column) -> Column:
 def scan(docs: DataFrame, path: str, templates: list[tuple[str, str]] = TEMPLATES, cosine: float = COSINE, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, path, license, cosine, basis, license_dir) of each row; basis is own, inherited or none."""
     found = staged(statements(docs, templates, cosine, text, key), "statements")
-    best = found.groupBy("k").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("b"), F.min("at").alias("first"))
+    best = found.groupBy("k").agg(F.min(F.struct((-F.round("cosine", 9)).alias("c"), "license")).alias("b"), F.min("at").alias("first"))
     own = best.select("k", F.col("b.license").alias("own"), (-F.col("b.c")).alias("own_cosine"), "first")
     rows = docs.select(F.col(key).alias("k"), F.col(path).alias("p"), parent(F.col(path)).alias("dir"))
     rows = staged(rows.join(own, "k", "left"), "owned")
+    drop_staged(found)
     total = rows.count()
-    votes = rows.where("first = 0 and dir is not null").groupBy("dir", "own").agg(F.count("*").alias("n"))
+    votes = rows.where((F.col("first") == 0) | F.col("p").rlike(LICENSE_FILE)).where("own is not null and dir is not null").groupBy("dir", "own").agg(F.count("*").alias("n"))
     governs = votes.groupBy("dir").agg(F.min(F.struct((-F.col("n")).alias("n"), "own")).alias("g")).select(F.col("dir").alias("up"), F.col("g.own").alias("license"))
     dirs = staged(rows.where("dir is not null").groupBy("dir").agg(F.count("*").alias("files")), "dirs")
     parts = F.split("dir", "/")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, language_id, licenses, minhash, mixing, quality, repeats, sharding, token_counts
+from . import decontamination, exact_dedup, language_id, license_texts, licenses, minhash, mixing, quality, repeats, sharding, token_counts
 
 BYTE_LIMIT = 4 << 20
 
@@ -76,23 +76,41 @@ def oracle_sql() -> dict[str, str]:
     return {"op7_license_scan": op7_sql(), "op10_exact_dedup": OP10_SQL}
 
 
+def _values(templates: list[tuple[str, str]]) -> str:
+    return ", ".join("('{}', {}, '{}')".format(n, i, t.lower().replace("'", "''")) for i, (n, t) in enumerate(templates))
+
+
 def op7_sql() -> str:
-    names = ", ".join(f"('{n}', '{t.lower()}')" for n, t in licenses.TEMPLATES)
+    """Every piece of every text is compared with every template, without the terms that let the operator skip pieces."""
+    word = r"[a-z0-9]+(?:\.[0-9]+)*"
+    blank = r"\n(?:[^\p{L}\p{N}\n]*\n)+"
+    spdx = r"SPDX-License-Identifier:[ \t(]*([A-Za-z0-9.+-]*[A-Za-z0-9+])"
+    known = sorted({n for n, _ in (*licenses.TEMPLATES, *license_texts.BLOCKS)})
     return rf"""
-WITH tpl(license, s) AS (VALUES {names}),
-tt AS (SELECT license, t, count(*) AS n FROM (SELECT license, unnest(regexp_extract_all(s, '{licenses.TERM}')) AS t FROM tpl) GROUP BY ALL),
-d AS (SELECT doc_id, text, CASE WHEN doc_id % 64 = 0 THEN source WHEN doc_id % 8 = 0 THEN source || '/' || lang
+WITH tpl(kind, license, i, s) AS (SELECT 'short', * FROM (VALUES {_values(licenses.TEMPLATES)}) UNION ALL SELECT 'whole', * FROM (VALUES {_values(license_texts.BLOCKS)})),
+tt AS (SELECT kind, license, i, t, count(*) AS n FROM (SELECT kind, license, i, unnest(regexp_extract_all(s, '{word}')) AS t FROM tpl) GROUP BY ALL),
+d AS (SELECT doc_id, text, regexp_replace(text, '^[^\p{{L}}\p{{N}}]+', '') AS body, CASE WHEN doc_id % 64 = 0 THEN source WHEN doc_id % 8 = 0 THEN source || '/' || lang
       ELSE source || '/' || lang || '/' || (doc_id // 64) END AS dir FROM documents),
 total AS (SELECT count(*) AS n FROM d),
-df AS (SELECT t, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '{licenses.TERM}')) AS t FROM d) WHERE t IN (SELECT t FROM tt) GROUP BY t),
-idf AS (SELECT t, ln((1 + (SELECT n FROM total)) / (1 + coalesce(df.n, 0))) AS w FROM (SELECT DISTINCT t FROM tt) LEFT JOIN df USING (t)),
-tw AS (SELECT license, t, n * w / sqrt(sum(n * w * n * w) OVER (PARTITION BY license)) AS x FROM tt JOIN idf USING (t)),
-seg AS (SELECT doc_id, generate_subscripts(p, 1) - 1 AS pos, unnest(p) AS s FROM (SELECT doc_id, string_split_regex(text, '{licenses.SEGMENT_END}') AS p FROM d WHERE regexp_matches(text, '(?i)licen|public|domain|free|terms|govern|releas|cc|mit|isc|bsd|gnu|apache|mozilla|[0-9]'))),
-st AS (SELECT doc_id, pos, t, count(*) AS n FROM (SELECT doc_id, pos, unnest(regexp_extract_all(lower(s), '{licenses.TERM}')) AS t FROM seg) GROUP BY ALL),
-sv AS (SELECT doc_id, pos, t, n * coalesce(w, (SELECT ln(1 + n) FROM total)) AS v FROM st LEFT JOIN idf USING (t)),
-sn AS (SELECT doc_id, pos, sqrt(sum(v * v)) AS len FROM sv GROUP BY ALL),
-c AS (SELECT doc_id, pos, license, sum(v * x) / any_value(len) AS cosine FROM sv JOIN tw USING (t) JOIN sn USING (doc_id, pos) GROUP BY ALL HAVING sum(v * x) / any_value(len) >= {licenses.COSINE}),
-own AS (SELECT doc_id, first(license ORDER BY cosine DESC, license) AS own, max(cosine) AS cosine, min(pos) AS f FROM c GROUP BY ALL),
+df AS (SELECT t, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '{word}')) AS t FROM d) WHERE t IN (SELECT t FROM tt) GROUP BY t),
+idf AS (SELECT kind, t, ln((1 + (SELECT n FROM total)) / (1 + coalesce(df.n, 0))) AS w FROM (SELECT DISTINCT kind, t FROM tt) LEFT JOIN df USING (t)),
+tw AS (SELECT kind, license, i, t, n * w / sqrt(sum(n * w * n * w) OVER (PARTITION BY kind, license, i)) AS x FROM tt JOIN idf USING (kind, t)),
+p AS (SELECT doc_id, string_split_regex(text, '[.!?]?[ \t\r]*\n\s*|[.!?][ \t\r]+') AS lines, string_split_regex(text, '[.!?]\s+|{blank}') AS sentences, body,
+      string_split_regex(body, '{blank}') AS paragraphs, string_split_regex(body, '[ \t\r]*\n\s*') AS body_lines FROM d WHERE text IS NOT NULL),
+piece AS (
+  SELECT doc_id, 'short' AS kind, 'l' AS cut, generate_subscripts(lines, 1) - 1 AS u, u AS pos, unnest(lines) AS s FROM p
+  UNION ALL SELECT * FROM (SELECT doc_id, 'short', 's', generate_subscripts(sentences, 1) - 1 AS u, u, unnest(sentences) AS s FROM p) WHERE contains(s, chr(10))
+  UNION ALL SELECT doc_id, 'whole', 'b', generate_subscripts(body_lines, 1) - 1 AS u, u, unnest(body_lines) FROM p
+  UNION ALL SELECT doc_id, 'whole', 'p', generate_subscripts(paragraphs, 1) - 1 AS u, u, unnest(paragraphs) FROM p
+  UNION ALL SELECT doc_id, 'whole', 'f', k, 0, array_to_string(paragraphs[1:k], chr(10) || chr(10)) FROM p, range(1, {licenses.HEADER_PARAGRAPHS} + 1) r(k) WHERE k <= len(paragraphs)
+  UNION ALL SELECT doc_id, 'whole', 'w', 0, 0, body FROM p),
+st AS (SELECT doc_id, kind, cut, u, pos, t, count(*) AS n FROM (SELECT doc_id, kind, cut, u, pos, unnest(regexp_extract_all(lower(s), '{word}')) AS t FROM piece) GROUP BY ALL),
+sv AS (SELECT doc_id, kind, cut, u, pos, t, n * coalesce(w, (SELECT ln(1 + n) FROM total)) AS v FROM st LEFT JOIN idf USING (kind, t)),
+sn AS (SELECT doc_id, kind, cut, u, sqrt(sum(v * v)) AS len FROM sv GROUP BY ALL),
+c AS (SELECT doc_id, pos, license, sum(v * x) / any_value(len) AS cosine FROM sv JOIN tw USING (kind, t) JOIN sn USING (doc_id, kind, cut, u) GROUP BY doc_id, kind, cut, u, pos, license, i HAVING sum(v * x) / any_value(len) >= {licenses.COSINE}
+  UNION ALL SELECT doc_id, pos, coalesce(list_filter({known}, lambda k: lower(k) = lower(name))[1], name), 1.0 FROM (SELECT doc_id, pos, regexp_replace(regexp_extract(s, '(?i){spdx}', 1), '(?i)(?:-only|-or-later|\+)$', '') AS name
+    FROM (SELECT doc_id, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS s FROM (SELECT doc_id, string_split(body, chr(10)) AS l FROM d)) WHERE regexp_matches(s, '(?i){spdx}'))),
+own AS (SELECT doc_id, first(license ORDER BY round(cosine, 9) DESC, license) AS own, max(cosine) AS cosine, min(pos) AS f FROM c GROUP BY ALL),
 r AS (SELECT d.doc_id, d.dir, own, cosine, f FROM d LEFT JOIN own USING (doc_id)),
 votes AS (SELECT dir, own, count(*) AS n FROM r WHERE f = 0 GROUP BY ALL),
 gov AS (SELECT dir AS up, first(own ORDER BY n DESC, own) AS license FROM votes GROUP BY ALL),

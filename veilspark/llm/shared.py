@@ -2,26 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
 import re
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.stage import clear_shared, drop_staged, release, shared_dir, staged
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names. Where it is unset, as in tests, and the session is local, a local one
-    is made and set; on a cluster that is an error, since executors do not see each other's disks."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="veilspark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
+__all__ = ["clear_shared", "drop_staged", "join_groups", "numbered", "range_sorted", "release", "running_total", "shared_dir", "small_batches", "staged"]
 
 ARROW_BYTES = 8 << 20
 
@@ -36,50 +24,6 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(ARROW_BYTES))
 
 
-_CLEARED: set[str] = set()
-
-
-def _at_end(spark: SparkSession) -> None:
-    app = spark.sparkContext.applicationId
-    if app not in _CLEARED:
-        _CLEARED.add(app)
-        atexit.register(clear_shared, spark)
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write a table in the shared folder and read it back: later stages restart from its files, whatever executor is lost.
-    What an application has staged is deleted when its Python driver ends."""
-    spark = df.sparkSession
-    _at_end(spark)
-    path = f"{shared_dir(spark)}/veilspark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(path)
-    release(spark)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove the shuffle files of finished jobs now; it acts when the driver collects its garbage."""
-    spark.sparkContext._jvm.System.gc()
-
-
-def drop_staged(*tables: DataFrame) -> None:
-    """Delete staged tables that nothing reads any more."""
-    for df in tables:
-        jvm = df.sparkSession.sparkContext._jvm
-        for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def clear_shared(spark: SparkSession) -> None:
-    """Delete what this application has staged."""
-    context = spark.sparkContext
-    if context._jsc is None or context._jsc.sc().isStopped():
-        return
-    path = context._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/veilspark/{context.applicationId}")
-    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def range_sorted(df: DataFrame, order: list[Column], size: str, name: str) -> tuple[DataFrame, DataFrame]:
     """(rows with ``_part``, parts): a global range sort by ``order``, which should tell all rows apart so that no part is
     large, as written ranges. parts has a row for each range, (_part, _before, _own): the sum of ``size`` before the range and in it."""
