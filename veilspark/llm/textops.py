@@ -45,7 +45,7 @@ class _Powers:
 
     def __init__(self, point: int) -> None:
         self.point, self.back = point % PRIME, pow(point, -1, PRIME)
-        self.up = self.down = np.ones(1, dtype=U)
+        self.up = self.down = np.ones(1, dtype=np.uint32)
 
     def need(self, n: int) -> None:
         if len(self.up) >= n:
@@ -58,7 +58,7 @@ class _Powers:
         out = np.ones(1, dtype=U)
         while len(out) < n:
             out = np.concatenate([out, out * U(pow(x, len(out), PRIME)) % U(PRIME)])
-        return out[:n]
+        return out[:n].astype(np.uint32)
 
 
 POWERS = [[_Powers(x) for x in family] for family in _POINTS]
