@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _CLEARED: set[str] = set()
+#: Paths staged in each open ``staged_alone``.
+_OPEN: list[list[str]] = []
 
 
 def _place(spark: SparkSession) -> str:
@@ -37,11 +40,25 @@ def staged(df: DataFrame, name: str) -> DataFrame:
         _CLEARED.add(app)
         atexit.register(clear_shared, spark)
     path = f"{_place(spark)}/{name}-{uuid.uuid4().hex}"
+    for made in _OPEN:
+        made.append(path)
     df.write.mode("errorifexists").parquet(path)
     release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def staged_alone(build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The table that ``build`` gives, staged; all that was staged for it is deleted."""
+    _OPEN.append([])
+    try:
+        out = staged(build(), name)
+    finally:
+        made = _OPEN.pop()
+    for path in made[:-1]:
+        _delete(out.sparkSession, path)
+    return out
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner remove the shuffle files of finished jobs now; it acts when the driver collects its garbage."""
     spark.sparkContext._jvm.System.gc()
