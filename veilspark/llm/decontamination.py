@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches, staged
+from .shared import small_batches, staged, staged_alone
 from .textops import LOWER, U, buffers, prefix_hash, segments, span_hash
 
 BLOCK_ITEMS, BLOCK_BYTES = 4096, 4 << 20
@@ -445,6 +445,6 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "tex
     name = lambda k, c: F.struct(k.alias("k"), *(h.alias(f"h{i}") for i, h in enumerate(own(c))))
     named = docs.select(name(F.col(key), F.col(text)).alias("name"), F.col(text).alias("text"))
     items = benchmark.select(F.col(item).alias("item_id"), F.col(text).alias("text"), *([F.col(answer).alias("answer")] if answer else []))
-    found = staged(contaminated(named, items, "text", "name", answer="answer" if answer else None), "contaminated").select("name").distinct()
+    found = staged_alone(lambda: contaminated(named, items, "text", "name", answer="answer" if answer else None), "contaminated").select("name").distinct()
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"))
     return rows.join(found, name(F.col("row").getField(key), F.col("row").getField(text)).eqNullSafe(F.col("name")), "left_anti").select("row.*")

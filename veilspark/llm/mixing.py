@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import join_groups, numbered, range_sorted, running_total, staged, text_word_count
+from .shared import join_groups, numbered, range_sorted, running_total, staged, staged_alone, text_word_count
 
 MAX_PASSES = 3
 #: Order of the rows of a source, which tells all rows apart; ``id`` only tells rows apart that are equal otherwise.
@@ -115,6 +115,10 @@ def mixed_documents(docs: DataFrame, weights: dict[str | None, float] | None = N
     null and repeated keys, and equal rows, are each taken as their own row of the queue says."""
     rows = numbered(docs)
     field = lambda c: F.col("row").getField(c)
-    narrow = staged(rows.select("id", *_rows(field(key), field(source), field(text), seed)), "sizes")
-    taken = _queue(narrow, weights, budget_share).where("copies > 0").select("id", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+
+    def queue() -> DataFrame:
+        narrow = staged(rows.select("id", *_rows(field(key), field(source), field(text), seed)), "sizes")
+        return _queue(narrow, weights, budget_share).where("copies > 0").select("id", "copies")
+
+    taken = staged_alone(queue, "taken").select("id", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
     return rows.join(taken, "id").select("row.*")

@@ -7,9 +7,9 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.stage import clear_shared, drop_staged, release, shared_dir, staged
+from ..plans.stage import clear_shared, drop_staged, release, shared_dir, staged, staged_alone
 
-__all__ = ["clear_shared", "drop_staged", "join_groups", "numbered", "range_sorted", "release", "running_total", "shared_dir", "small_batches", "staged"]
+__all__ = ["clear_shared", "drop_staged", "join_groups", "numbered", "range_sorted", "release", "running_total", "shared_dir", "small_batches", "staged", "staged_alone"]
 
 ARROW_BYTES = 8 << 20
 
