@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.llm import decontamination, language_id, minhash, mixing, sharding
-from veilspark.llm.shared import numbered, staged
+from veilspark.llm.shared import numbered, staged, staged_alone
 from veilspark.plans.packaging import ship
 
 SHARD_BYTES = 4 << 20
@@ -33,7 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     ship(spark)
     rows = numbered(docs)
     named = rows.select("id", F.col("row").getField("doc_id").alias("k"), F.col("row").getField("text").alias("text"))
-    groups = staged(minhash.near_groups(named, key="id").select("id", "component_id"), "near-groups")
+    groups = staged_alone(lambda: minhash.near_groups(named, key="id").select("id", "component_id"), "near-groups")
     several = groups.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1")
     members = staged(groups.join(several, "component_id").join(named.select("id", "k"), "id"), "near-members")
     rank = F.struct(F.col("k").isNull().alias("none"), "k", "id")
