@@ -329,6 +329,36 @@ def test_boilerplate_that_is_alike_but_not_linked(spark):
     assert {(x.a, x.b) for x in pairs} == {(i, j) for i in own for j in own if i < j and 100 * len(own[i] & own[j]) >= 85 * len(own[i] | own[j])}
 
 
+@pytest.mark.parametrize("most", [0, 4000, 1 << 17])
+def test_components_in_one_task_and_by_steps(spark, monkeypatch, most):
+    """A small table goes to one task, in one job after its count; chains, hubs, loops and repeated links give the same either way."""
+    monkeypatch.setattr(components, "LOCAL_LINKS", most)
+    r = random.Random(5)
+    links = [(i, i + 1) for i in range(100, 400)] + [(-7, i) for i in range(1000, 1900)] + [(i, i) for i in range(40)]
+    links += [(r.randrange(5000, 9000), r.randrange(5000, 9000)) for _ in range(1500)] * 2
+    group = {}
+    for a, b in links:
+        if a != b:
+            both = group.get(a, {a}) | group.get(b, {b})
+            group.update(dict.fromkeys(both, both))
+    table = spark.createDataFrame(links, "a long, b long").repartition(7)
+    found = components.components(table, "a", "b").collect()
+    assert sorted((x.node, x.component) for x in found) == sorted((i, min(g)) for i, g in group.items())
+    assert components.components(table.where("a = b"), "a", "b").isEmpty()
+    words = components.components(spark.createDataFrame([("b", "a"), ("b", "c")], "a string, b string"), "a", "b").collect()
+    assert sorted((x.node, x.component) for x in words) == [("a", "a"), ("b", "a"), ("c", "a")]
+
+
+def test_star_rounds_compare_no_members_of_one_component(spark):
+    """A later round pairs a bucket's members with its centre only where their components differ."""
+    member = spark.createDataFrame([(c, 9, b) for b, own in {1: range(6), 2: (0, 1, 2), 3: (4, 5)}.items() for c in own], "c long, n long, bucket long")
+    comp = spark.createDataFrame([(c, c - c % 3) for c in range(5)], "node long, component long")  # 5 is in no link so far
+    own = {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 5}
+    for turn in (1, 2):
+        pairs = [(x.a, x.b) for x in minhash._stars(member, comp, turn).collect()]
+        assert pairs and all(own[a] != own[b] for a, b in pairs) and len(set(pairs)) == len(pairs)
+
+
 def targets_by_turns(sizes, weights, budget, most=3):
     """Targets by filling the sources that are over ``most`` times their size, turn by turn."""
     target, free, left = dict.fromkeys(sizes, 0.0), {s for s in sizes if sizes[s] > 0}, float(budget)

@@ -155,14 +155,13 @@ def near_groups(docs: DataFrame, like: Similarity = Similarity(), text: str = "t
     shared = keys.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
     placed = staged(keys.join(shared, "bucket"), "placed")
     degrees = staged(placed.groupBy("c").agg(F.sum("m").alias("degree")), "candidates")
-    member = staged(placed.join(degrees, "c").drop("m"), "buckets")
-    drop_staged(placed)
     wanted = classes.join(degrees, "c", "left_semi").select("c", F.col("k").alias("_k"), F.col("th").alias("_th"))
     texts = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("th"), F.col(text).alias("t"))
     texts = texts.join(wanted, F.col("k").eqNullSafe(F.col("_k")) & (F.col("th") == F.col("_th"))).groupBy("c").agg(F.first("t").alias("t"))
     sets = staged(shingle_sets(texts, like), "sets")
-    comp, used = None, [degrees, member, sets]
+    comp, used = None, [degrees, placed, sets]
     for turn in range(ROUNDS):
+        member = placed if turn else placed.join(degrees, "c")
         links = staged(_verified(_stars(member, comp, turn), sets, like), f"stars{turn}")
         used.append(links)
         if comp is not None:
@@ -170,7 +169,7 @@ def near_groups(docs: DataFrame, like: Similarity = Similarity(), text: str = "t
                 break
             links = links.unionByName(comp.select(F.col("node").alias("a"), F.col("component").alias("b")))
         comp = staged(components(links, "a", "b"), f"components{turn}")
-    crossing = staged(_split_buckets(member, comp).select("c", "n", "component").distinct(), "crossing-members")
+    crossing = staged(_split_buckets(placed, comp).select("c", "n", "component").distinct(), "crossing-members")
     used.append(crossing)
     if not crossing.isEmpty():
         rest = staged(_verified(_crossing_pairs(crossing, sets, like), sets, like), "crossing")
@@ -201,19 +200,22 @@ def _spread(signed: DataFrame, named: DataFrame, key: str) -> DataFrame:
 
 def _stars(member: DataFrame, comp: DataFrame | None, turn: int) -> DataFrame:
     """Pairs (member, centre of its bucket) in different components, each once."""
-    own = member
-    if comp is not None:
-        own = _split_buckets(member, comp)
+    own = member.withColumn("component", F.col("c")) if comp is None else _in_components(member, comp)
     order = -F.col("degree") if turn == 0 else F.xxhash64("c", F.lit(turn))
-    rank = F.struct(order.alias("r"), F.col("c").alias("x"))
-    centre = own.groupBy("bucket").agg(F.min(rank).alias("m")).select("bucket", F.col("m.x").alias("x"))
-    pairs = own.join(centre, "bucket").where("c <> x")
+    rank = F.struct(order.alias("r"), F.col("c").alias("x"), F.col("component").alias("y"))
+    centre = own.groupBy("bucket").agg(F.min(rank).alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    pairs = own.join(centre.select("bucket", "m.x", "m.y"), "bucket").where("component <> y")
     return pairs.select(F.least("c", "x").alias("a"), F.greatest("c", "x").alias("b")).distinct()
 
 
+def _in_components(member: DataFrame, comp: DataFrame) -> DataFrame:
+    named = member.join(comp.withColumnRenamed("node", "c"), "c", "left")
+    return named.withColumn("component", F.coalesce("component", "c"))
+
+
 def _split_buckets(member: DataFrame, comp: DataFrame) -> DataFrame:
     """Members, with their components, of the buckets that hold more than one component."""
-    named = member.join(comp.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
+    named = _in_components(member, comp)
     split = named.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
     return named.join(split, "bucket")
 
@@ -233,12 +235,12 @@ def _crossing_pairs(crossing: DataFrame, sets: DataFrame, like: Similarity) -> D
     A set of n shingles shares num / den of them at least with any partner, so of its shingles in order of rarity one of the
     first n - least + 1 is shared. Those that no other member has come first, and bring it to none."""
     tokens = crossing.join(sets.select("c", "s"), "c").select("c", "n", "component", F.explode("s").alias("t"))
-    often = staged(tokens.groupBy("t").agg(F.count("*").alias("df")).where("df > 1"), "common-shingles")
-    known = staged(tokens.join(often, "t"), "shared-shingles")
+    often = tokens.groupBy("t").agg(F.count("*").alias("df")).where("df > 1")
+    known = tokens.join(often, "t").repartition("c")  # as many rows for a member as it has shingles
     need = F.col("n") - F.ceil(F.col("n") * like.num / like.den) + 1 - (F.col("n") - F.col("u"))
-    live = known.groupBy("c").agg(F.count("*").alias("u"), F.first("n").alias("n")).where(need > 0).select("c", need.cast("int").alias("need"))
-    rare = known.join(live, "c").groupBy("c").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("s"), *(F.first(x).alias(x) for x in ("n", "component", "need")))
-    heads = staged(rare.select("c", "n", "component", F.size("s").alias("u"), F.explode(F.slice("s", F.lit(1), F.col("need"))["t"]).alias("t")), "rare-shingles")
+    lists = known.groupBy("c").agg(F.collect_list(F.struct("df", "t")).alias("s"), F.first("n").alias("n"), F.first("component").alias("component")).withColumn("u", F.size("s"))
+    rare = lists.withColumn("need", need.cast("int")).where("need > 0").withColumn("s", F.array_sort("s"))
+    heads = staged(rare.select("c", "n", "component", "u", F.explode(F.slice("s", F.lit(1), F.col("need"))["t"]).alias("t")), "rare-shingles")
     sizes = heads.groupBy("t", "component").agg(F.count("*").alias("m")).groupBy("t").agg(F.max_by("component", F.struct("m", "component")).alias("most"), F.count("*").alias("d"))
     split = staged(heads.join(sizes.where("d > 1").select("t", "most"), "t").join(sets.select("c", "p"), "c"), "split-shingles")
     fields = ("c", "n", "u", "p", "component")
