@@ -3,6 +3,7 @@
 import random
 import re
 import struct
+import time
 import zlib
 
 import pytest
@@ -335,3 +336,23 @@ def test_seconds_text(spark):
     cases = {0.0: "menos de 0,1 s", 0.4: "0,4 s", 9.96: "10,0 s", 12.0: "12 s", 59.6: "1 min", 80.0: "1 min 20 s"}
     rows = spark.createDataFrame([(k,) for k in cases], "v double").select("v", T.seconds_text("v").alias("t")).collect()
     assert {x.v: x.t for x in rows} == cases
+
+
+def test_many_labels_of_one_page(spark):
+    """Places of some hundred labels equal one-by-one search; thousands that all meet take seconds, not the cube of their number."""
+    r = random.Random(13)
+    rows = [(p, i, r.choice([-7.5, 0.5, 40.25, 80.0, 97.0, 161.0]), r.randint(-20, 400) / 4) for p in (1, 2) for i in range(150)]
+    want = {}
+    for p in (1, 2):
+        taken = []
+        for _, i, x, top in sorted((v for v in rows if v[0] == p), key=lambda v: (v[3], v[2], v[1])):
+            y = max(0.0, top - 16)
+            while any(abs(y - b) < 16 and abs(x - a) < 80 for a, b in taken):
+                y += 16
+            taken.append((x, y))
+            want[p, i] = y
+    df = spark.createDataFrame(rows, "page int, id int, x double, y double")
+    assert {(v.page, v.id): v.label_y for v in V.place_labels(df, ["page"]).collect()} == want
+    many = spark.range(4000).selectExpr("1 as page", "id", "cast(id % 97 as double) as x", "cast(id % 113 as double) as y")
+    began = time.monotonic()
+    assert V.place_labels(many, ["page"]).count() == 4000 and time.monotonic() - began < 30

@@ -133,19 +133,58 @@ def erase_actions(findings: DataFrame, box: dict[str, Column]) -> DataFrame:
 
 
 def place_labels(items: DataFrame, keys: list[str], height: float = 16.0, width: float = 80.0) -> DataFrame:
-    """Greedy placement of labels: each above its zone, moved down while it meets an earlier label."""
+    """Greedy placement of labels: each above its zone, moved down while it meets an earlier label.
+
+    A taken place stays taken, so zones of one abscissa whose steps fall together (equal remainders of their top by the
+    height) begin where the last of them ended. Places are kept in order of their top, by columns a label wide: a label looks at three
+    columns, from where it begins."""
+    import numpy as np
     import pandas as pd
 
+    class Column:
+        """Places of the labels of one column, in order of their tops."""
+
+        def __init__(self) -> None:
+            self.n, self.y, self.x = 0, np.empty(16), np.empty(16)
+
+        def add(self, x: float, y: float) -> None:
+            if self.n == len(self.y):
+                self.y, self.x = (np.concatenate([v, np.empty(len(v))]) for v in (self.y, self.x))
+            at = int(np.searchsorted(self.y[: self.n], y))
+            for own, v in ((self.y, y), (self.x, x)):
+                own[at + 1 : self.n + 1] = own[at : self.n]
+                own[at] = v
+            self.n += 1
+
+        def beside(self, x: float, start: float) -> np.ndarray:
+            """Tops, from ``start`` less a height on, of the labels that a label at x could meet."""
+            at = int(np.searchsorted(self.y[: self.n], start - height, side="right"))
+            return self.y[at : self.n][np.abs(self.x[at : self.n] - x) < width]
+
     def place(df: pd.DataFrame) -> pd.DataFrame:
-        taken: list[tuple[float, float]] = []
-        out = []
-        for r in df.sort_values(["y", "x", "id"]).itertuples(index=False):
-            y = max(0.0, r.y - height)
-            while any(abs(y - b) < height and abs(r.x - a) < width for a, b in taken):
-                y += height
-            taken.append((r.x, y))
-            out.append((*[getattr(r, k) for k in keys], r.id, y))
-        return pd.DataFrame(out, columns=[*keys, "id", "label_y"])
+        columns: dict[float, Column] = {}
+        done: dict[tuple[float, float], float] = {}
+        df = df.sort_values(["y", "x", "id"])
+        tops = []
+        for x, top in zip(df["x"].to_numpy(dtype=float), df["y"].to_numpy(dtype=float), strict=True):
+            y = max(0.0, top - height)
+            steps = (x, y % height)
+            y = max(y, done.get(steps, y))
+            c = x // width
+            met = [columns[k].beside(x, y) for k in (c - 1, c, c + 1) if k in columns]
+            met = np.concatenate(met) if met else np.empty(0)
+            if len(met):
+                first = np.floor((met - y) / height).astype(np.int64)
+                taken = np.zeros(int(first.max()) + 4, dtype=bool)
+                for k in (-1, 0, 1, 2):
+                    at = first + k
+                    hit = (at >= 0) & (np.abs(y + at * height - met) < height)
+                    taken[at[hit]] = True
+                y += int(np.argmin(taken)) * height
+            done[steps] = y
+            columns.setdefault(c, Column()).add(x, y)
+            tops.append(y)
+        return df[[*keys, "id"]].assign(label_y=tops)
 
     kinds = dict(items.dtypes)
     return items.groupBy(*keys).applyInPandas(place, ", ".join(f"{c} {kinds[c]}" for c in [*keys, "id"]) + ", label_y double")
