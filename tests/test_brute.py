@@ -356,3 +356,12 @@ def test_many_labels_of_one_page(spark):
     many = spark.range(4000).selectExpr("1 as page", "id", "cast(id % 97 as double) as x", "cast(id % 113 as double) as y")
     began = time.monotonic()
     assert V.place_labels(many, ["page"]).count() == 4000 and time.monotonic() - began < 30
+
+
+def test_long_texts_are_searched_once(spark):
+    """Hashes of runs move without the texts: some dozens of texts of 20,000 words take seconds, not copies of the text by word."""
+    needles = spark.createDataFrame([(7, "w5 w6 w7 w8 w9"), (8, "w5 w6"), (9, "w9 w8")], "item_id int, text string")
+    texts = spark.range(48).selectExpr("id as doc_id", "array_join(transform(sequence(1, 20000), x -> concat('w', x)), ' ') as text")
+    began = time.monotonic()
+    found = {tuple(x) for x in E.passages_in(texts, needles).collect()}
+    assert found == {(i, j) for i in range(48) for j in (7, 8)} and time.monotonic() - began < 30

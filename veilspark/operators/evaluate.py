@@ -82,27 +82,29 @@ NEEDLE_BYTES = 8 << 20
 
 def passages_in(texts: DataFrame, needles_: DataFrame, text: str = "text", key: str = "doc_id", item: str = "item_id", anchor_words: int = 4) -> DataFrame:
     """(key, item): folded needles contained in folded texts, whole words. A needle is keyed by the run of ``anchor_words`` of
-    its words with the most letters (by all its words, if it has fewer); texts emit their runs of those lengths, so the
-    containment test is made on few pairs, and at once where the needles are small enough to be sent."""
+    its words with the most letters (by all its words, if it has fewer); texts emit hashes of their runs of those lengths. These
+    rows carry no text: it is looked up, and folded again, where a needle's run stands in it, so the containment test is made
+    on few pairs. Needles that are small enough are sent to all tasks."""
     words = lambda c: F.filter(F.split(T.norm_general(c), " "), lambda w: w != "")
     bounded = lambda w: F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
-
-    def runs(n: Column | int) -> Column:
-        k = F.lit(n) if isinstance(n, int) else n
-        return F.when(F.size("w") >= k, F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - k + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, k), " "))).otherwise(F.array().cast("array<string>"))
+    run = lambda k, h, i: F.xxhash64(F.lit(k), *(F.get(h, i + j) for j in range(k)))
+    hashed = lambda w: F.transform(w, lambda x: F.xxhash64(x))
 
     n = needles_.select(item, words(text).alias("w")).where(F.size("w") > 0).withColumn("k", F.least(F.size("w"), F.lit(anchor_words)))
-    best = F.array_max(F.transform(runs(F.col("k")), lambda r: F.struct(F.length(r).alias("n"), r.alias("r"))))
-    n = n.select(item, "k", F.xxhash64("k", best["r"]).alias("h"), bounded("w").alias("n"))
+    starts = F.sequence(F.lit(0), F.size("w") - F.col("k"))
+    best = F.array_max(F.transform(starts, lambda i: F.struct(F.length(F.array_join(F.slice("w", i + 1, F.col("k")), " ")).alias("n"), i.alias("i"))))
+    n = n.select(item, "k", hashed("w").alias("hs"), best["i"].alias("i"), bounded("w").alias("n"))
+    anchor = F.coalesce(*(F.when(F.col("k") == k, run(k, F.col("hs"), F.col("i"))) for k in range(1, anchor_words + 1)))
+    n = n.select(item, "k", anchor.alias("h"), "n")
     facts = n.agg(F.collect_set("k").alias("ks"), F.coalesce(F.sum(F.octet_length("n")), F.lit(0)).alias("size")).first()  # anchor_words lengths at most
-    t = texts.select(key, words(text).alias("w"))
-    hashed = lambda k: F.transform(runs(k), lambda r: F.xxhash64(F.lit(k), r))
-    grams = F.flatten(F.array(*map(hashed, sorted(facts["ks"])))) if facts["ks"] else F.array().cast("array<bigint>")
-    if facts["size"] <= NEEDLE_BYTES:
-        hits = t.select(key, bounded("w").alias("t"), F.explode(F.array_distinct(grams)).alias("h")).join(F.broadcast(n.drop("k")), "h")
-        return hits.where(F.col("t").contains(F.col("n"))).select(key, item).distinct()
-    hits = t.select(key, F.explode(F.array_distinct(grams)).alias("h")).join(n.select("h", item), "h").select(key, item).distinct()
-    return hits.join(t.select(key, bounded("w").alias("t")), key).join(n.select(item, "n"), item).where(F.col("t").contains(F.col("n"))).select(key, item).distinct()
+    t = texts.select(key, words(text).alias("w")).select(key, hashed("w").alias("hs"))
+    # a run over the end of a text has fewer hashes than its length says, and equals that of no needle
+    runs = lambda k: F.transform("hs", lambda _, i: run(k, F.col("hs"), i))
+    grams = F.flatten(F.array(*map(runs, sorted(facts["ks"])))) if facts["ks"] else F.array().cast("array<bigint>")
+    sent = F.broadcast if facts["size"] <= NEEDLE_BYTES else lambda df: df
+    hits = t.select(key, F.explode(F.array_distinct(grams)).alias("h")).join(sent(n.select("h", item)), "h").select(key, item).distinct()
+    both = hits.join(texts.select(key, text), key).join(sent(n.select(item, "n")), item)
+    return both.where(bounded(words(text)).contains(F.col("n"))).select(key, item).distinct()
 
 
 def ratio(a: Column, b: Column) -> Column:
