@@ -56,11 +56,20 @@ def anchored(images: DataFrame, rules: DataFrame, names: DataFrame, page: list[s
 
 
 def within_reach(regions: DataFrame, lines: DataFrame, page: list[str]) -> DataFrame:
-    """(page, region, line) of lines whose box comes within REACH_HEIGHTS of its height of a region."""
-    reach = REACH_HEIGHTS * F.greatest(F.lit(1.0), F.least(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))
-    near = regions.select(*page, "region", *(F.col(c).alias(f"{c}_r") for c in ("x0", "y0", "x1", "y1"))).join(lines, page)
-    touches = (F.col("x0") <= F.col("x1_r") + reach) & (F.col("x0_r") - reach <= F.col("x1")) & (F.col("y0") <= F.col("y1_r") + reach) & (F.col("y0_r") - reach <= F.col("y1"))
-    return near.where(touches).select(*page, "region", "line")
+    """(page, region, line), each once, of lines whose box comes within REACH_HEIGHTS of its height of a region."""
+
+    def touches(r: Column, b: Column) -> Column:
+        reach = REACH_HEIGHTS * F.greatest(F.lit(1.0), F.least(b["x1"] - b["x0"], b["y1"] - b["y0"]))
+        return (b["x0"] <= r["x1"] + reach) & (r["x0"] - reach <= b["x1"]) & (b["y0"] <= r["y1"] + reach) & (r["y0"] - reach <= b["y1"])
+
+    def placed(df: DataFrame, ident: str, boxes: str) -> DataFrame:
+        """Rows of one place, or several, with all that have it: what stands in equal places is compared once."""
+        own = df.where(F.col(ident).isNotNull()).groupBy(*page, ident).agg(F.array_sort(F.collect_set(F.struct("x0", "y0", "x1", "y1"))).alias(boxes))
+        return own.groupBy(*page, boxes).agg(F.collect_list(ident).alias(f"{ident}s"))
+
+    both = placed(regions, "region", "_r").join(placed(lines, "line", "_b"), page)
+    near = both.where(F.exists("_r", lambda r: F.exists("_b", lambda b: touches(r, b))))
+    return near.select(*page, "lines", F.explode("regions").alias("region")).select(*page, "region", F.explode("lines").alias("line"))
 
 
 def signature_lines(regions: DataFrame, lines: DataFrame, page: list[str]) -> DataFrame:

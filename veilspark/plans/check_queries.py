@@ -66,7 +66,7 @@ def signer_lines(t: Tables) -> DataFrame:
 AND b.x0 <= a.x1 + 144 AND a.x0 - 144 <= b.x1 AND b.y0 <= a.y1 + 144 AND a.y0 - 144 <= b.y1""")
 def signature_keyword_lines(t: Tables) -> DataFrame:
     regions = t("syn_box").where("type = 'signature'").withColumn("region", F.col("id"))
-    return SIG.signature_lines(regions, _role_lines(t), PAGE).select("region", "line").distinct()
+    return SIG.signature_lines(regions, _role_lines(t), PAGE).select("region", "line")  # a line's number says its page, on which a pair comes once
 
 
 # ---- checks of outputs ----------------------------------------------------------------------------------------------
