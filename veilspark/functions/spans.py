@@ -121,9 +121,10 @@ class Detect:
     urls_other: bool = True
 
 
-def detect_spans(text: T.Str, options: Detect = Detect()) -> Column:
-    """array<struct<type, a, b, detector>> of the pattern detectors (lists and dictionaries are joins, see operators)."""
-    variants = [T.col(text), *([T.ocr_variant(text)] if options.ocr else [])]
+def detect_spans(text: T.Str, options: Detect = Detect(), variant: T.Str | None = None) -> Column:
+    """array<struct<type, a, b, detector>> of the pattern detectors (lists and dictionaries are joins, see operators).
+    ``variant`` is the text's ``ocr_variant``, where it has been made already."""
+    variants = [T.col(text), *([T.ocr_variant(text) if variant is None else T.col(variant)] if options.ocr else [])]
     numbers = F.concat(*(x for v in variants for x in (_typed(rut_spans(v, options.ocr), "rut"), _typed(phone_spans(v), "phone"))))
     numbers = F.filter(numbers, lambda s: ~T.is_amount(text, s["a"], s["b"]))
     found = [numbers, _typed(find_spans(text, EMAIL, _AT_SIGN), "email"), _typed(find_spans(text, LOOSE_EMAIL, "[@＠]"), "email")]

@@ -100,8 +100,9 @@ def normalize_haystack(c: Str, kind: str) -> Column:
 
 def ocr_variant(c: Str) -> Column:
     """In words of which half or more are digits, look-alike letters become digits; the length stays."""
-    words = F.regexp_extract_all(col(c), F.lit(r"(?U)\S+"), F.lit(0))
-    gaps = F.split(col(c), r"(?U)\S+", -1)
+    number = r"(?U)(?<!\S)[^\s\p{Nd}]*+\p{Nd}\S*"  # words with a digit; no other can be half digits
+    words = F.regexp_extract_all(col(c), F.lit(number), F.lit(0))
+    gaps = F.split(col(c), number, -1)
 
     def read(w: Column) -> Column:
         return F.when(F.length(rx(w, r"\P{Nd}")) * 2 >= F.length(w), F.translate(w, CONFUSED, MEANT)).otherwise(w)

@@ -19,7 +19,8 @@ def pattern_spans(df: DataFrame, keys: list[str], text: str, pattern: str, kind:
 
 def detect(df: DataFrame, keys: list[str], text: str, options: S.Detect = S.Detect()) -> DataFrame:
     """One row per span of the pattern detectors: keys, type, a, b, detector, value."""
-    rows = df.select(*keys, F.col(text).alias("_t"), F.explode(S.detect_spans(text, options)).alias("s"))
+    own = df.select(*keys, F.col(text).alias("_t"), *([T.ocr_variant(text).alias("_v")] if options.ocr else []))
+    rows = own.select(*keys, "_t", F.explode(S.detect_spans("_t", options, "_v" if options.ocr else None)).alias("s"))
     return rows.select(*keys, "s.type", "s.a", "s.b", "s.detector", F.substring("_t", F.col("s.a") + 1, F.col("s.b") - F.col("s.a")).alias("value"))
 
 
