@@ -43,13 +43,17 @@ def test_repeated_entries_match_once(spark):
     assert within(20, lambda: N.list_matches(texts, ["id"], "text", names).count()) == 5000
 
 
-def test_boxes_that_all_meet_are_one_component(spark):
+@pytest.mark.parametrize("most", [50_000, 5])
+def test_boxes_that_all_meet_are_one_component(spark, most, monkeypatch):
+    monkeypatch.setattr(M, "PAGE_BOXES", most)
     rows = spark.range(8000).selectExpr("cast(id as int) as id", "1 as page", "cast(id % 90 as double) as x0", "0D as y0", "cast(id % 90 + 30 as double) as x1", "20D as y1")
     assert {x.component for x in within(30, lambda: M.box_components(rows, ["page"]).collect())} == {0}
 
 
-def test_components_keep_every_row(spark):
+@pytest.mark.parametrize("most", [50_000, 3, 0])
+def test_components_keep_every_row(spark, most, monkeypatch):
     """Boxes over many cells, repeated rows, and rows without a place or a page."""
+    monkeypatch.setattr(M, "PAGE_BOXES", most)
     rows = [(5, 1, 0.0, 0.0, 900.0, 4.0), (3, 1, 890.0, 0.0, 990.0, 4.0), (3, 1, 890.0, 0.0, 990.0, 4.0), (9, 1, 0.0, 700.0, 5.0, 704.0), (1, 1, None, 0.0, 9.0, 4.0), (2, None, 0.0, 0.0, 9.0, 4.0), (4, 2, 0.0, 0.0, 9.0, 4.0)]
     found = sorted((x.id, x.component) for x in M.box_components(spark.createDataFrame(rows, BOX), ["page"]).collect())
     assert found == [(1, 1), (2, 2), (3, 3), (3, 3), (4, 4), (5, 3), (9, 9)]
